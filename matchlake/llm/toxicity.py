@@ -16,17 +16,16 @@ from pyspark.sql import functions as F
 from matchlake.llm.ordinal import fit_on_labels, score_rows
 
 WORDS = re.compile(r"\w+")
+#: Lengths of the beginnings that longer words have as features beside themselves.
+STEMS = (4, 6)
 #: Probability of grade 1 or more from which a document is flagged.
-MIN_TAIL = 0.5
+MIN_TAIL = 0.4
 
 
 def features(text: str) -> set[str]:
-    """Distinct lower-cased words, and each word that occurs twice or more once again as such."""
-    seen: set[str] = set()
-    twice: set[str] = set()
-    for word in WORDS.findall(text.lower()):
-        (twice if word in seen else seen).add(word)
-    return seen | {f"{w}\x002" for w in twice}
+    """Distinct lower-cased words and, of those that are longer, their beginnings: inflected forms share them."""
+    found = set(WORDS.findall(text.lower()))
+    return found.union(*({f"{w[:n]}\x00" for w in found if len(w) > n} for n in STEMS))
 
 
 def grade_toxicity(docs: DataFrame, labels: DataFrame, n_grades: int = 2, min_tail: float = MIN_TAIL) -> DataFrame:
