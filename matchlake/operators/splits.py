@@ -24,7 +24,7 @@ def player_cold(pairs: DataFrame, games: DataFrame, player: str, game: str, frac
     The first k players by hash are taken and with them all their games. k grows by half, from a twentieth of the
     target, until the games reach the target; beyond the tolerance it shrinks one by one while they still do.
     Closed form: a game enters with the smallest place among its players, so the number of games within
-    the first k players is a running count over places, and the loop runs over two numbers on the driver.
+    the first k players is a count over places, and the loop runs over a few such counts on the driver.
     """
     total = games.select(game).count()
     places = rank_players(pairs, player)
@@ -34,20 +34,25 @@ def player_cold(pairs: DataFrame, games: DataFrame, player: str, game: str, frac
     target, upper = int(total * fraction), int(total * fraction * (1 + tolerance))
     first = pairs.select(player, game).distinct().join(places, player).groupBy(game).agg(F.min("place").alias("place"))
 
-    def held(k: int) -> int:
-        return first.filter(F.col("place") < k).count()
+    def held(ks: list[int]) -> list[int]:
+        """Games within the first k players, for each k, in one pass."""
+        row = first.agg(*(F.count_if(F.col("place") < k).alias(f"k{i}") for i, k in enumerate(ks))).first()
+        return list(row)
 
-    k, chosen = max(1, target // 20), n_players
-    while k <= n_players:
-        if held(k) >= target:
-            chosen = k
-            break
-        k = max(k + 1, int(k * 1.5))
-    if held(chosen) > upper and chosen > 1:
+    steps = [max(1, target // 20)]
+    while steps[-1] <= n_players:
+        steps.append(max(steps[-1] + 1, int(steps[-1] * 1.5)))
+    grown = [*(k for k in steps if k <= n_players), n_players]
+    sizes = held(grown)
+    at = next((i for i, n in enumerate(sizes) if n >= target), len(grown) - 1)
+    chosen, size = grown[at], sizes[at]
+    if size > upper:
         low, high = 0, chosen  # the smallest k that still reaches the target, at least 1
         while low + 1 < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if held(mid) >= target else (mid, high)
+            tries = sorted({low + (high - low) * i // 64 for i in range(1, 64)} - {low, high})
+            reach = dict(zip(tries, held(tries), strict=True))
+            high = min((k for k, n in reach.items() if n >= target), default=high)
+            low = max((k for k in tries if k < high), default=low)
         chosen = high
     return places.filter(F.col("place") < chosen).select(player), first.filter(F.col("place") < chosen).select(game), chosen
 
