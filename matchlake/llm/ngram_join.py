@@ -3,13 +3,16 @@
 A document's set is its distinct five-word shingles as 64-bit hashes. Texts with equal sets form a class.
 Two sets x, y with 100 |x & y| >= 80 |x | y| share a shingle among the first n - ceil(0.8 n) + 1 of each, under
 any one order of all shingles. The order here is: shingles that are not known to be frequent by hash, then the
-frequent ones by hash. So lists of a passage that many documents share do not arise; the frequent set is a
-hint that is counted over the corpus, bounded in size, and changes no result.
+frequent ones by hash. So lists of a passage that many documents share do not arise, and a prefix tells near copies
+apart by what is their own; the frequent set is counted over all classes, bounded in size, and changes no result.
 
-Classes with the same prefix and size are one group. Groups that share a prefix shingle meet in its list;
-lists are filtered by size, then expand to the members of their groups, and pairs of members are verified
-by their whole sets. Pairs within a component need no verification, so each round first links the members of a
-list to a few pivots, and only pairs that are still apart are taken in full at the end. No link is lost.
+Classes with the same prefix and size are one group. Groups that share a prefix shingle meet in its list.
+Pairs of groups in short lists are filtered by size, by position, and by how many prefix shingles they share:
+two prefixes under one order show every common shingle up to where the first of them ends, so similar sets
+share at least the needed overlap less what stands behind the prefixes. What is left expands to the groups'
+members, and pairs of members are verified by their whole sets. Long lists, which large groups of near copies make,
+are not paired off: pairs within a component need no verification, so each round links a list's members to a few
+pivots, and only pairs that are then still apart are taken in full. No link is lost.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; fewer than five
 words make one shingle; repeated rows are linked with one another; the smallest id passes over null ids, and
@@ -20,8 +23,10 @@ pass through keep_one(); names that begin with an underscore are taken.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,12 @@ from pyspark.sql import functions as F
 from matchlake.llm.shared import lookup_hot_safe, materialise, text_or_empty
 
 WIDTH, PERCENT = 5, 80
-#: A shingle in more lists' worth of classes than this is frequent; at most so many shingles count as frequent.
+#: A shingle that more classes have than this is frequent; at most so many shingles count as frequent.
 FREQUENT, FREQUENT_HELD = 32, 1 << 18
+#: A list of more groups than this is long.
+LONG = 32
+#: Bits of the filter that says of which classes the sets are wanted, at least and at most.
+FILTER_BITS = (16, 27)
 #: Prefix entries that one partition is planned to hold, and that a task holds before it sends them on.
 PART_ENTRIES, HELD_ENTRIES = 2_000_000, 2_000_000
 #: Rounds in which members meet pivots only, and random pivots of a list beside its best linked member.
@@ -51,21 +60,29 @@ class _Hashes(dict):
         return value
 
 
-def shingle_set(text: str, hashes: _Hashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of the whole text. A-Z count as a-z; ASCII white space parts words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    one = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    if n < WIDTH:
-        mixed = (one * _ODD[:n]).sum(keepdims=True) + np.full(1, n, np.uint64) * _ODD[4] + np.uint64(1)
-    else:
-        mixed = one[: n - 4] * _ODD[0]
-        for k in range(1, WIDTH):
-            mixed = mixed + one[k : n - 4 + k] * _ODD[k]
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * _ODD[3]
-    return np.unique(mixed ^ (mixed >> np.uint64(32)))
+def shingle_sets(column: pa.Array, hashes: _Hashes, rows: int = 256) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each whole text, some texts at a time. A-Z count as a-z; ASCII white space parts words."""
+    for at in range(0, len(column), rows):
+        words = [t.lower().split() for t in column.slice(at, rows).cast(pa.binary()).to_pylist()]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        total = int(sizes.sum())
+        one = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, total)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        mixed = np.zeros(total, np.uint64)
+        if total >= WIDTH:
+            mixed[: total - 4] = one[: total - 4] * _ODD[0]
+            for k in range(1, WIDTH):
+                mixed[: total - 4] += one[k : total - 4 + k] * _ODD[k]
+        for k in np.flatnonzero((sizes > 0) & (sizes < WIDTH)):  # the whole sequence as one
+            a, n = starts[k], int(sizes[k])
+            mixed[a : a + 1] = (one[a : a + n] * _ODD[:n]).sum(keepdims=True) + np.full(1, n, np.uint64) * _ODD[4] + np.uint64(1)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * _ODD[3]
+        mixed ^= mixed >> np.uint64(32)
+        for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+            own = mixed[a : a + (n - WIDTH + 1 if n >= WIDTH else min(n, 1))]
+            own.sort()
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own.copy()
 
 
 def _key(data: bytes) -> int:
@@ -76,21 +93,6 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """Written table of a row for each document: doc_id, _text_hash, n_shingles, cls (null without shingles)."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            found = [shingle_set(t.as_py(), hashes) for t in batch.column(2)]
-            n = pa.array([len(x) for x in found], pa.int64())
-            cls = pa.array([_key(x.tobytes()) if len(x) else None for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, cls], ["doc_id", "_text_hash", "n_shingles", "cls"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_hash"), text_or_empty().alias("_text"))
-    return materialise(rows.mapInArrow(sets, "doc_id long, _text_hash long, n_shingles long, cls long"), "described")
-
-
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of fixed width, byte planes apart so that they compress."""
     head = np.array([x for c in columns for x in (len(c), c.itemsize)], "<u4").tobytes()
@@ -126,49 +128,56 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
-def frequent_shingles(docs: DataFrame, parts: int, bits: int) -> np.ndarray:
-    """Upper 40 bits of shingles that more than FREQUENT classes have among their lowest, sorted."""
+def describe(docs: DataFrame, parts: int, bits: int) -> tuple[DataFrame, np.ndarray]:
+    """Written table of a row for each document: doc_id, _text_hash, n_shingles, cls (null without shingles); and the
+    upper 32 bits of shingles that more than FREQUENT classes have, sorted."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, held, size = _Hashes(), set(), [], 0
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "_text_hash", "n_shingles", "cls", "bucket", "blob"]
 
         def flush() -> pa.RecordBatch:
-            low = np.sort(np.concatenate(held) >> np.uint64(24))
-            cuts = np.searchsorted(low, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(40 - bits))
-            blobs = [(k, np.ascontiguousarray(x.view("u1").reshape(-1, 8)[:, :5]).tobytes()) for k, x in enumerate(np.split(low, cuts)) if len(x)]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], ["bucket", "blob"])
+            high = np.sort((np.concatenate(held) >> np.uint64(32)).astype(np.uint32))
+            cuts = np.searchsorted(high, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.uint32))
+            blobs = [(k, x.tobytes()) for k, x in enumerate(np.split(high, cuts)) if len(x)]
+            none = [None] * len(blobs)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([none, none, none, none, [k for k, _ in blobs], [b for _, b in blobs]], types, strict=True)], names)
 
         for batch in batches:
-            for cell in batch.column(0):
-                found = shingle_set(cell.as_py(), hashes)
-                if len(found) and (key := _key(found.tobytes())) not in seen:
-                    seen.add(key)
-                    held.append(found[: 2 * prefix_length(len(found)) + 8])
-                    size += len(held[-1])
+            sizes, classes = [], []
+            for found in shingle_sets(batch.column(2), hashes):
+                sizes.append(len(found))
+                classes.append(_key(found.tobytes()) if len(found) else None)
+                if len(found) and classes[-1] not in seen:
+                    seen.add(classes[-1])
+                    held.append(found)
+                    size += len(found)
                 if size >= HELD_ENTRIES:
                     yield flush()
                     held, size = [], 0
+            none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *none], names)
         if held:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_bucket(batches):
-            raw = np.frombuffer(b"".join(blobs), "u1").reshape(-1, 5)
-            wide = np.zeros((len(raw), 8), "u1")
-            wide[:, :5] = raw
-            value, times = np.unique(wide.view("<u8").ravel(), return_counts=True)
+            value, times = np.unique(np.frombuffer(b"".join(blobs), np.uint32), return_counts=True)
             many = times > FREQUENT
             yield pa.RecordBatch.from_arrays([pa.array(value[many].astype(np.int64)), pa.array(times[many].astype(np.int64))], ["value", "times"])
 
-    sent = docs.select(text_or_empty().alias("_text")).mapInArrow(send, "bucket int, blob binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_hash"), text_or_empty().alias("_text"))
+    both = materialise(rows.mapInArrow(send, "doc_id long, _text_hash long, n_shingles long, cls long, bucket int, blob binary"), "described")
+    sent = both.filter("bucket IS NOT NULL").select("bucket", "blob")
     found = _dealt(sent, parts).mapInArrow(count, "value long, times long")
     top = found.orderBy(F.desc("times"), "value").limit(FREQUENT_HELD).toArrow()
-    return np.sort(top.column("value").to_numpy().astype(np.uint64))
+    return both.filter("bucket IS NULL").drop("bucket", "blob"), np.sort(top.column("value").to_numpy().astype(np.uint64))
 
 
 def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -> DataFrame:
-    """Written table. kind 0: group grp of size n has shingle list at position pos of its prefix, as has another
-    group of fitting size. kind 1: class cls is a member of group grp."""
+    """Written table. kind 0: group grp has the long list at position pos of its prefix. kind 1: class cls is a
+    member of group grp of size n. kind 2: groups grp and cls of fitting size share n short lists; pos is 1 if they pass the position filter in one."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +207,15 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
-            for cell in batch.column(0):
-                found = shingle_set(cell.as_py(), hashes)
+            for found in shingle_sets(batch.column(0), hashes):
                 n = len(found)
                 if not n or (key := _key(found.tobytes())) in seen:
                     continue
                 seen.add(key)
                 if len(often):
-                    place = np.searchsorted(often, found >> np.uint64(24))
+                    place = np.searchsorted(often, found >> np.uint64(32))
                     place[place == len(often)] = 0
-                    late = often[place] == found >> np.uint64(24)
+                    late = often[place] == found >> np.uint64(32)
                     found = np.concatenate([found[~late], found[late]])
                 prefix = found[: prefix_length(n)]
                 group = _key(prefix.tobytes() + n.to_bytes(8, "little"))
@@ -236,53 +244,107 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
             new = np.ones(len(entry), bool)
             new[1:] = (entry[1:] != entry[:-1]) | (grp[1:] != grp[:-1])
             entry, grp, n, pos = entry[new], grp[new], n[new], pos[new]
-            # in order of size, a group has a partner of fitting size if a neighbour is one
-            fits = (entry[1:] == entry[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
-            near = np.zeros(len(entry), bool)
-            near[1:] |= fits
-            near[:-1] |= fits
-            entry, grp, n, pos = (x[near] for x in (entry, grp, n, pos))
+            first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.empty(0, np.int64)
+            held = np.diff(np.concatenate([first, [len(entry)]]))
+            many = np.repeat(held > LONG, held)
+            both = _short_pairs(*(x[~many] for x in (entry, grp, n, pos)))
+            entry, grp, n, pos = (x[many] for x in (entry, grp, n, pos))
             m = [np.concatenate([p[k] for p in parts]) for k in (5, 6, 7)]
             one = np.unique(np.stack([m[0], m[1], m[2].astype(np.uint64)]), axis=1) if len(m[0]) else np.empty((3, 0), np.uint64)
-            a, b = len(entry), one.shape[1]
+            a, b, c = len(entry), one.shape[1], both.shape[1]
             signed = lambda *x: pa.array(np.concatenate([y.astype(np.uint64).view(np.int64) for y in x]))
-            zero_a, zero_b = np.zeros(a, np.uint64), np.zeros(b, np.uint64)
-            for at in range(0, a + b, 100_000):
-                yield pa.RecordBatch.from_arrays([signed(zero_a, zero_b + np.uint64(1)), signed(entry, zero_b), signed(grp, one[0]), signed(zero_a, one[1]), signed(n, one[2]), signed(pos, zero_b)], names).slice(at, 100_000)
+            zero = [np.zeros(k, np.uint64) for k in (a, b, c)]
+            kinds = [z + np.uint64(k) for k, z in enumerate(zero)]
+            for at in range(0, a + b + c, 100_000):
+                yield pa.RecordBatch.from_arrays([signed(*kinds), signed(entry, *zero[1:]), signed(grp, one[0], both[0]), signed(zero[0], one[1], both[1]), signed(n, one[2], both[2]), signed(pos, zero[1], both[3])], names).slice(at, 100_000)
 
     rows = docs.select(text_or_empty().alias("_text")).mapInArrow(send, "bucket int, blob binary")
     return materialise(_dealt(rows, parts).mapInArrow(meet, "kind long, list long, grp long, cls long, n long, pos long"), "lists")
 
 
-def class_lists(lists: DataFrame) -> DataFrame:
-    """Groups expanded to their members: list, cls, n, pos. A group of several members is a list of its own."""
-    members = lists.filter(F.col("kind") == 1).select("grp", "cls", F.col("n").alias("_n"))
-    entries = lists.filter(F.col("kind") == 0).select("list", "grp", "pos").join(members, "grp").select("list", "cls", F.col("_n").alias("n"), "pos")
-    many = members.groupBy("grp").agg(F.count("*").alias("held")).filter(F.col("held") > 1)
-    within = members.join(many, "grp").select(F.col("grp").alias("list"), "cls", F.col("_n").alias("n"), F.lit(1).cast("long").alias("pos"))
-    return materialise(entries.unionByName(within), "classes")
-
-
-def may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Size and position filter of two sets whose first common shingle stands at pos and at."""
-    need = F.ceil(F.lit(PERCENT) * (n + m) / F.lit(100 + PERCENT))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (1 + F.least(n - pos, m - at) >= need)
-
-
-def whole_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Written table cls, shingles (binary, sorted 64-bit hashes) of the classes in wanted."""
+def _short_pairs(entry: np.ndarray, grp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Pairs of groups of fitting size with the number of lists they share, and whether one passes the position filter."""
+    found = []
+    for ahead in range(1, LONG):
+        if len(entry) <= ahead:
+            break
+        same = entry[ahead:] == entry[:-ahead]
+        if not same.any():
+            break
+        a, b = np.flatnonzero(same), np.flatnonzero(same) + ahead
+        low, high = n[a], n[b]  # in order of size
+        need = -(-PERCENT * (low + high) // (100 + PERCENT))
+        fine = 100 * low >= PERCENT * high
+        early = 1 + np.minimum(low - pos[a].astype(np.int64), high - pos[b].astype(np.int64)) >= need
+        x, y = grp[a[fine]], grp[b[fine]]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y), early[fine].astype(np.uint64)]))
+    if not found or not sum(f.shape[1] for f in found):
+        return np.empty((4, 0), np.uint64)
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    new = np.flatnonzero(np.concatenate([[True], (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)]))
+    times = np.diff(np.concatenate([new, [pairs.shape[1]]])).astype(np.uint64)
+    return np.stack([pairs[0, new], pairs[1, new], times, np.maximum.reduceat(pairs[2], new)])
+
+
+def candidate_groups(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: pairs (a, b) of classes whose groups have no other members, and lists (list, cls, n, pos,
+    long: in how many) of classes: the long ones, the groups of several members, and pairs of groups one of which is such."""
+    members = lists.filter("kind = 1").select("grp", "cls", "n").distinct()
+    groups = members.groupBy("grp").agg(F.count("*").alias("held"), F.min("cls").alias("cls"), F.min("n").alias("n"))
+    entries = lists.filter("kind = 0").select("list", "grp", "pos")
+    long_of = entries.groupBy("grp").agg(F.count("*").alias("long"))
+    groups = materialise(groups.join(long_of, "grp", "left").withColumn("long", F.coalesce("long", F.lit(0))), "groups")
+    pairs = lists.filter("kind = 2").groupBy(F.col("grp").alias("g"), F.col("cls").alias("h")).agg(F.sum("n").alias("common"), F.max("pos").alias("early"))
+    side = lambda k: groups.select(*(F.col(c).alias(f"{c}_{k}") for c in groups.columns))
+    pairs = pairs.join(side("a"), F.col("g") == F.col("grp_a")).join(side("b"), F.col("h") == F.col("grp_b"))
+    behind = F.greatest(*(F.ceil(F.lit(PERCENT) * F.col(f"n_{k}") / F.lit(100)) - 1 for k in "ab"))
+    need = F.ceil(F.lit(PERCENT) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT))
+    long = F.least("long_a", "long_b")
+    pairs = materialise(pairs.filter(((F.col("early") == 1) | (long > 0)) & (F.col("common") + long + behind >= need)), "pairs")
+    alone = (F.col("held_a") == 1) & (F.col("held_b") == 1)
+    single = pairs.filter(alone).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+    wide = pairs.filter(~alone).select(F.xxhash64("g", "h").alias("list"), F.explode(F.array("g", "h")).alias("grp"), F.lit(1).cast("long").alias("pos"))
+    own = groups.filter("held > 1").select(F.col("grp").alias("list"), "grp", F.lit(1).cast("long").alias("pos"))
+    # pairs that share a short list are among the pairs; the rest share long lists only, of which a set has so many
+    lists = entries.join(long_of, "grp").unionByName(wide.unionByName(own).withColumn("long", F.lit(1 << 40)))
+    return single, materialise(lists.join(members, "grp").select("list", "cls", "n", "pos", "long").distinct(), "classes")
+
+
+def may_link(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Size, position and count filter of two sets that have a list in common and share long lists only."""
+    low, high = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
+    need = F.ceil(F.lit(PERCENT) * (low + high) / F.lit(100 + PERCENT))
+    behind = F.ceil(F.lit(PERCENT) * high / F.lit(100)) - 1
+    return (100 * low >= PERCENT * high) & (1 + F.least(x("n") - x("pos"), y("n") - y("pos")) >= need) & (F.least(x("long"), y("long")) + behind >= need)
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, parts: int) -> str:
+    """Name of a written table cls, shingles (binary, sorted 64-bit hashes), bucketed by cls so that joins on it
+    move its partner only. It has the classes in wanted, and the few that a filter of bounded size mistakes for one."""
+    n = wanted.count()
+    bits = min(max((16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    place = F.col("cls").bitwiseAND((1 << bits) - 1)
+    words = wanted.select(F.shiftrightunsigned(place, 5).alias("word"), F.expr("shiftleft(1L, CAST(cls & 31 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("held")).toArrow()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[words.column("word").to_numpy()] = words.column("held").to_numpy().astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, seen, known, mask = _Hashes(), set(), sent.value, (1 << bits) - 1
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), hashes).tobytes() for t in batch.column(1)], pa.binary())], ["cls", "shingles"])
+            keys, found = [], []
+            for own in shingle_sets(batch.column(0), hashes):
+                if len(own) and (key := _key(own.tobytes())) not in seen and int(known[(key & mask) >> 5]) >> (key & 31) & 1:
+                    seen.add(key)
+                    keys.append(key)
+                    found.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["cls", "shingles"])
 
-    first = described.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "_text_hash")).alias("_one"))
-    first = first.select("cls", F.col("_one.doc_id").alias("_id"), F.col("_one._text_hash").alias("_hash"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_text_hash"))
-    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    rows = rows.groupBy("cls").agg(F.min("_text").alias("_text"))  # rows repeated whole
-    return materialise(rows.mapInArrow(sets, "cls long, shingles binary"), "sets")
+    name = f"matchlake_sets_{uuid.uuid4().hex}"
+    rows = docs.select(text_or_empty().alias("_text")).mapInArrow(sets, "cls long, shingles binary")
+    rows.repartition(parts, "cls").dropDuplicates(["cls"]).write.bucketBy(parts, "cls").saveAsTable(name)
+    return name
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -334,47 +396,71 @@ def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(out.select("cls", F.coalesce("root", "comp").alias("comp"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")), "state")
 
 
-def linked_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
+def _apart(held: DataFrame, *more: Column) -> DataFrame:
+    """The lists whose members are not all in one component."""
+    return held.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *more).filter("low <> high")
+
+
+def _with_pivots(held: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each list's pivots with its members in other components."""
+    member = F.struct("cls", "n", "pos", "long", "comp")
+    best = F.max(F.struct("degree", "long", member.alias("m"))).alias("best")
+    # members with much in common with others are likely to link with many
+    more = [F.max(F.struct("long", F.xxhash64("cls", F.lit(turn), F.lit(k)).alias("h"), member.alias("m"))).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = _apart(held, best, *more).select("list", F.explode(F.array("best.m", *(f"p{k}.m" for k in range(PIVOTS)))).alias("p")).distinct()
+    meets = held.join(pivots, (held["list"] == pivots["list"]) & (F.col("comp") != F.col("p.comp")) & may_link(F.col, lambda c: F.col(f"p.{c}")))
+    return meets.select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
+
+
+def _all_apart(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's members in different components."""
+    rest = held.join(_apart(held).select("list"), "list")
+    x, y = (rest.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "long", "comp"))) for s in "xy")
+    meets = x.join(y, (x["list"] == y["list"]) & (F.col("cls_x") < F.col("cls_y")) & (F.col("comp_x") != F.col("comp_y")) & may_link(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y")))
+    return meets.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
+
+
+def linked_classes(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -> DataFrame:
     """cls, comp for the classes that meet any other in a list."""
     spark: SparkSession = docs.sparkSession
-    total = described.filter("cls is not null").agg(F.sum(F.col("n_shingles") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // PART_ENTRIES + 1)
-    bits = max(8, (2 * parts - 1).bit_length())
-    frequent = frequent_shingles(docs, parts, bits)
-    lists = class_lists(prefix_lists(docs, frequent, parts, bits))
-    nodes = lists.select("cls").distinct()
-    sets = whole_sets(docs, described, nodes)
-    state = materialise(nodes.select("cls", F.col("cls").alias("comp"), F.lit(0).cast("long").alias("degree")), "state")
-    for turn in range(ROUNDS + 1):
-        held = lists.join(state, "cls")
-        member = F.struct("cls", "n", "pos", "comp")
-        ends = held.groupBy("list").agg(
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-            F.max(F.struct("degree", member.alias("m"))).alias("best"),
-            *(F.min(F.struct(F.xxhash64("cls", F.lit(turn), F.lit(k)).alias("h"), member.alias("m"))).alias(f"p{k}") for k in range(PIVOTS)),
-        )
-        apart = ends.filter("low <> high")
-        if turn < ROUNDS:
-            pivots = apart.select("list", F.explode(F.array("best.m", *(f"p{k}.m" for k in range(PIVOTS)))).alias("p")).distinct()
-            meets = held.join(pivots, (held["list"] == pivots["list"]) & (F.col("comp") != F.col("p.comp")) & may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
-            pairs = meets.select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
-        else:
-            rest = held.join(apart.select("list"), "list")
-            x, y = (rest.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "comp"))) for s in "xy")
-            meets = x.join(y, (x["list"] == y["list"]) & (F.col("cls_x") < F.col("cls_y")) & (F.col("comp_x") != F.col("comp_y")) & may_link(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y")))
-            pairs = meets.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
+    pairs, lists = candidate_groups(prefix_lists(docs, frequent, parts, bits))
+    nodes = materialise(lists.select("cls").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("cls"))).distinct(), "nodes")
+    name = whole_sets(docs, nodes, parts)
+    sets = spark.table(name)
+    try:
+        state = materialise(nodes.select("cls", F.col("cls").alias("comp"), F.lit(0).cast("long").alias("degree")), "state")
         links = verified(pairs, sets)
         if not links.isEmpty():
             state = _merged(state, links)
+        tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        turn = 0 if not lists.isEmpty() else ROUNDS + 1
+        while turn <= ROUNDS:
+            held = lists.join(state, "cls")
+            meets = _with_pivots(held, turn) if turn < ROUNDS else _all_apart(held)
+            meets = materialise(meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "meets")
+            if meets.isEmpty():
+                turn = turn + 1 if turn == ROUNDS else ROUNDS
+                continue
+            links = verified(meets, sets)
+            tested = tested.unionByName(meets)
+            if not links.isEmpty():
+                state = _merged(state, links)
+            turn += 1
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     return state.select("cls", "comp")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, _text_hash, n_shingles, component_id for each row of docs, and keeper: the component's first row key."""
-    described = describe(docs)
+    spark = docs.sparkSession
+    # a word has six bytes or so, and a fifth of the shingles are prefix entries
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // 30 // PART_ENTRIES + 1)
+    bits = min(24, max(8, (2 * parts - 1).bit_length()))
+    described, frequent = describe(docs, parts, bits)
     classes = described.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_text_hash").alias("hash"))).alias("first"), F.count("*").alias("held"))
-    state = linked_classes(docs, described)
+    state = linked_classes(docs, frequent, parts, bits)
     joined = classes.join(state, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     tops = joined.groupBy("comp").agg(F.min("low").alias("component_id"), F.min("first").alias("keeper"))
     known = materialise(joined.join(tops, "comp").select("cls", "held", "component_id", "keeper"), "known")
