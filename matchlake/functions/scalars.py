@@ -11,7 +11,7 @@ TIERS = ("IRON", "BRONZE", "SILVER", "GOLD", "PLATINUM", "EMERALD", "DIAMOND", "
 ROUTES = {
     "americas": ("na1", "br1", "la1", "la2"),
     "asia": ("kr", "jp1"),
-    "europe": ("euw1", "eun1", "tr1", "ru"),
+    "europe": ("euw1", "eun1", "tr1", "ru", "me1"),
     "sea": ("oc1", "ph2", "sg2", "th2", "tw2", "vn2"),
 }
 
@@ -85,9 +85,9 @@ def anchor_minute(ms: Column) -> Column:
 
 
 def hour_bucket(ms: Column) -> Column:
-    """UTC hours in five buckets: 0-5, 6-11, 12-16, 17-20, 21-23."""
+    """0 for no time; then UTC hours 0-5, 6-11, 12-17, 18-23."""
     hour = F.pmod(F.floor(ms / 3600000), F.lit(24))
-    return F.when(hour < 6, 0).when(hour < 12, 1).when(hour < 17, 2).when(hour < 21, 3).otherwise(4)
+    return F.when(ms.isNull() | (ms == 0), 0).when(hour < 6, 1).when(hour < 12, 2).when(hour < 18, 3).otherwise(4)
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -156,17 +156,31 @@ def slug(text: Column, longest: int = 64, default: str = "unknown") -> Column:
 
 
 def is_email(text: Column) -> Column:
-    return F.lower(F.trim(text)).rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
+    mail = F.lower(F.trim(text))
+    return mail.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$") & (F.length(mail) <= 254)
 
 
-def confidence_band(p: Column) -> Column:
-    """low under 0.3, medium under 0.7, else high."""
-    return F.when(p < 0.3, "low").when(p < 0.7, "medium").otherwise("high")
+def confidence_band(entropy: Column) -> Column:
+    """strong under 0.3 bits, moderate under 0.7, else weak."""
+    return F.when(entropy < 0.3, "strong").when(entropy < 0.7, "moderate").otherwise("weak")
+
+
+def hedged(claim: Column, confidence: Column) -> Column:
+    """A claim, first letter lowered, behind the words that fit the confidence."""
+    bare = F.trim(claim)
+    bare = F.when(F.left(bare, F.lit(1)).rlike("^[A-Z]"), F.concat(F.lower(F.left(bare, F.lit(1))), F.substring(bare, F.lit(2), F.length(bare)))).otherwise(bare)
+    lead = F.when(confidence == "strong", "In most cohort games, ").when(confidence == "moderate", "Cohort evidence suggests ").otherwise("This signal is noisy, but ")
+    return F.concat(lead, bare, F.lit("."))
+
+
+def size_label(size: Column) -> Column:
+    """How a cohort's size is named: 64 and more, 16 and more, fewer."""
+    return F.concat_ws(" ", size.cast("string"), F.when(size >= 64, "similar games").when(size >= 16, "near-neighbors").otherwise("cohort games"))
 
 
 def wins_label(rate: Column, size: Column) -> Column:
-    """n of m games, n rounded half up as browsers do."""
-    return F.format_string("%d of %d games", F.floor(rate * size + 0.5), size)
+    """Wins of a cohort, rounded half up as browsers do."""
+    return F.format_string("%d of %d cohort games ended in a win", F.floor(rate * size + 0.5), size)
 
 
 def time_encoding(ms: Column, width: int = 8) -> Column:
@@ -177,12 +191,17 @@ def time_encoding(ms: Column, width: int = 8) -> Column:
 
 
 def shifted_label(kind: Column, first: int = 8) -> Column:
-    """Dense label of an event kind; 0 stays for none."""
-    return F.when(kind.isNull(), 0).otherwise(kind - first + 1)
+    """Dense label of an event kind from 1; 0 for kinds that are no events."""
+    return F.when(kind >= first, kind - first + 1).otherwise(0)
 
 
 def unshifted_label(label: Column, first: int = 8) -> Column:
-    return F.when(label == 0, F.raise_error(F.lit("label 0 stands for no event")).cast("int")).otherwise(label + first - 1)
+    return F.when(label <= 0, F.raise_error(F.lit("label 0 is reserved for no event")).cast("int")).otherwise(label + first - 1)
+
+
+def rank_threshold(tier: Column) -> Column:
+    """Where a tier begins on the points ladder (F32)."""
+    return tier * 10_000
 
 
 def t_stat(effect: Column, se: Column) -> Column:
@@ -201,9 +220,9 @@ def whitened(x: Column, mean: Column, sd: Column) -> Column:
     return F.zip_with(F.zip_with(x, mean, lambda a, m: a.cast("double") - m), sd, lambda d, s: d / s)
 
 
-def describe_move(name: Column, delta: Column, minute: Column) -> Column:
-    """gained or lost, the lower-cased name and the minute."""
-    return F.format_string("%s %s by %.0f at minute %.0f", F.when(delta > 0, "Gained").otherwise("Lost"), F.lower(name), F.abs(delta), F.floor(minute).cast("double"))
+def describe_move(name: Column, delta: Column, minute: Column, explanation: Column) -> Column:
+    """What happened in a moment, in words: gained where the change is positive, else lost."""
+    return F.format_string("At %d min, your team %s %s. %s", minute.cast("int"), F.when(delta > 0, "gained").otherwise("lost"), F.lower(name), explanation)
 
 
 def title_of(key: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from matchlake.functions.scalars import tier_number
 
 WINDOW_MS = (540_000, 660_000)
-ROLES = ("TOP", "JUNGLE", "MIDDLE", "BOTTOM", "UTILITY")
+#: Roles in the order of their features. Fixed values.
+ROLES = ("TOP", "JGL", "MID", "BOT", "SUP")
 
 
 def match_rollup(frames: DataFrame, games: DataFrame, done: DataFrame | None = None) -> DataFrame:

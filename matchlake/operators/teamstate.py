@@ -10,12 +10,59 @@ from pyspark.sql import functions as F
 from matchlake.functions.scalars import describe_move, minutes, title_of
 from matchlake.operators.temporal import so_far
 
-#: Objective kinds counted for a team. Fixed values.
-OBJECTIVES = {"dragons": ("ELITE_MONSTER_KILL", "DRAGON"), "barons": ("ELITE_MONSTER_KILL", "BARON_NASHOR"), "heralds": ("ELITE_MONSTER_KILL", "RIFTHERALD")}
-#: Least change of a feature that makes a moment, and what any other feature needs. Fixed values.
-THRESHOLDS = {"team_gold_lead": 1500.0, "cs_diff": 30.0, "kill_diff": 3.0, "dragon_diff": 1.0, "tower_diff": 2.0, "baron_diff": 1.0}
-DEFAULT_THRESHOLD = 2.0
-DIFFS = {"team_gold_lead": "total_gold", "xp_diff": "xp", "cs_diff": "cs", "kill_diff": "kills", "ward_diff": "ward_count", "level_diff": "avg_level", "dragon_diff": "dragons", "baron_diff": "barons", "tower_diff": "towers"}
+#: Objectives counted for a team, by monster. Fixed values.
+OBJECTIVES = {"dragon_count": "DRAGON", "baron_count": "BARON_NASHOR", "herald_count": "RIFTHERALD", "horde_count": "HORDE"}
+#: Differences to the other team, and the state that each is of. Fixed values.
+DIFFS = {
+    "team_gold_lead": "total_gold",
+    "team_xp_lead": "total_xp",
+    "team_cs_lead": "total_cs",
+    "team_kill_lead": "kills",
+    "team_ward_diff": "ward_count",
+    "team_dragon_diff": "dragon_count",
+    "team_tower_diff": "tower_count",
+    "team_baron_diff": "baron_count",
+    "team_herald_diff": "herald_count",
+}
+#: Own state in a vector, and its source. Fixed values.
+OWN = {
+    "team_total_gold": "total_gold",
+    "team_avg_level": "avg_level",
+    "team_dragons": "dragon_count",
+    "team_towers": "tower_count",
+    "team_barons": "baron_count",
+    "team_wards": "ward_count",
+    "team_spread": "spread",
+}
+#: What concepts are learned from, in this order. Fixed values.
+LEARNED = ("team_gold_lead", "team_xp_lead", "team_cs_lead", "team_kill_lead", "team_ward_diff", "team_dragon_diff", "team_tower_diff", "team_baron_diff", "team_herald_diff", "team_spread")
+#: Name, category and game phase of each concept. Fixed values.
+MEANING = {
+    "team_gold_lead": ("Gold Advantage", "economy", "all"),
+    "team_xp_lead": ("Experience Lead", "economy", "early"),
+    "team_kill_lead": ("Kill Pressure", "fighting", "all"),
+    "team_dragon_diff": ("Dragon Control", "objectives", "mid"),
+    "team_tower_diff": ("Tower Pressure", "objectives", "all"),
+    "team_baron_diff": ("Baron Control", "objectives", "late"),
+    "team_herald_diff": ("Rift Herald Usage", "objectives", "early"),
+    "team_ward_diff": ("Vision Control", "vision", "all"),
+    "team_cs_lead": ("Farming Efficiency", "economy", "early"),
+    "team_spread": ("Team Positioning", "macro", "mid"),
+}
+#: Least change that makes a moment; 1 for any other feature. Fixed values.
+THRESHOLDS = {
+    "team_gold_lead": 1500.0,
+    "team_xp_lead": 1000.0,
+    "team_cs_lead": 15.0,
+    "team_kill_lead": 2.0,
+    "team_ward_diff": 3.0,
+    "team_dragon_diff": 1.0,
+    "team_tower_diff": 1.0,
+    "team_baron_diff": 1.0,
+    "team_herald_diff": 1.0,
+    "team_spread": 1500.0,
+}
+DEFAULT_THRESHOLD = 1.0
 MOMENTS = 10
 
 
@@ -24,14 +71,25 @@ def game_states(frames: DataFrame, events: DataFrame) -> DataFrame:
 
     A tower counts for the team that did not lose it.
     """
-    state = frames.groupBy("match_id", "timestamp_ms", "team_id").agg(*(F.sum(c).alias(c) for c in ("total_gold", "xp", "cs", "kills", "deaths", "ward_count")), F.avg("level").alias("avg_level"), F.avg("pos_x").alias("avg_x"), F.avg("pos_y").alias("avg_y"), F.sqrt(F.var_pop("pos_x") + F.var_pop("pos_y")).alias("spread"))
+    state = frames.groupBy("match_id", "timestamp_ms", "team_id").agg(
+        F.sum("total_gold").alias("total_gold"),
+        F.sum("xp").alias("total_xp"),
+        F.sum(F.col("cs") + F.col("jungle_cs")).alias("total_cs"),
+        *(F.sum(c).alias(c) for c in ("ward_count", "kills", "deaths")),
+        F.avg("pos_x").alias("centroid_x"),
+        F.avg("pos_y").alias("centroid_y"),
+        F.sqrt(F.var_pop("pos_x") + F.var_pop("pos_y")).alias("spread"),
+        F.avg("level").alias("avg_level"),
+    )
     kind = F.get_json_object("details", "$.monsterType")
-    scorer = F.when(F.col("event_type") == "ELITE_MONSTER_KILL", F.col("killer_team")).when(F.col("event_type") == "BUILDING_KILL", F.when(F.col("team_id") == 100, 200).when(F.col("team_id") == 200, 100))
-    tower = (F.col("event_type") == "BUILDING_KILL") & (F.coalesce(F.get_json_object("details", "$.buildingType"), F.lit("TOWER_BUILDING")) == "TOWER_BUILDING")
-    marks = events.select("match_id", "timestamp_ms", scorer.alias("team_id"), *(((F.col("event_type") == e) & (kind == m)).cast("int").alias(n) for n, (e, m) in OBJECTIVES.items()), tower.cast("int").alias("towers")).filter(F.col("team_id").isNotNull())
+    killed = F.col("event_type") == "ELITE_MONSTER_KILL"
+    tower = (F.col("event_type") == "BUILDING_KILL") & (F.get_json_object("details", "$.buildingType") == "TOWER_BUILDING")
+    scorer = F.when(killed, F.col("killer_team")).when(tower, F.when(F.col("team_id") == 100, 200).when(F.col("team_id") == 200, 100))
+    counted = [F.coalesce((killed & (kind == m)).cast("int"), F.lit(0)).alias(n) for n, m in OBJECTIVES.items()]
+    marks = events.select("match_id", "timestamp_ms", scorer.alias("team_id"), *counted, F.coalesce(tower.cast("int"), F.lit(0)).alias("tower_count")).filter(F.col("team_id").isin(100, 200))
     both = state.withColumn("_state", F.lit(True)).unionByName(marks, allowMissingColumns=True)
     over = so_far(["match_id", "team_id"], "timestamp_ms")
-    names = [*OBJECTIVES, "towers"]
+    names = [*OBJECTIVES, "tower_count"]
     return both.withColumns({n: F.coalesce(F.sum(n).over(over), F.lit(0)) for n in names}).filter("_state").drop("_state")
 
 
@@ -39,20 +97,20 @@ def feature_vectors(states: DataFrame, games: DataFrame) -> DataFrame:
     """Two rows a timestamp, each team against the other; timestamps with one team only fall out (C4)."""
     other = states.select("match_id", "timestamp_ms", (300 - F.col("team_id")).alias("team_id"), *(F.col(c).alias(f"_{c}") for c in DIFFS.values()))
     rows = states.join(other, ["match_id", "timestamp_ms", "team_id"]).join(games.select("match_id", "winning_team"), "match_id")
-    return rows.select("match_id", "timestamp_ms", "team_id", minutes(F.col("timestamp_ms")).alias("minutes"), *((F.col(c) - F.col(f"_{c}")).alias(n) for n, c in DIFFS.items()), "total_gold", "kills", "deaths", "cs", "ward_count", "spread", (F.col("team_id") == F.col("winning_team")).cast("int").alias("won"))
+    return rows.select("match_id", "timestamp_ms", "team_id", minutes(F.col("timestamp_ms")).alias("minutes"), *((F.col(c) - F.col(f"_{c}")).alias(n) for n, c in DIFFS.items()), *(F.col(c).alias(n) for n, c in OWN.items()), (F.col("team_id") == F.col("winning_team")).cast("int").alias("won"))
 
 
 def discover_concepts(vectors: DataFrame, features: list[str], seed: int = 42, least: float = 0.01, rows: int = 20, trees: int = 100) -> DataFrame:
     """concept_id, feature_key, name, importance of the features that tell winners; none under so many rows."""
     spark = vectors.sparkSession
-    schema = "concept_id string, feature_key string, name string, importance double"
+    schema = "concept_id string, name string, explanation string, feature_key string, importance double, game_phase string, category string"
     if vectors.count() < rows:
         return spark.createDataFrame([], schema)
     data = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(vectors.withColumn("y", F.col("won").cast("double")))
     model = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, seed=seed).fit(data)
     found = sorted(((float(w), f) for f, w in zip(features, model.featureImportances.toArray(), strict=True) if w >= least), key=lambda x: (-x[0], x[1]))
-    out = spark.createDataFrame([(f"concept_{f}", f, w) for w, f in found], "concept_id string, feature_key string, importance double")
-    return out.select("concept_id", "feature_key", title_of(F.col("feature_key")).alias("name"), "importance")
+    rows = [(f"concept_{f}", MEANING.get(f, (None,))[0], f"This measures {f.replace('_', ' ')}.", f, w, MEANING.get(f, ("", "", "all"))[2], MEANING.get(f, ("", "general"))[1]) for w, f in found]
+    return spark.createDataFrame(rows, schema).withColumn("name", F.coalesce("name", title_of(F.col("feature_key"))))
 
 
 def key_moments(vectors: DataFrame, concepts: DataFrame, keep_all_teams: bool = False) -> DataFrame:
@@ -61,7 +119,7 @@ def key_moments(vectors: DataFrame, concepts: DataFrame, keep_all_teams: bool =
     The stored table's key lacks the team, so of two teams with the same time and concept the later one stays,
     team 200; keep_all_teams keeps both.
     """
-    keys = [c for c in DIFFS if c in vectors.columns]
+    keys = [c for c in (*DIFFS, *OWN) if c in vectors.columns]
     names = F.array(*(F.lit(c) for c in keys))
     values = F.array(*(F.col(c).cast("double") for c in keys))
     tall = vectors.select("match_id", "timestamp_ms", "team_id", "minutes", F.explode(F.arrays_zip(names.alias("feature_key"), values.alias("value"))).alias("f")).select("match_id", "timestamp_ms", "team_id", "minutes", F.col("f.feature_key").alias("feature_key"), F.col("f.value").alias("value"))
@@ -69,7 +127,7 @@ def key_moments(vectors: DataFrame, concepts: DataFrame, keep_all_teams: bool =
     delta = F.col("value") - F.lag("value").over(Window.partitionBy("match_id", "team_id", "feature_key").orderBy("timestamp_ms"))
     least = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in THRESHOLDS.items() for x in p)), F.col("feature_key")), F.lit(DEFAULT_THRESHOLD))
     rows = rows.withColumn("delta", delta).filter(F.abs("delta") >= least)
-    rows = rows.withColumn("impact_score", F.abs("delta") * F.col("importance")).withColumn("description", describe_move(F.col("name"), F.col("delta"), F.col("minutes")))
+    rows = rows.withColumn("impact_score", F.abs("delta") * F.col("importance")).withColumn("description", describe_move(F.col("name"), F.col("delta"), F.col("minutes"), F.col("explanation")))
     order = Window.partitionBy("match_id").orderBy(F.desc("impact_score"), F.desc("importance"), "concept_id", "team_id", "timestamp_ms")
     rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MOMENTS)
     if not keep_all_teams:

@@ -236,7 +236,7 @@ def f1_f3_versions(x: Tables) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events) SELECT event_id, round_even((ms % 3600000) / 60000.0, 0)::INT AS minute,
- CASE WHEN (ms // 3600000) % 24 < 6 THEN 0 WHEN (ms // 3600000) % 24 < 12 THEN 1 WHEN (ms // 3600000) % 24 < 17 THEN 2 WHEN (ms // 3600000) % 24 < 21 THEN 3 ELSE 4 END AS hours FROM e""")
+ CASE WHEN (ms // 3600000) % 24 < 6 THEN 1 WHEN (ms // 3600000) % 24 < 12 THEN 2 WHEN (ms // 3600000) % 24 < 18 THEN 3 ELSE 4 END AS hours FROM e""")
 def f8_f9_clock(x: Tables) -> DataFrame:
     ms = F.floor(F.col("us") / 1000)
     return x.stream.select("event_id", s.anchor_minute(ms % 3600000).alias("minute"), s.hour_bucket(ms).alias("hours"))
@@ -277,7 +277,7 @@ def f28_slugs(x: Tables) -> DataFrame:
     return x.pages.select("page_id", s.slug(F.col("url")).alias("slug"), s.is_email(F.col("url")).alias("email"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_retailprice / 2000 < 0.3 THEN 'low' WHEN p_retailprice / 2000 < 0.7 THEN 'medium' ELSE 'high' END AS band, floor((p_size / 64.0) * 32 + 0.5)::BIGINT || ' of 32 games' AS label FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_retailprice / 2000 < 0.3 THEN 'strong' WHEN p_retailprice / 2000 < 0.7 THEN 'moderate' ELSE 'weak' END AS band, floor((p_size / 64.0) * 32 + 0.5)::BIGINT || ' of 32 cohort games ended in a win' AS label FROM part""")
 def f29_labels(x: Tables) -> DataFrame:
     return x.part.select("p_partkey", s.confidence_band(F.col("p_retailprice") / 2000).alias("band"), s.wins_label(F.col("p_size") / F.lit(64.0), F.lit(32)).alias("label"))
 
@@ -288,9 +288,9 @@ def f30_time_encoding(x: Tables) -> DataFrame:
     return x.stream.select("event_id", F.round(code[0], 8).alias("s0"), F.round(code[3], 8).alias("c1"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'Gained' ELSE 'Lost' END || ' ' || lower(c_mktsegment) || ' by ' || printf('%.0f', abs(round(c_acctbal))) || ' at minute ' || (c_nationkey // 2) AS line FROM customer""")
+@query("""SELECT c_custkey, 'At ' || (c_nationkey // 2) || ' min, your team ' || CASE WHEN c_acctbal > 0 THEN 'gained ' ELSE 'lost ' END || lower(c_mktsegment) || '. ' || c_name AS line FROM customer""")
 def f24_descriptions(x: Tables) -> DataFrame:
-    return x.customer.select("c_custkey", s.describe_move(F.col("c_mktsegment"), F.round("c_acctbal"), F.col("c_nationkey") / 2).alias("line"))
+    return x.customer.select("c_custkey", s.describe_move(F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_nationkey") / 2, F.col("c_name")).alias("line"))
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS n_links, coalesce(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)[1], '') AS first_link FROM pages""")

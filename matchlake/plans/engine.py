@@ -12,7 +12,7 @@ from matchlake.operators import teamstate
 def process_all(frames: DataFrame, events: DataFrame, games: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Feature vectors, concepts and key moments. One plan for all matches; no loop over matches."""
     vectors = teamstate.feature_vectors(teamstate.game_states(frames, events), games)
-    concepts = teamstate.discover_concepts(vectors, list(teamstate.DIFFS))
+    concepts = teamstate.discover_concepts(vectors, list(teamstate.LEARNED))
     return vectors, concepts, teamstate.key_moments(vectors, concepts)
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake import schemas
-from matchlake.functions.scalars import inventory, major_minor
+from matchlake.functions.scalars import inventory, lookup, major_minor
 
 #: What a participant's position is called in the tables. Fixed values.
-ROLES = {"TOP": "TOP", "JUNGLE": "JUNGLE", "MIDDLE": "MIDDLE", "BOTTOM": "BOTTOM", "UTILITY": "UTILITY"}
+ROLES = {"TOP": "TOP", "JUNGLE": "JGL", "MIDDLE": "MID", "BOTTOM": "BOT", "UTILITY": "SUP", "": "UNK"}
 #: Event fields that columns hold, so that details does not; team ids are in both. Fixed values.
 IN_COLUMNS = ("type", "timestamp", "position", "participantId", "killerId", "victimId")
 
@@ -31,7 +31,7 @@ def games(matches: DataFrame) -> DataFrame:
     won = F.filter("info.participants", lambda p: p["win"])
     return matches.select(
         F.col("metadata.matchId").alias("match_id"),
-        major_minor(F.col("info.gameVersion")).alias("patch"),
+        F.coalesce("info.gameVersion", F.lit("")).alias("patch"),
         F.col("info.queueId").alias("queue_id"),
         F.col("info.gameDuration").alias("game_duration_s"),
         F.coalesce(F.get(won, 0)["teamId"], F.lit(0)).alias("winning_team"),
@@ -43,7 +43,7 @@ def participants(matches: DataFrame) -> DataFrame:
     """match_id, participant_slot, puuid, team_id, role, riot_id: the first ten of each match."""
     rows = matches.select(F.col("metadata.matchId").alias("match_id"), F.explode(F.slice("info.participants", 1, 10)).alias("p"))
     name, tag = F.col("p.riotIdGameName"), F.col("p.riotIdTagline")
-    return rows.select("match_id", F.col("p.participantId").alias("participant_slot"), F.col("p.puuid").alias("puuid"), F.col("p.teamId").alias("team_id"), F.coalesce(F.col("p.teamPosition"), F.lit("")).alias("role"), F.when(name.isNotNull() & (name != ""), F.concat_ws("#", name, tag)).alias("riot_id"))
+    return rows.select("match_id", F.col("p.participantId").alias("participant_slot"), F.col("p.puuid").alias("puuid"), F.col("p.teamId").alias("team_id"), lookup(F.coalesce(F.col("p.teamPosition"), F.lit("")), ROLES, "UNK").alias("role"), F.when(name.isNotNull() & (name != ""), F.concat_ws("#", name, tag)).alias("riot_id"))
 
 
 def _frames(timelines: DataFrame) -> DataFrame:
@@ -117,8 +117,8 @@ def frames(matches: DataFrame, timelines: DataFrame) -> DataFrame:
         zero("currentGold").alias("current_gold"),
         zero("totalGold").alias("total_gold"),
         zero("xp").alias("xp"),
-        zero("level").alias("level"),
-        (zero("minionsKilled") + zero("jungleMinionsKilled")).alias("cs"),
+        F.coalesce("level", F.lit(1)).alias("level"),
+        zero("minionsKilled").alias("cs"),
         zero("jungleMinionsKilled").alias("jungle_cs"),
         zero("position.x").alias("pos_x"),
         zero("position.y").alias("pos_y"),

@@ -16,7 +16,7 @@ from matchlake.sources import files, matches
 
 def frame(match="M1", slot=1, ts=0, team=None, **more):
     row = dict.fromkeys((f.name for f in schemas.table("frames").fields), 0)
-    return row | {"match_id": match, "participant_slot": slot, "puuid": f"p{slot}", "team_id": team or (100 if slot <= 5 else 200), "role": "MIDDLE", "timestamp_ms": ts, "item_ids": []} | more
+    return row | {"match_id": match, "participant_slot": slot, "puuid": f"p{slot}", "team_id": team or (100 if slot <= 5 else 200), "role": "MID", "timestamp_ms": ts, "item_ids": []} | more
 
 
 def event(match="M1", ts=0, kind="CHAMPION_KILL", **more):
@@ -47,14 +47,14 @@ def test_two_frame_match(two_frames):
     vectors = teamstate.feature_vectors(states, played)
     assert vectors.count() == 4
     blue = vectors.filter("team_id = 100 AND timestamp_ms = 600000").first()
-    assert (blue.won, blue.dragon_diff, blue.tower_diff, blue.team_gold_lead) == (1, 1, -1, 4000)
-    assert blue.spread == 0
+    assert (blue.won, blue.team_dragon_diff, blue.team_tower_diff, blue.team_gold_lead) == (1, 1, -1, 4000)
+    assert blue.team_spread == 0
 
 
 def test_state_includes_events_of_the_same_time(spark, two_frames):
     frames, _, _ = two_frames
     marks = table(spark, "events", [event(ts=600_000, kind="ELITE_MONSTER_KILL", killer_team=200, details='{"monsterType":"DRAGON"}')])
-    got = {(r.team_id, r.timestamp_ms): r.dragons for r in teamstate.game_states(frames, marks).collect()}
+    got = {(r.team_id, r.timestamp_ms): r.dragon_count for r in teamstate.game_states(frames, marks).collect()}
     assert got == {(100, 0): 0, (200, 0): 0, (100, 600_000): 0, (200, 600_000): 1}
 
 
@@ -67,18 +67,18 @@ def test_concepts_find_what_tells_winners(spark):
             up = (100 if s <= 5 else 200) == win
             rows.append(frame(match=f"M{i}", slot=s, ts=600_000, total_gold=3000 + 1000 * up, ward_count=4 * up, kills=3 if up else 1))
     vectors = teamstate.feature_vectors(teamstate.game_states(table(spark, "frames", rows), table(spark, "events", marks)), games(spark, played))
-    found = [r.feature_key for r in teamstate.discover_concepts(vectors, list(teamstate.DIFFS)).collect()]
+    found = [r.feature_key for r in teamstate.discover_concepts(vectors, list(teamstate.LEARNED)).collect()]
     assert any("gold" in f or "kill" in f for f in found)
-    assert teamstate.discover_concepts(vectors.limit(5), list(teamstate.DIFFS)).count() == 0
+    assert teamstate.discover_concepts(vectors.limit(5), list(teamstate.LEARNED)).count() == 0
 
 
 def test_moments_keep_the_later_team(spark):
     rows = [("M1", ts, team, ts / 60000, float(v if team == 100 else -v)) for ts, v in ((0, 0), (60_000, 2000), (120_000, 2100)) for team in (100, 200)]
     vectors = spark.createDataFrame(rows, "match_id string, timestamp_ms long, team_id int, minutes double, team_gold_lead double")
-    concepts = spark.createDataFrame([("c", "team_gold_lead", "Team Gold Lead", 0.5)], "concept_id string, feature_key string, name string, importance double")
+    concepts = spark.createDataFrame([("c", "team_gold_lead", "Gold Advantage", 0.5, "More gold.")], "concept_id string, feature_key string, name string, importance double, explanation string")
     got = teamstate.key_moments(vectors, concepts).collect()
     assert [(r.timestamp_ms, r.team_id, r.impact_score) for r in got] == [(60_000, 200, 1000.0)]
-    assert got[0].description == "Lost team gold lead by 2000 at minute 1"
+    assert got[0].description == "At 1 min, your team lost gold advantage. More gold."
     assert teamstate.key_moments(vectors, concepts, keep_all_teams=True).count() == 2
 
 
@@ -106,24 +106,24 @@ def test_recall_edges(spark):
     assert got == [(120_000, 1)]
 
 
-@pytest.mark.parametrize(("defenders", "near", "kind"), [(2, 100, "ENGAGE"), (5, 100, "DISENGAGE"), (2, 9000, None)])
+@pytest.mark.parametrize(("defenders", "near", "kind"), [(2, 100, ["ENGAGE"]), (5, 100, ["DISENGAGE", "ENGAGE"]), (2, 9000, [])])
 def test_engage_geometry(spark, defenders, near, kind):
     rows = [frame(slot=s, ts=60_000, pos_x=7000 + near * (s <= 3), pos_y=7000) for s in (1, 2, 3)] + [frame(slot=5 + s, ts=60_000, pos_x=7000, pos_y=7000) for s in range(1, defenders + 1)]
     kills = table(spark, "events", [event(ts=80_000, killer_id=1, victim_id=6, position_x=7000, position_y=7000)])
-    got = [(r.kind_id, r.actor, r.timestamp_ms) for r in tokens.engages(table(spark, "frames", rows), kills).collect()]
-    assert got == ([(tokens.KINDS[kind], 1, 60_000)] if kind else [])
+    got = sorted((r.kind_id, r.actor, r.timestamp_ms) for r in tokens.engages(table(spark, "frames", rows), kills).collect())
+    assert got == sorted((tokens.KINDS[k], 1 if k == "ENGAGE" else 6, 80_000) for k in kind)
 
 
 def test_token_stream_and_ward_switch(spark):
     frames = table(spark, "frames", [frame(slot=1, ts=t, pos_x=5000) for t in (0, 60_000)])
-    marks = table(spark, "events", [event(ts=0, killer_id=1, victim_id=6), event(ts=30_000, kind="WARD_PLACED", details='{"creatorId":2}'), event(ts=40_000, kind="LEVEL_UP", participant_id=11)])
+    marks = table(spark, "events", [event(ts=0, killer_id=1, victim_id=6), event(ts=30_000, kind="WARD_PLACED", details='{"creatorId":2}'), event(ts=40_000, kind="SKILL_LEVEL_UP", participant_id=11)])
     kinds = [r.kind_id for r in tokens.token_stream(frames, marks).orderBy("pos").collect()]
     assert kinds == [tokens.ANCHOR, 8, tokens.ANCHOR]
     fixed = [r.kind_id for r in tokens.token_stream(frames, marks, fix_ward_actor=True).orderBy("pos").collect()]
-    assert fixed == [tokens.ANCHOR, 8, 12, tokens.ANCHOR]
+    assert fixed == [tokens.ANCHOR, 8, 14, tokens.ANCHOR]
     label = tokens.anchor_labels(tokens.token_stream(frames, marks)).collect()
     assert [(r.anchor, r.next_label, r.kinds) for r in label] == [(1, 1, [8])]
-    assert tokens.padded(tokens.token_stream(frames, marks), 5).first().kinds == [2, 8, 2, 1, 1]
+    assert tokens.padded(tokens.token_stream(frames, marks), 5).first().kinds == [0, 8, 0, 1, 1]
     tensor = tokens.frame_tensor(frames, ["total_gold", "pos_x"]).orderBy("timestamp_ms").collect()[1].vector
     assert len(tensor) == 21 and tensor[1] == 5000.0 and tensor[-1] == 1.0 and tensor[2] == 0.0
     outcome = spark.createDataFrame([("M1", 1)], "match_id string, blue_win int")
@@ -202,7 +202,7 @@ def test_effects_recover_a_known_one(spark):
 def test_lesson_flips_red(spark):
     rows = [("g", 0, 200, 0, 0.2, 0.9, 10), ("g", 1, 200, 0, 0.95, 0.75, 32)]
     got = cohort.lessons(spark.createDataFrame(rows, "game string, pos int, side int, won int, entropy double, rate double, size int"), "game").first()
-    assert (got.pos, got.rate, got.kind, got.confidence, got.label) == (1, 0.25, "mistake", "high", "8 of 32 games")
+    assert (got.pos, got.rate, got.kind, got.confidence, got.label) == (1, 0.25, "mistake", "weak", "8 of 32 cohort games ended in a win")
 
 
 def test_upsert_wipes_names_but_keeps_ranks(spark):
@@ -236,14 +236,14 @@ def test_flatten_documents(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(match))
     (tmp_path / "t.json.gz").write_bytes(gzip.compress(json.dumps(timeline()).encode()))
     m, t = matches.read_matches(spark, str(tmp_path / "m.json")), matches.read_timelines(spark, str(tmp_path / "t.json.gz"))
-    assert matches.games(m).first().asDict() == {"match_id": "NA1_1", "patch": "14.9", "queue_id": 420, "game_duration_s": 1800, "winning_team": 200, "created_at": 5}
+    assert matches.games(m).first().asDict() == {"match_id": "NA1_1", "patch": "14.9.581.1", "queue_id": 420, "game_duration_s": 1800, "winning_team": 200, "created_at": 5}
     assert matches.live_patch(m, "14.8").count() == 0 and matches.live_patch(m, "14.9").count() == 1
     rows = {(r.participant_slot, r.timestamp_ms): r for r in matches.frames(m, t).collect()}
     assert len(rows) == 30
     # the kill has a later time than its frame, and yet the frame shows it
     assert (rows[1, 60_000].kills, rows[6, 60_000].deaths, rows[2, 60_000].assists, rows[1, 0].kills) == (1, 1, 1, 0)
     assert rows[1, 60_000].item_ids == [11, 10] and rows[1, 120_000].item_ids == [10, 12] and rows[4, 120_000].ward_count == 1
-    assert rows[1, 0].cs == 11
+    assert (rows[1, 0].cs, rows[1, 0].jungle_cs, rows[1, 0].role) == (5, 6, "TOP")
     got = matches.events(t).filter("event_type = 'WARD_PLACED'").first()
     assert json.loads(got.details) == {"creatorId": 4, "wardType": "YELLOW"} and got.participant_id is None
     assert matches.participants(m).first().riot_id == "n#t"
@@ -307,3 +307,57 @@ def test_cooldown_stream(spark, tmp_path):
     out = []
     drain(cooled_down(source, "k", "us", 100), lambda df, n: out.extend((r.k, r.us) for r in df.collect()), str(tmp_path / "ck"))
     assert sorted(out) == [("a", 0), ("a", 100), ("b", 10)]
+
+
+def test_payloads_and_decisions(spark):
+    frames = table(spark, "frames", [frame(slot=1, ts=t, pos_x=5000) for t in (0, 60_000, 120_000)])
+    marks = table(spark, "events", [event(ts=1, kind="ELITE_MONSTER_KILL", killer_id=3, details='{"monsterType":"dragon","monsterSubType":"FIRE_DRAGON"}'), event(ts=2, kind="ITEM_PURCHASED", participant_id=3, details='{"itemId":20000}'), event(ts=3, kind="SKILL_LEVEL_UP", participant_id=3, details="no json"), event(ts=61_000, kind="BUILDING_KILL", killer_id=2, details='{"buildingType":"X","laneType":"MID_LANE"}')])
+    rows = tokens.token_stream(frames, marks).orderBy("pos").collect()
+    assert [(r.kind_id, r.monster_type_id, r.monster_subtype_id, r.item_id, r.building_type_id, r.lane_type_id, r.tower_type_id) for r in rows if r.kind_id] == [(10, 2, 5, 0, 0, 0, 0), (12, 0, 0, 0, 0, 0, 0), (13, 0, 0, 0, 0, 0, 0), (9, 0, 0, 0, 1, 3, 0)]
+    made = {(r.anchor, r.actor): r.decision for r in tokens.decision_labels(tokens.token_stream(frames, marks)).collect()}
+    assert made[1, 3] == 1 and made[1, 1] == 6 and made[2, 3] == 6 and len(made) == 30
+
+
+def test_macro_state(spark, two_frames):
+    frames, events, _ = two_frames
+    more = table(spark, "events", [event(ts=100, kind="TURRET_PLATE_DESTROYED", details='{"teamId":200}'), event(ts=600_000, kind="ELITE_MONSTER_KILL", killer_team=200, details='{"monsterType":"BARON_NASHOR"}')])
+    got = {r.timestamp_ms: r for r in tokens.macro_state(frames, events.unionByName(more)).collect()}
+    last = got[600_000]
+    assert last.gold_diff == pytest.approx(4000 / 25000) and last.kill_diff == pytest.approx(5 / 30) and last.tower_diff == pytest.approx(-1 / 11)
+    assert (last.plate_diff, last.baron_present, last.blue_dragon_count) == (pytest.approx(1 / 15), 1.0, pytest.approx(1 / 6)) and last.baron_diff == pytest.approx(-1 / 3)
+    assert got[0].baron_present == 0.0 and last.red_centroid_x == pytest.approx(8000 / 15000)
+
+
+def test_static_vectors(spark, tmp_path):
+    from matchlake.operators import static
+
+    who = [{"participantId": s, "puuid": f"p{s}", "teamId": 100 if s <= 5 else 200, "championId": s * 10} for s in range(1, 4)]
+    match = {"metadata": {"matchId": "EUW1_1"}, "info": {"gameVersion": "14.9.581.1", "queueId": 420, "gameCreation": 13 * 3_600_000, "platformId": "euw1", "participants": who}}
+    (tmp_path / "m.json").write_text(json.dumps(match))
+    m = matches.read_matches(spark, str(tmp_path / "m.json"))
+    bare = static.static_vectors(m).first().vector
+    assert len(bare) == 1047 and bare[:4] == [10.0, 20.0, 30.0, 0.0] and bare[20:23] == [420.0, 3.0, 3.0] and bare[23 + 120 : 23 + 123] == [14.0, 9.0, 1.0] and sum(bare[23 : 23 + 120]) == 0
+    champions = spark.createDataFrame([("14.9.1", "20", {"hp": 600.0, "attackspeed": 0.6})], "version string, key string, stats map<string,double>")
+    items = spark.createDataFrame([("14.9.1", {"FlatArmorMod": 30.0}), ("14.9.1", {"FlatArmorMod": 5.0, "x": 1.0})], "version string, stats map<string,double>")
+    full = static.static_vectors(m, champions, items).first().vector
+    assert full[23 + 10] == 600.0 and full[23 + 19] == 0.6 and full[23 + 102] == 35.0 and len(full) == 1047
+    assert static.static_anchors(static.static_vectors(m), table(spark, "frames", [frame("EUW1_1", ts=t) for t in (0, 1)])).count() == 2
+
+
+def test_rank_probe(spark):
+    from matchlake.operators.probe import classify_rank_use, rank_probe
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=3) + (i % 3)], i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, band int")
+    assert rank_probe(df, "k", "v", "band") > 0.75
+    assert np.isnan(rank_probe(df.limit(50), "k", "v", "band"))
+    assert classify_rank_use({"player_emb": 0.74, "h_t": 0.83, "post_mu": 0.6}, 0.06) == "mixed_or_unclear"
+    assert classify_rank_use({"player_emb": 0.74, "h_t": 0.5}, 0.06) == "under_use" and classify_rank_use({"h_t": 0.8, "post_mu": 0.7}, 0.05) == "over_leak"
+
+
+def test_hedges_and_labels(spark):
+    from matchlake.functions import scalars as s
+
+    row = spark.range(1).select(s.hedged(F.lit(" The fight goes your way "), F.lit("strong")).alias("a"), s.size_label(F.lit(16)).alias("b"), s.tier_band(F.lit(6)).alias("c"), s.band_distance(F.lit(-1), F.lit(2)).alias("d"), s.route_of(F.lit("KR_123")).alias("e"), s.route_of(F.lit("zz_1")).alias("f"), s.shifted_label(F.lit(8)).alias("g"), s.unshifted_label(F.lit(1)).alias("h"), s.remove_first(F.array(F.lit(1), F.lit(2), F.lit(1)), F.lit(1)).alias("i"), s.clamp(F.lit(None).cast("int"), 0, 1).alias("j"), s.symmetric_gaussian_kl(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(1.0)).alias("k")).first()
+    assert tuple(row) == ("In most cohort games, the fight goes your way.", "16 near-neighbors", 2, 4, "asia", "americas", 1, 8, [2, 1], None, 0.0)
