@@ -27,14 +27,14 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_on: s
     Of right rows with one time that with the largest tie wins. Values are null where there is no such row.
     One shuffle: both sides are put in one relation and the newest right row is carried forward.
     """
-    held = F.struct(F.col(right_on).alias("_at"), *([F.col(tie).alias("_tie")] if tie else []), *(F.col(v).alias(f"_{v}") for v in values))
+    held = F.struct(F.col(right_on).alias("at"), *([F.col(tie).alias("tie")] if tie else []), *(F.col(v).alias(f"value_{k}") for k, v in enumerate(values)))
     empty = left.columns
     a = left.select(*empty, (F.col(left_on) - offset).alias("_time"), F.lit(True).alias("_left"))
     b = right.select(*keys, F.col(right_on).alias("_time"), held.alias("_held"))
     both = a.unionByName(b, allowMissingColumns=True)
     carried = F.max("_held").over(so_far(keys, "_time"))
     out = both.withColumn("_last", carried).filter("_left")
-    return out.select(*empty, *(F.col(f"_last._{v}").alias(v) for v in values))
+    return out.select(*empty, *(F.col(f"_last.value_{k}").alias(v) for k, v in enumerate(values)))
 
 
 def lag_delta(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "delta") -> DataFrame:
