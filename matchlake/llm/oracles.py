@@ -60,4 +60,42 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM
 SELECT n.doc_id, n_shingles, c.component_id FROM n JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = n.doc_id
 """
 
-SQL = {"op2_warc": _OP2, "op3_decontamination": _OP3, "op4_chat": _OP4, "op5_ngram_join": _OP5}
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(right('000' || p, 3) AS INT), 999) <= 255))"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda k: CASE WHEN k % 2 = 0 THEN substr(d, length(d) - k, 1)::INT WHEN substr(d, length(d) - k, 1)::INT > 4 THEN substr(d, length(d) - k, 1)::INT * 2 - 9 ELSE substr(d, length(d) - k, 1)::INT * 2 END)) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15"),
+)
+
+
+def _found(kind: int, pattern: str) -> str:
+    return f"SELECT row, doc_id, {kind} AS kind, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM t"
+
+
+def _lengths(values: str) -> str:
+    return f"coalesce(list_sum(list_transform({values}, lambda g: length(g))), 0)"
+
+
+_OP1 = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_found(k, p) for k, (_, p, _) in enumerate(_KINDS))}),
+e AS (SELECT row, doc_id, kind, i, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d, ({_lengths("gs[1:i]")} + {_lengths("ms[1:i - 1]")})::BIGINT AS start, gs[i] AS gap, gs[i + 1] AS next
+ FROM f, LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS i)),
+b AS (SELECT *, start + length(m) AS stop, kind || ' ' || lower(m) AS entity FROM e WHERE CASE kind {" ".join(f"WHEN {k} THEN {c}" for k, (_, _, c) in enumerate(_KINDS))} END),
+w0 AS (SELECT row, entity, start, stop, CASE WHEN length(gap) > 64 THEN regexp_replace(right(gap, 65), '^[\\p{{L}}\\p{{N}}]*', '') ELSE gap END AS befores, CASE WHEN length(next) > 64 THEN regexp_replace(left(next, 65), '[\\p{{L}}\\p{{N}}]*$', '') ELSE next END AS afters FROM b),
+sides AS (SELECT row, entity, befores AS side, start - length(befores) AS f0 FROM w0 UNION ALL SELECT row, entity, afters, stop FROM w0),
+runs AS (SELECT *, regexp_extract_all(side, '[\\p{{L}}\\p{{N}}]+') AS ws, string_split_regex(side, '[\\p{{L}}\\p{{N}}]+') AS gs FROM sides),
+terms AS (SELECT row, entity, lower(ws[k]) AS term, f0 + {_lengths("gs[1:k]")} + {_lengths("ws[1:k - 1]")} AS start, length(ws[k]) AS n FROM runs, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS k) WHERE length(ws[k]) >= 3 AND regexp_matches(ws[k], '^\\p{{L}}')),
+pairs AS (SELECT entity, term, count(DISTINCT row) AS n_both FROM terms GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+ents AS (SELECT entity, count(DISTINCT row) AS n_entity FROM b GROUP BY ALL),
+words AS (SELECT w AS term, count(*) AS n_term FROM (SELECT unnest(list_distinct(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+'))) AS w FROM t) WHERE w IN (SELECT term FROM pairs) GROUP BY ALL),
+told AS (SELECT entity, term FROM pairs JOIN ents USING (entity) JOIN words USING (term), (SELECT count(*)::DOUBLE AS n FROM t) WHERE n_entity < n AND n_term <= n_both * pow(n / n_entity, 1 - 0.8) * (1 + 1e-12)),
+added AS (SELECT DISTINCT row, 4 AS kind, start, start + n AS stop FROM terms JOIN told USING (entity, term)),
+every AS (SELECT row, kind, start, stop FROM b UNION ALL SELECT row, kind, start, stop FROM added a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.row = a.row AND b.start < a.stop AND a.start < b.stop)),
+s AS (SELECT row, string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY kind, start) AS spans,
+ string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY kind, start) FILTER (kind < 4) AS base,
+ {", ".join(f"count(*) FILTER (kind = {k}) AS n_{n}" for k, (n, _, _) in enumerate(_KINDS))} FROM every GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n, _, _ in _KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN s USING (row)
+"""
+
+SQL = {"op1_pii": _OP1, "op2_warc": _OP2, "op3_decontamination": _OP3, "op4_chat": _OP4, "op5_ngram_join": _OP5}
