@@ -41,8 +41,8 @@ def priority_bump(df: DataFrame, handled: DataFrame, key: str, tier: str, lp: st
 def random_per_query(queries: DataFrame, corpus: DataFrame, query: str, row: str, k: int, seed: int, exclude_same: bool = True) -> DataFrame:
     """k corpus rows a query without replacement, by a hash of seed, query and row.
 
-    A query draws from one random bucket of the corpus and, where that is short, all of it is ranked by hash;
-    buckets are sized to hold some hundred rows, so no query meets the whole corpus.
+    A query draws from one bucket of a random partition of the corpus. Buckets have 256 rows or eight times k
+    on average, whichever is more, so no query meets the whole corpus and none runs short.
     """
     n = corpus.count()
     buckets = max(1, n // max(256, 8 * k))
