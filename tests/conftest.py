@@ -50,7 +50,7 @@ def rows_of(frame) -> list[str]:
         if x is None or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
         if isinstance(x, float):
-            return f"{x:.9g}"
+            return str(int(x)) if x.is_integer() else f"{x:.9g}"  # a column of integers with nulls comes as floats
         return repr(tuple(x)) if hasattr(x, "tolist") and getattr(x, "ndim", 0) else str(x)
 
     frame = frame[sorted(frame.columns)]
