@@ -124,6 +124,11 @@ def hash_share(key: Column) -> Column:
     return F.conv(F.right(F.sha1(F.encode(key, "UTF-8")), F.lit(8)), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def seeded(seed: int, *keys: Column) -> Column:
+    """SHA-1 of a seed and keys: an order that depends on nothing else."""
+    return F.sha1(F.encode(F.concat_ws(":", F.lit(seed).cast("string"), *(k.cast("string") for k in keys)), "UTF-8"))
+
+
 def content_key(*parts: Column) -> Column:
     """First 16 hex digits of SHA-256 over the parts with a NUL after each."""
     joined = F.concat(*(x for p in parts for x in (F.encode(p.cast("string"), "UTF-8"), F.lit(bytearray(b"\x00")))))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,16 +53,23 @@ def heatmap(df: DataFrame, row: str, col: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(row)))
 
 
-def roc_auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None, one_class: float | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None, one_class: float | None = None, cells: int = 256) -> DataFrame:
     """Area under the ROC curve from rank sums with mean ranks for ties (A21); one_class if a class is missing.
 
-    Rows are first counted by score, so the ordered pass has a row for each distinct score.
+    Rows are first counted by score. Scores are then cut into cells at approximate quantiles: running counts are
+    taken within a cell, and what lies in lower cells is added from a table of a row a cell, so no task holds
+    all scores. Where the cuts lie changes no result.
     """
     keys = keys or []
-    by = df.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_neg"))
-    over = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("_below", F.coalesce(F.sum("_neg").over(over), F.lit(0)))
-    out = by.groupBy(*keys).agg(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_u"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+    rows = df.filter(F.col(score).isNotNull())
+    cuts = sorted(set(rows.approxQuantile(score, [k / cells for k in range(1, cells)], 0.01)))
+    by = rows.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_neg"))
+    by = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_score", outputCol="_cell", handleInvalid="keep").transform(by)
+    lower = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = by.groupBy(*keys, "_cell").agg(F.sum("_neg").alias("_cell_neg")).withColumn("_before", F.coalesce(F.sum("_cell_neg").over(lower), F.lit(0))).drop("_cell_neg")
+    over = Window.partitionBy(*keys, "_cell").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.withColumn("_below", F.coalesce(F.sum("_neg").over(over), F.lit(0))).join(sums, [*keys, "_cell"])
+    out = by.groupBy(*keys).agg(F.sum(F.col("_pos") * (F.col("_before") + F.col("_below") + F.col("_neg") / 2.0)).alias("_u"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos") * F.col("n_neg")))
     return out.select(*keys, "n_pos", "n_neg", (area if one_class is None else F.coalesce(area, F.lit(one_class))).alias("auc"))
 
@@ -121,6 +129,3 @@ def map_total(df: DataFrame, maps: str, keys: list[str]) -> DataFrame:
     """Sums of some keys of a map column over all rows; a missing key is 0."""
     return df.agg(*(F.sum(F.coalesce(F.try_element_at(F.col(maps), F.lit(k)), F.lit(0.0))).alias(k) for k in keys))
 
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

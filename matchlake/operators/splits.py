@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.scalars import hash_share
 
 
-def rank_players(pairs: DataFrame, player: str, cells: int = 4096) -> DataFrame:
-    """player, place: 0-based place by SHA-1, then key. Places are cell offsets plus a rank within the cell of the
-    first 12 bits, so the order is global but no task sorts everything."""
-    keys = pairs.select(player).filter(F.col(player).isNotNull()).distinct().withColumn("_h", F.sha1(F.encode(F.col(player).cast("string"), "UTF-8")))
-    keys = keys.withColumn("_cell", F.conv(F.left("_h", F.lit(3)), 16, 10).cast("int"))
+def places_by(df: DataFrame, key: str, digest: Column) -> DataFrame:
+    """key, place: 0-based place in the order of a hexadecimal digest, then the key. Places are cell offsets plus a rank
+    within the cell of the digest's first 12 bits, so the order is global but no task sorts everything."""
+    keys = df.withColumn("_h", digest).withColumn("_cell", F.conv(F.left("_h", F.lit(3)), 16, 10).cast("int"))
     sizes = keys.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", player)) - 1
-    return keys.withColumn("_rank", rank).join(F.broadcast(sizes.select("_cell", "_before")), "_cell").select(player, (F.col("_rank") + F.col("_before")).alias("place"))
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", key)) - 1
+    return keys.withColumn("_rank", rank).join(F.broadcast(sizes.select("_cell", "_before")), "_cell").select(key, (F.col("_rank") + F.col("_before")).alias("place"))
+
+
+def rank_players(pairs: DataFrame, player: str) -> DataFrame:
+    """player, place: 0-based place by SHA-1, then key."""
+    keys = pairs.select(player).filter(F.col(player).isNotNull()).distinct()
+    return places_by(keys, player, F.sha1(F.encode(F.col(player).cast("string"), "UTF-8")))
 
 
 def player_cold(pairs: DataFrame, games: DataFrame, player: str, game: str, fraction: float, tolerance: float = 0.1) -> tuple[DataFrame, DataFrame, int]:

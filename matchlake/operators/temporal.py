@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.functions.scalars import seeded
+
 
 def so_far(keys: list[str], order: str) -> Window:
     """Everything up to and including the row's time; rows of the same time count together."""
@@ -123,7 +125,7 @@ def budget_batches(df: DataFrame, keys: list[str], order: list[str], sizes: list
 
 def seeded_order(df: DataFrame, key: str, seed: int) -> DataFrame:
     """df in an order that depends on the seed and the key alone."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    return df.orderBy(seeded(seed, F.col(key)), key)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

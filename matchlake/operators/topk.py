@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.functions.scalars import seeded
+
 
 def recent_distinct(df: DataFrame, columns: list[str], order: str, n: int) -> DataFrame:
     """The n distinct rows of columns whose newest order value is largest."""
@@ -38,6 +40,10 @@ def priority_bump(df: DataFrame, handled: DataFrame, key: str, tier: str, lp: st
     return df.filter(F.col(tier) >= least).join(handled.select(key), key, "left_anti").orderBy(F.desc(lp), key).limit(n)
 
 
+def _bucket(digest: Column, buckets: int) -> Column:
+    return F.conv(F.right(digest, F.lit(8)), 16, 10).cast("long") % buckets
+
+
 def random_per_query(queries: DataFrame, corpus: DataFrame, query: str, row: str, k: int, seed: int, exclude_same: bool = True) -> DataFrame:
     """k corpus rows a query without replacement, by a hash of seed, query and row.
 
@@ -46,19 +52,19 @@ def random_per_query(queries: DataFrame, corpus: DataFrame, query: str, row: str
     """
     n = corpus.count()
     buckets = max(1, n // max(256, 8 * k))
-    rows = corpus.select(row).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), F.col(row)), F.lit(buckets)))
-    asks = queries.select(query).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(query)), F.lit(buckets)))
+    rows = corpus.select(row).withColumn("_b", _bucket(seeded(seed, F.col(row)), buckets))
+    asks = queries.select(query).withColumn("_b", _bucket(seeded(seed + 1, F.col(query)), buckets))
     pairs = asks.join(rows, "_b")
     if exclude_same:
         pairs = pairs.filter(F.col(query) != F.col(row))
-    return per_group(pairs, [query], [F.xxhash64(F.lit(seed), F.col(query), F.col(row)), F.col(row)], k).drop("_b")
+    return per_group(pairs, [query], [seeded(seed, F.col(query), F.col(row)), F.col(row)], k).drop("_b")
 
 
 def balanced(df: DataFrame, label: str, key: str, seed: int, most: int | None = None) -> DataFrame:
     """As many rows of each class as the rarest has, or most if that is less."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     least = counts.agg(F.min("_n").alias("_least"))
-    over = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    over = Window.partitionBy(label).orderBy(seeded(seed, F.col(key)), key)
     rows = df.withColumn("_rn", F.row_number().over(over)).crossJoin(F.broadcast(least))
     cap = F.col("_least") if most is None else F.least(F.col("_least"), F.lit(most))
     return rows.filter(F.col("_rn") <= cap).drop("_rn", "_least")

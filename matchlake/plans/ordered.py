@@ -156,3 +156,12 @@ def p15_rotating_stride(x: Tables) -> DataFrame:
     from matchlake.operators.topk import rotating_stride
 
     return rotating_stride(x.stream, ["user_id"], ["us", "event_id"], 4, 7).select("user_id", "event_id")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY sha1('5:' || c_custkey), c_custkey) - 1 AS place FROM customer")
+def w15_seeded_order(x: Tables) -> DataFrame:
+    """Places in a seeded order: ranks within hash cells, and the sizes of the cells before."""
+    from matchlake.functions.scalars import seeded
+    from matchlake.operators.splits import places_by
+
+    return places_by(x.customer.select("c_custkey"), "c_custkey", seeded(5, F.col("c_custkey")))

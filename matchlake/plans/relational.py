@@ -176,7 +176,9 @@ def t11_priority_bump(x: Tables) -> DataFrame:
     return k.priority_bump(x.customer, done, "c_custkey", "c_nationkey", "c_acctbal", 10, 40).select("c_custkey", "c_acctbal")
 
 
-@query()
+@query("""WITH n AS (SELECT greatest(1, count(*) // 256) AS b FROM embeddings), c AS (SELECT vec_id AS row_id, ('0x' || right(sha1('7:' || vec_id), 8))::BIGINT % b AS k FROM embeddings, n),
+q AS (SELECT vec_id AS query_id, ('0x' || right(sha1('8:' || vec_id), 8))::BIGINT % b AS k FROM embeddings, n WHERE vec_id % 50 = 0),
+r AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY sha1('7:' || query_id || ':' || row_id), row_id)::INT AS rank FROM q JOIN c USING (k) WHERE query_id <> row_id) SELECT * FROM r WHERE rank <= 16""")
 def t12_random_cohort(x: Tables) -> DataFrame:
     asks = x.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
     return k.random_per_query(asks, x.embeddings.withColumnRenamed("vec_id", "row_id"), "query_id", "row_id", 16, 7)
@@ -187,7 +189,8 @@ def t13_stratified(x: Tables) -> DataFrame:
     return k.stratified(x.customer.withColumn("band", F.col("c_nationkey") % 4), [0, 1, 2, 3], "band", "c_custkey", 30)
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha1('3:' || doc_id), doc_id) AS rn FROM labels), m AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM labels GROUP BY quality))
+SELECT doc_id, quality FROM l, m WHERE rn <= least""")
 def t14_balanced(x: Tables) -> DataFrame:
     return k.balanced(x.labels, "quality", "doc_id", 3).select("doc_id", "quality")
 
