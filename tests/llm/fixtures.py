@@ -12,7 +12,7 @@ def docs(spark, texts, extra: bool = False):
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("kind", "hash", "bucket", "list", "start", "stop", "base_text", "item", "n", "size"):
+        for name in ("kind", "hash", "bucket", "list", "start", "stop", "_row", "_text", "_key", "_id", "_hash", "_text_hash", "item", "n", "size", "llr", "kept", "tails", "base", "dotted.name"):
             df = df.withColumn(name, F.lit(7))
     return df
 

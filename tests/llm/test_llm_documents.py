@@ -220,4 +220,6 @@ def test_bpe_matches_tiktoken(spark, monkeypatch):
     got = Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in bpe.decode_documents(encoded, path).collect())
     enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=bpe.read_ranks(spark, path), special_tokens={})
     assert got == Counter((i, tuple(enc.encode_ordinary(t or "")), (t or "").encode()) for i, t in texts)
+    one = bpe.encode_documents(df, path, p.PATTERN, decode=True)
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in one.collect()) == got
     assert bpe.encode_documents(df.limit(0), path, p.PATTERN).count() == 0

@@ -104,7 +104,7 @@ def test_secret_base_spans_and_exact_decoding(spark):
     want = Counter((i, tuple((secrets.KINDS[k], s, e) for s, k, e in brute_secrets(t or ""))) for i, t in texts)
     assert Counter((r.doc_id, tuple(map(tuple, r.base))) for r in got) == want
     assert all(set(map(tuple, r.base)) <= set(map(tuple, r.spans)) for r in got)
-    assert secrets.find_secrets(df.limit(0), field).count() == 0 and secrets.find_secrets(df).columns == [*df.columns, "base", "spans"]
+    assert secrets.find_secrets(df.limit(0), field).count() == 0 and secrets.find_secrets(df).columns == [*(c for c in df.columns if c != "base"), "base", "spans"]
 
 
 def test_stretches_decode_as_whole_texts():
