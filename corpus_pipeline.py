@@ -39,7 +39,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.decode_documents(bpe.encode_documents(docs, path, public_tokenizers.PATTERN), path)
+    both = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, decode=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

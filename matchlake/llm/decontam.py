@@ -11,7 +11,7 @@ the shingles themselves.
 Words are runs of letters and digits, lower-cased. Defined results: null and empty texts hold nothing; an
 item with fewer words than a shingle has none and is found nowhere; repeated rows and items give one pair,
 with the largest count; null ids stay null; empty tables give an empty result. Other columns of documents
-pass through decontaminate(); names that begin with an underscore are taken.
+pass through decontaminate(), whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import materialise, once, text_or_empty
+from matchlake.llm.shared import boxed, materialise, once, text_or_empty, unboxed
 
 WIDTH = 5
 #: Percent of an item's distinct shingles that a document holds when the item counts as contained.
@@ -92,4 +92,5 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> Data
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents that contain no item."""
     dirty = materialise(contained_items(docs, items, threshold).select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash")).distinct(), "dirty")
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    rows = boxed(docs, _own=F.col("doc_id"), _text_hash=F.xxhash64("text"))
+    return unboxed(rows.join(dirty, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti"))

@@ -17,7 +17,7 @@ pivots, and only pairs that are then still apart are taken in full. No link is l
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; fewer than five
 words make one shingle; repeated rows are linked with one another; the smallest id passes over null ids, and
 a row with a null id takes the id of its component; an empty table gives an empty result. Other columns
-pass through keep_one(); names that begin with an underscore are taken.
+pass through keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import lookup_hot_safe, materialise, text_or_empty
+from matchlake.llm.shared import boxed, lookup_hot_safe, materialise, small_batches, text_or_empty, tidied, unboxed
 
 WIDTH, PERCENT = 5, 80
 #: A shingle that more classes have than this is frequent; at most so many shingles count as frequent.
@@ -43,7 +43,7 @@ LONG = 32
 #: Bits of the filter that says of which classes the sets are wanted, at least and at most.
 FILTER_BITS = (16, 27)
 #: Prefix entries that one partition is planned to hold, and that a task holds before it sends them on.
-PART_ENTRIES, HELD_ENTRIES = 2_000_000, 2_000_000
+PART_ENTRIES, HELD_ENTRIES = 2_000_000, 1_000_000
 #: Rounds in which members meet pivots only, and random pivots of a list beside its best linked member.
 ROUNDS, PIVOTS = 3, 2
 
@@ -168,9 +168,9 @@ def describe(docs: DataFrame, parts: int, bits: int) -> tuple[DataFrame, np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(value[many].astype(np.int64)), pa.array(times[many].astype(np.int64))], ["value", "times"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_hash"), text_or_empty().alias("_text"))
-    both = materialise(rows.mapInArrow(send, "doc_id long, _text_hash long, n_shingles long, cls long, bucket int, blob binary"), "described")
+    both = materialise(rows.mapInArrow(tidied(send), "doc_id long, _text_hash long, n_shingles long, cls long, bucket int, blob binary"), "described")
     sent = both.filter("bucket IS NOT NULL").select("bucket", "blob")
-    found = _dealt(sent, parts).mapInArrow(count, "value long, times long")
+    found = _dealt(sent, parts).mapInArrow(tidied(count), "value long, times long")
     top = found.orderBy(F.desc("times"), "value").limit(FREQUENT_HELD).toArrow()
     return both.filter("bucket IS NULL").drop("bucket", "blob"), np.sort(top.column("value").to_numpy().astype(np.uint64))
 
@@ -258,8 +258,8 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
             for at in range(0, a + b + c, 100_000):
                 yield pa.RecordBatch.from_arrays([signed(*kinds), signed(entry, *zero[1:]), signed(grp, one[0], both[0]), signed(zero[0], one[1], both[1]), signed(n, one[2], both[2]), signed(pos, zero[1], both[3])], names).slice(at, 100_000)
 
-    rows = docs.select(text_or_empty().alias("_text")).mapInArrow(send, "bucket int, blob binary")
-    return materialise(_dealt(rows, parts).mapInArrow(meet, "kind long, list long, grp long, cls long, n long, pos long"), "lists")
+    rows = docs.select(text_or_empty().alias("_text")).mapInArrow(tidied(send), "bucket int, blob binary")
+    return materialise(_dealt(rows, parts).mapInArrow(tidied(meet), "kind long, list long, grp long, cls long, n long, pos long"), "lists")
 
 
 def _short_pairs(entry: np.ndarray, grp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -342,7 +342,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, parts: int) -> str:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["cls", "shingles"])
 
     name = f"matchlake_sets_{uuid.uuid4().hex}"
-    rows = docs.select(text_or_empty().alias("_text")).mapInArrow(sets, "cls long, shingles binary")
+    rows = docs.select(text_or_empty().alias("_text")).mapInArrow(tidied(sets), "cls long, shingles binary")
     rows.repartition(parts, "cls").dropDuplicates(["cls"]).write.bucketBy(parts, "cls").saveAsTable(name)
     return name
 
@@ -363,7 +363,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("_y"))
-    return materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "_x", "_y").mapInArrow(check, "a long, b long"), "links")
+    return materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "_x", "_y").mapInArrow(tidied(check), "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -454,6 +454,7 @@ def linked_classes(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int)
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, _text_hash, n_shingles, component_id for each row of docs, and keeper: the component's first row key."""
     spark = docs.sparkSession
+    small_batches(spark)
     # a word has six bytes or so, and a fifth of the shingles are prefix entries
     size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // 30 // PART_ENTRIES + 1)
@@ -472,7 +473,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component; rows without words all stay."""
     found = materialise(ngram_components(docs), "components")
     keys = found.filter(F.col("keeper").isNotNull()).select(F.col("keeper.id").alias("_id"), F.col("keeper.hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    rows = boxed(docs, _own=F.col("doc_id").cast("long"), _text_hash=F.xxhash64("text"))
     bare = found.filter(F.col("keeper").isNull()).select("_text_hash").distinct()
-    one = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return one.unionByName(rows.join(bare, "_text_hash", "left_semi").select(one.columns)).select(docs.columns)
+    one = rows.join(keys, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").dropDuplicates(["_own", "_text_hash"])
+    return unboxed(one.unionByName(rows.join(bare, "_text_hash", "left_semi")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import bounded_sample, text_or_empty, widened
+from matchlake.llm.shared import bounded_sample, boxed, small_batches, text_or_empty, tidied, widened
 
 BITS = 20
 #: Labelled documents that a model is fitted on, at most.
@@ -104,17 +104,17 @@ def fit_on_labels(docs: DataFrame, grades: DataFrame, features: Features, n_grad
     graded = usable.join(F.broadcast(sample), F.col("doc_id") == F.col("_key"), "left_semi").groupBy(F.col("doc_id").alias("_key")).agg(F.max("grade").cast("int").alias("_grade"))
     rows = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(graded), F.col("doc_id") == F.col("_key"))
     rows = rows.groupBy("doc_id").agg(F.min("_text").alias("_text"), F.min("_grade").alias("_grade"))  # one text an id
-    held = rows.select("_text", "_grade").mapInArrow(extract, "buckets array<int>, grade int").toArrow()
+    held = rows.select("_text", "_grade").mapInArrow(tidied(extract), "buckets array<int>, grade int").toArrow()
     lists, found = held.column("buckets").combine_chunks(), held.column("grade").to_numpy()
     values, ends = lists.flatten().to_numpy().astype(np.int64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
     return fit_model(np.split(values, ends[:-1]) if len(ends) else [], found.astype(np.int64), n_grades)
 
 
 def score_rows(docs: DataFrame, model: OrdinalModel, features: Features) -> DataFrame:
-    """docs with expected_grade double and tails array<double>: P(grade > 0), P(grade > 1), ..."""
+    """docs boxed as _row, expected_grade double, and tails array<double>: P(grade > 0), P(grade > 1), ..."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = list(docs.columns)
-    rows = docs.withColumn("_text", text_or_empty()).select(*keep, "_text")
+    rows = boxed(docs, _text=text_or_empty())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -126,7 +126,7 @@ def score_rows(docs: DataFrame, model: OrdinalModel, features: Features) -> Data
             schema = pa.schema([*list(batch.schema)[:-1], ("expected_grade", pa.float64()), ("tails", pa.list_(pa.float64()))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], schema=schema)
 
-    return rows.mapInArrow(score, widened(rows.drop("_text"), "expected_grade double, tails array<double>"))
+    return rows.mapInArrow(tidied(score), widened(rows.drop("_text"), "expected_grade double, tails array<double>"))
 
 
 class _Weights(dict):

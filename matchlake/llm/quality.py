@@ -6,7 +6,7 @@ P(grade >= 1), by which it is selected.
 
 Defined results: null and empty text has the shape marks of an empty text only; repeated rows give repeated
 results; an empty table gives an empty result; without labels every document gets the same score. Other
-columns of the documents pass through; names that begin with an underscore are taken.
+columns of the documents pass through; one that has the name of an output column gives way to it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.ordinal import fit_on_labels, score_rows
+from matchlake.llm.shared import unboxed
 
 PIECES = re.compile(r"\w+|[^\w\s]+")
 #: Tail probability from which a document is selected.
@@ -44,4 +45,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, min_tail: float = MIN_T
     grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2)
     model = fit_on_labels(docs, labels.select("doc_id", grade.alias("grade")), features, 3)
     out = score_rows(docs, model, features)
-    return out.withColumn("p_good", F.col("tails")[0]).withColumn("selected", F.col("p_good") >= min_tail).drop("tails")
+    out = out.withColumn("p_good", F.col("tails")[0]).withColumn("selected", F.col("p_good") >= min_tail)
+    return unboxed(out, "expected_grade", "p_good", "selected")

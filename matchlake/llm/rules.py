@@ -7,8 +7,8 @@ text and the two multinomials only.
 
 Defined results: null and empty text count nothing and fail the base rules; repeated rows give repeated
 results; an empty table gives an empty result; an empty target or raw table gives ratio 0 for all, so that
-only the base rules decide. Extra columns of the documents pass through untouched and may have any name
-that does not begin with an underscore and is not an output column's.
+only the base rules decide. Extra columns of the documents pass through untouched; one that has the name of an
+output column gives way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import bounded_sample, text_or_empty, widened
+from matchlake.llm.shared import bounded_sample, boxed, small_batches, text_or_empty, tidied, unboxed, widened
 
 BUCKETS = 1 << 16
 #: Trusted rows that the target multinomial is fitted on, at most; the raw multinomial reads every document.
@@ -126,8 +126,9 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "n_raw", "n_target"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(text_or_empty().alias("_text"), F.coalesce(F.col("_trusted"), F.lit(False)).alias("_trusted"))
-    parts = rows.mapInArrow(count, "bucket long, n_raw long, n_target long")
+    parts = rows.mapInArrow(tidied(count), "bucket long, n_raw long, n_target long")
     return parts.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
@@ -151,9 +152,9 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, t
 def judge(docs: DataFrame, ratio: np.ndarray, min_llr: float = MIN_LLR) -> DataFrame:
     """docs with the five measures, llr double, base_failed and kept boolean."""
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(ratio)
-    keep = list(docs.columns)
-    rows = docs.withColumn("_text", text_or_empty())
+    rows = boxed(docs, _text=text_or_empty())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = _Hashes(), sent.value
@@ -168,9 +169,10 @@ def judge(docs: DataFrame, ratio: np.ndarray, min_llr: float = MIN_LLR) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], schema=pa.schema([*list(batch.schema)[:-1], *((n, a.type) for n, a in zip(names, arrays, strict=True))]))
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"]
-    out = rows.select(*keep, "_text").mapInArrow(score, widened(docs, f"{MEASURES}, llr double"))
+    out = rows.mapInArrow(tidied(score), widened(rows.drop("_text"), f"{MEASURES}, llr double"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_llr))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_llr))
+    return unboxed(out, *names, "base_failed", "kept")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR) -> DataFrame:

@@ -11,7 +11,7 @@ short stretches around the other tokens. Where it doesn't, whole texts are decod
 
 Defined results: null and empty text has no spans; repeated rows give repeated results; an empty table gives
 an empty result; a sample without any secret gives a field that tags nothing. Other columns pass through;
-names that begin with an underscore are taken.
+columns named base or spans give way to the result's.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import text_or_empty, widened
+from matchlake.llm.shared import boxed, small_batches, text_or_empty, tidied, unboxed, widened
 
 #: Documents that the field is fitted on, at most.
 FIT_ROWS = 3_000
@@ -256,9 +256,9 @@ def fit_on_documents(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Field:
 def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with base and spans: array<struct<kind string, start int, stop int>>, code points, stop exclusive."""
     field = fit_on_documents(docs) if field is None else field
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((field, bool(field.weights) and not field.settled()))
-    keep = list(docs.columns)
-    rows = docs.withColumn("_text", text_or_empty()).select(*keep, "_text")
+    rows = boxed(docs, _text=text_or_empty())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,4 +269,4 @@ def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], schema=pa.schema([*list(batch.schema)[:-1], ("base", kind), ("spans", kind)]))
 
     spans = "array<struct<kind:string,start:int,stop:int>>"
-    return rows.mapInArrow(find, widened(rows.drop("_text"), f"base {spans}, spans {spans}"))
+    return unboxed(rows.mapInArrow(tidied(find), widened(rows.drop("_text"), f"base {spans}, spans {spans}")), "base", "spans")

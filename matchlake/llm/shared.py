@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: A key is hot when it owns more than one row in this many; so there are at most as many hot keys.
 HOT_SHARE = 1000
+#: Rows and bytes of an Arrow batch, at most; a longer text is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +56,45 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds in this session: workers keep a batch, and some hold two, in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def tidied(run: Callable) -> Callable:
+    """A function of Arrow batches that gives unused memory back when a task ends: workers live on, and would keep it."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """df's rows as one column _row, and more columns beside it: names of df can't clash with these."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(c.alias(n) for n, c in more.items()))
+
+
+def unboxed(df: DataFrame, *more: str) -> DataFrame:
+    """The columns of _row but those named in more, and then these."""
+    kept = [f for f in df.schema["_row"].dataType.names if f not in more]
+    return df.select(*(F.col("_row").getField(f).alias(f) for f in kept), *more)
+
+
 def widened(df: DataFrame, more: str) -> StructType:
     """df's schema and the fields of a DDL string after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.ordinal import fit_on_labels, score_rows
+from matchlake.llm.shared import unboxed
 
 WORDS = re.compile(r"\w+")
 #: Lengths of the beginnings that longer words have as features beside themselves.
@@ -33,4 +34,5 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, n_grades: int = 2, min_ta
     grades = labels.select("doc_id", F.col("toxic").cast("int").alias("grade"))
     model = fit_on_labels(docs, grades, features, n_grades)
     out = score_rows(docs, model, features).withColumnRenamed("expected_grade", "expected_severity")
-    return out.withColumn("p_toxic", F.col("tails")[0]).withColumn("is_toxic", F.col("p_toxic") >= min_tail).drop("tails")
+    out = out.withColumn("p_toxic", F.col("tails")[0]).withColumn("is_toxic", F.col("p_toxic") >= min_tail)
+    return unboxed(out, "expected_severity", "p_toxic", "is_toxic")
