@@ -472,8 +472,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component; rows without words all stay."""
     found = materialise(ngram_components(docs), "components")
-    keys = found.filter(F.col("keeper").isNotNull()).select(F.col("keeper.id").alias("_id"), F.col("keeper.hash").alias("_hash")).distinct()
-    rows = boxed(docs, _own=F.col("doc_id").cast("long"), _text_hash=F.xxhash64("text"))
-    bare = found.filter(F.col("keeper").isNull()).select("_text_hash").distinct()
-    one = rows.join(keys, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").dropDuplicates(["_own", "_text_hash"])
-    return unboxed(one.unionByName(rows.join(bare, "_text_hash", "left_semi")))
+    # one key for id and text, null id included: the join and the removal of repeats share its partitioning
+    at = lambda own, text: F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("null")), text.cast("string"))
+    keys = found.filter(F.col("keeper").isNotNull()).select(at(F.col("keeper.id"), F.col("keeper.hash")).alias("_at")).distinct()
+    # texts without words are told by a look at them, so that only the others are shuffled
+    rows = boxed(docs, _at=at(F.col("doc_id").cast("long"), F.xxhash64("text")), _words=text_or_empty().rlike(r"[^\x20\x09-\x0D]"))
+    one = rows.filter("_words").join(keys, "_at", "left_semi").dropDuplicates(["_at"])
+    return unboxed(one.unionByName(rows.filter("NOT _words")))
