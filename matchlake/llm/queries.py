@@ -56,7 +56,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     both = bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decode=True)
-    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest(ids).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
