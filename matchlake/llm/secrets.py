@@ -41,7 +41,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-]")
 KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE)
 #: Not plain: key words, letters in long runs, runs with a digit or a mark in them, quotes and colons.
-MARKED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:(?:[A-Za-z-]{20,}|[A-Za-z-]*[0-9+/_=])[A-Za-z0-9+/_=-]*|(?i:password|passwd|secret|token|apikey)(?![A-Za-z0-9+/_=-]))|[\"':]")
+MARKED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:(?:[A-Za-z-]{16,}|[A-Za-z-]*[0-9+/_=])[A-Za-z0-9+/_=-]*|(?i:password|passwd|secret|token|apikey)(?![A-Za-z0-9+/_=-]))|[\"':]")
 REACH = 2
 
 
@@ -79,9 +79,10 @@ def features_at(tokens: list[str], at: int, file: tuple[str, ...]) -> list[str]:
 
     token = tokens[at]
     own = near(0)
-    varied = 8 * len(set(token)) // len(token) if len(token) >= 20 else -1
+    varied = 8 * len(set(token)) // len(token) if len(token) >= 16 else -1
+    kind = own.rstrip("0123456789") + "!" * (not plain(token))
     out = [f"plain {int(plain(token))}", f"own {own}", f"varied {varied}", f"before {near(-1)}", f"after {near(1)}", f"before2 {near(-2)}", f"after2 {near(2)}", f"pair {near(-1)} {own}"]
-    return [*out, *(f"file {x} {own[:1]}" for x in file)]
+    return [*out, *(f"file {x} {kind}" for x in file)]
 
 
 def file_features(text: str) -> tuple[str, ...]:
@@ -106,7 +107,7 @@ class Field:
             first = rest.split(" ")[-1] if kind == "pair" else rest
             if kind == "own" and not _plain_shape(rest) or kind in ("before", "after", "before2", "after2") and not (rest == "edge" or _plain_shape(rest)) or kind == "pair" and not (_plain_shape(first) and (rest.split(" ")[0] == "edge" or _plain_shape(rest.split(" ")[0]))):
                 continue
-            if name in ("plain 0",) or kind == "varied" and rest != "-1" or kind == "file" and rest[-1] in "hds":
+            if name in ("plain 0",) or kind == "varied" and rest != "-1" or kind == "file" and not _plain_shape(rest.split(" ")[1]):
                 continue
             slot = f"file {rest[:4]}" if kind == "file" else kind
             gain = max(w[BEGIN], w[INSIDE]) - w[OUT]
@@ -116,7 +117,7 @@ class Field:
 
 
 def _plain_shape(name: str) -> bool:
-    return name.startswith("mark") and name[4:] not in ('"', "'", ":", "=") or bool(re.fullmatch(r"(l|U|lU|)[0-5]", name))
+    return name.startswith("mark") and name[4:] not in ('"', "'", ":", "=") or bool(re.fullmatch(r"(l|U|lU|)[0-4]?", name))
 
 
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
