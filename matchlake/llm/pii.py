@@ -6,6 +6,9 @@ entity when PMI(term; entity) reaches ALPHA of the entity's own information cont
 at least MIN_DOCS documents of support. In documents that hold the entity such terms are found within the
 window, and generalised together with the entity itself. DataFrame functions only.
 
+sanitise() has no window: it counts a term in all text outside personal data, words of any length, and
+generalises every occurrence of a disclosing term in every document, whether or not that holds the entity.
+
 Spans come from one regular-expression pass a kind: matches are fenced, the text is split at the fences, and
 running lengths give code-point offsets; these sums are windows over the matches, never over the texts.
 
@@ -36,6 +39,8 @@ FENCE, STAND_IN = "\x01", "\x02"
 #: Characters on either side of an entity that are its window.
 REACH = 64
 TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}(?![\p{L}\p{N}])"
+#: The words of sanitise(), of any length; the marks that generalise() leaves are matched as wholes, so that they hold none.
+WORD_OR_MARK = r"<(?:EMAIL|IP|CARD|PHONE)>|[\p{L}\p{N}]+"
 MIN_DOCS = 3
 ALPHA = 0.8
 
@@ -182,16 +187,45 @@ def _swap(kind: int) -> Callable[[Column, Column], Column]:
     return swap
 
 
+def clean_words(docs: DataFrame, held: Column | None = None) -> DataFrame:
+    """text_key, term, n: the distinct words outside personal data of each text, with the number of its rows."""
+    rows = docs.select(text_or_empty().alias("_text")).select("_text", generalise(F.col("_text")).alias("_clean"))
+    rows = rows if held is None else rows.filter(held)
+    words = F.filter(F.array_distinct(F.transform(F.regexp_extract_all("_clean", F.lit(WORD_OR_MARK), F.lit(0)), F.lower)), lambda w: w.rlike(r"^\p{L}"))
+    return rows.select(F.sha1(F.encode("_text", "UTF-8")).alias("text_key"), F.explode(words).alias("term")).groupBy("text_key", "term").agg(F.count("*").alias("n"))
+
+
+def terms_of_texts(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
+    """text_key, _terms, _rows: each text that holds a term which discloses an entity, with all such terms and its number of rows.
+
+    The threshold is disclosing_terms()'s; both counts are of documents with the term anywhere outside personal data.
+    """
+    n = float(max(1, docs.select("doc_id").count()))
+    spans = materialise(base_spans(base_matches(docs)).select("row", "text_key", "entity").distinct(), "entities")
+    entities = spans.groupBy("entity").agg(F.count("*").alias("n_entity")).filter((F.col("n_entity") >= min_docs) & (F.col("n_entity") < n))
+    holders = spans.select("text_key", "entity").distinct().join(entities, "entity")
+    # a text holds an entity just if generalise() changes it
+    near = materialise(clean_words(docs, F.col("_text") != F.col("_clean")), "near")
+    pairs = holders.join(near, "text_key").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= min_docs)
+    rows = pairs.withColumn("most", F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - alpha)) * (1 + 1e-12)).groupBy("term").agg(F.max("most").alias("most"))
+    least = near.groupBy("term").agg(F.sum("n").alias("n_near"))
+    wanted = materialise(rows.join(least, "term").filter(F.col("n_near") <= F.col("most")).select("term", "most"), "wanted")
+    hits = materialise(clean_words(docs).join(wanted, "term", "left_semi"), "hits")
+    told = hits.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term").filter(F.col("n_term") <= F.col("most"))
+    return hits.join(told.select("term"), "term", "left_semi").groupBy("text_key").agg(F.collect_set("term").alias("_terms"), F.max("n").alias("_rows"))
+
+
+def _without(terms: Column, text: Column) -> Column:
+    """The text with each word that is one of the terms replaced; words in the marks that generalise() leaves are kept."""
+    clean = F.regexp_replace(F.translate(text, FENCE, STAND_IN), WORD_OR_MARK, f"{FENCE}$0{FENCE}")
+    swap = lambda part, at: F.when((at % 2 == 1) & F.array_contains(terms, F.lower(part)), F.lit("<TERM>")).otherwise(part)
+    return F.array_join(F.transform(F.split(clean, FENCE, -1), swap), "")
+
+
 def sanitise(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with disclosing terms and personal data in text generalised. Null text stays null."""
-    found = find_personal_data(docs, alpha, min_docs)
-    terms = found.select("text_key", F.filter("spans", lambda s: s["kind"] == 4).alias("_terms")).filter(F.size("_terms") > 0)
-    terms = terms.groupBy("text_key").agg(F.first("_terms").alias("_terms"), F.count("*").alias("_rows"))
+    terms = materialise(terms_of_texts(docs, alpha, min_docs).withColumnRenamed("text_key", "_key"), "terms")
     rows = boxed(docs, _text=F.col("text").cast("string"), _key=F.sha1(F.encode(text_or_empty(), "UTF-8")))
-    rows = lookup_hot_safe(rows, materialise(terms.withColumnRenamed("text_key", "_key"), "terms"), "_key", "_rows", docs.select("doc_id").count())
-    edge = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("_terms", F.greatest(k, F.lit(1)))["stop"].cast("int"))
-    n = F.size("_terms")
-    pieces = F.transform(F.sequence(F.lit(0), n), lambda k: F.concat(F.substring(F.col("_text"), edge(k) + 1, F.when(k == n, F.length("_text")).otherwise(F.element_at("_terms", F.least(k + 1, n))["start"].cast("int")) - edge(k)), F.when(k == n, F.lit("")).otherwise(F.lit("<TERM>"))))
-    rows = rows.withColumn("_text", F.when(F.col("_terms").isNull(), F.col("_text")).otherwise(F.array_join(pieces, "")))
-    clean = F.when(F.col("_text").isNotNull(), generalise(F.col("_text")))
-    return unboxed(rows.withColumn("_row", F.col("_row").withField("text", clean)))
+    rows = lookup_hot_safe(rows, terms, "_key", "_rows", docs.select("doc_id").count())
+    both = once(generalise(F.col("_text")), lambda text: F.when(F.col("_terms").isNull(), text).otherwise(_without(F.col("_terms"), text)))
+    return unboxed(rows.withColumn("_row", F.col("_row").withField("text", F.when(F.col("_text").isNotNull(), both))))

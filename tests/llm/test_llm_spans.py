@@ -73,6 +73,37 @@ def test_counts_behind_the_threshold(spark):
     assert want and found == want
 
 
+def test_sanitise_reads_whole_texts(spark):
+    far = " ".join(["about town"] * 20)
+    texts = [(k, f"Zanzibarite {far} jo@ex.org Qx <EMAIL> {far} zanzibarite, qx") for k in range(5)]
+    texts += [(5, f"the zanzibarite of {far}"), (6, None)] + [(100 + k, f"about town {' '.join(words(9, k))}") for k in range(60)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert clean[0] == f"<TERM> {far} <EMAIL> <TERM> <EMAIL> {far} <TERM>, <TERM>"
+    assert clean[5] == f"the <TERM> of {far}" and clean[6] is None
+    assert all(clean[i] == t for i, t in texts if i >= 100)
+
+
+def test_sanitise_counts_documents(spark):
+    rng = random.Random(6)
+    vocabulary = words(60, 8) + ["ab", "é", "x1"]
+    texts = [(k, " ".join([*rng.choices(vocabulary, k=30), *rng.choices(["a@b.cc", "1.2.3.4", "x", "yy"], k=2), *rng.choices(vocabulary[: 5 + k % 50], k=9)])) for k in range(150)]
+    texts += texts[:9]
+    n, entities = len(texts), ("a@b.cc", "1.2.3.4")
+    sets = [set(t.split()) for _, t in texts]
+    alpha, least = 0.1, 12
+    told = set()
+    for e in entities:
+        n_entity = sum(e in s for s in sets)
+        for w in set().union(*sets) - set(entities):
+            both, term = sum(e in s and w in s for s in sets), sum(w in s for s in sets)
+            if both >= least and term <= both * (n / n_entity) ** (1 - alpha):
+                told.add(w)
+    mark = {"a@b.cc": "<EMAIL>", "1.2.3.4": "<IP>"}
+    want = Counter((i, " ".join(mark.get(w, "<TERM>" if w in told else w) for w in t.split())) for i, t in texts)
+    assert told and set().union(*sets) - told - set(entities)
+    assert Counter((r.doc_id, r.text) for r in pii.sanitise(docs(spark, texts), alpha, least).collect()) == want
+
+
 def test_sanitise_keeps_columns_and_nulls(spark):
     df = docs(spark, odd_texts(), extra=True)
     out = pii.sanitise(df)
