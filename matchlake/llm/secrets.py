@@ -16,6 +16,7 @@ columns named base or spans give way to the result's.
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -43,6 +44,8 @@ KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE)
 #: Not plain: key words, letters in long runs, runs with a digit or a mark in them, quotes and colons.
 MARKED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:(?:[A-Za-z-]{16,}|[A-Za-z-]*[0-9+/_=])[A-Za-z0-9+/_=-]*|(?i:password|passwd|secret|token|apikey)(?![A-Za-z0-9+/_=-]))|[\"':]")
 REACH = 2
+#: Tokens with up to REACH more on either side, the place of the first one that counts, tags of those that count, file features.
+Stretch = tuple[list[str], int, list[int], tuple[str, ...]]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -179,29 +182,39 @@ def scan(text: str, field: Field, whole: bool) -> tuple[list[tuple[int, int, int
     return base, sorted(every)
 
 
+def stretches_of(text: str) -> list[Stretch]:
+    """Stretches of tokens around every marked token of a whole text, tagged by the base spans."""
+    rows: list[Stretch] = []
+    places = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    tokens = [text[a:b] for a, b in places]
+    tags = [OUT] * len(tokens)
+    starts = [a for a, _ in places]
+    for s, kind, e in base_spans(text):
+        if kind == 0:  # the value, not its name
+            m = ASSIGN.match(text, s)
+            s = m.start(2)
+        first = bisect_left(starts, s)
+        for k in range(first, len(places)):
+            if places[k][0] >= e:
+                break
+            tags[k] = BEGIN if k == first else INSIDE
+    file, last = file_features(text), 0
+    for k in (i for i, t in enumerate(tokens) if not plain(t)):
+        low, high = max(last, k - 6), min(len(tokens), k + 7)
+        if low < high:
+            start = max(0, low - REACH)
+            rows.append((tokens[start : high + REACH], low - start, tags[low:high], file))
+            last = high
+    return rows
+
+
 def fit_field(texts: list[str]) -> Field:
-    """Fit on stretches of tokens around every marked token, tagged by the base spans; full-batch Adam."""
-    rows: list[tuple[list[list[str]], list[int]]] = []
-    for text in texts:
-        places = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-        tokens = [text[a:b] for a, b in places]
-        tags = [OUT] * len(tokens)
-        starts = [a for a, _ in places]
-        for s, kind, e in base_spans(text):
-            if kind == 0:  # the value, not its name
-                m = ASSIGN.match(text, s)
-                s = m.start(2)
-            first = bisect_left(starts, s)
-            for k in range(first, len(places)):
-                if places[k][0] >= e:
-                    break
-                tags[k] = BEGIN if k == first else INSIDE
-        file, last = file_features(text), 0
-        for k in (i for i, t in enumerate(tokens) if not plain(t)):
-            low, high = max(last, k - 6), min(len(tokens), k + 7)
-            if low < high:
-                rows.append(([features_at(tokens, i, file) for i in range(low, high)], tags[low:high]))
-                last = high
+    return fit_stretches([s for text in texts for s in stretches_of(text)])
+
+
+def fit_stretches(stretches: list[Stretch]) -> Field:
+    """Full-batch Adam."""
+    rows = [([features_at(tokens, i, tuple(file)) for i in range(first, first + len(tags))], tags) for tokens, first, tags, file in stretches]
     moves = np.zeros((3, 3))
     if not any(t != OUT for _, tags in rows for t in tags):
         return Field({}, moves)
@@ -248,10 +261,18 @@ def fit_on_documents(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Field:
     """Fit on at most fit_rows documents: a third or more of them with one of the patterns' own marks."""
     text = text_or_empty()
     likely = text.rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
-    rows = docs.select(F.xxhash64(text).alias("_at"), F.substring(text, 1, 1 << 15).alias("_text"), likely.alias("_likely"))
-    part = lambda want, n: rows.filter(F.col("_likely") == want).groupBy("_at").agg(F.min("_text").alias("_text")).orderBy("_at").limit(n)
-    held = part(True, fit_rows * 2 // 3).unionByName(part(False, fit_rows // 3)).orderBy("_at").toArrow()
-    return fit_field(held.column("_text").to_pylist())
+    rows = docs.select(F.xxhash64(text).alias("_at"), likely.alias("_likely"))
+    part = lambda want, n: rows.filter(F.col("_likely") == want).select("_at").distinct().orderBy("_at").limit(n)
+    keys = part(True, fit_rows * 2 // 3).unionByName(part(False, fit_rows // 3)).distinct()
+    whole = docs.select(F.xxhash64(text).alias("_at"), text.alias("_text")).join(F.broadcast(keys), "_at", "left_semi")
+    small_batches(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(stretches_of(t.as_py())) for t in batch.column(1)], pa.string())], ["_at", "_cut"])
+
+    held = whole.mapInArrow(tidied(cut), "_at long, _cut string").groupBy("_at").agg(F.min("_cut").alias("_cut")).orderBy("_at").toArrow()
+    return fit_stretches([s for c in held.column("_cut") for s in json.loads(c.as_py())])
 
 
 def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:

@@ -138,6 +138,13 @@ def test_secret_base_spans_and_exact_decoding(spark):
     assert secrets.find_secrets(df.limit(0), field).count() == 0 and secrets.find_secrets(df).columns == [*(c for c in df.columns if c != "base"), "base", "spans"]
 
 
+def test_field_is_fitted_on_whole_texts(spark):
+    texts = [f"{'plain words here ' * 2500}{k} token = \"{k:08d}Q9xz\" end {'and more ' * k}" for k in range(6)] + ["nothing here", "x1 y2"]
+    got = secrets.fit_on_documents(docs(spark, list(enumerate(texts)) + [(90, texts[0])]))
+    assert got.weights and set(got.weights) == set(secrets.fit_field(texts).weights)
+    assert secrets.scan("the token 4711Q9xz here", got, False) == secrets.scan("the token 4711Q9xz here", got, True)
+
+
 def test_stretches_decode_as_whole_texts():
     rng = random.Random(1)
     plain = words(300, 3)
