@@ -41,8 +41,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-]")
 KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE)
-#: Not plain: key words, letters in long runs, runs with a digit or a mark in them, quotes and colons.
-MARKED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:(?:[A-Za-z-]{16,}|[A-Za-z-]*[0-9+/_=])[A-Za-z0-9+/_=-]*|(?i:password|passwd|secret|token|apikey)(?![A-Za-z0-9+/_=-]))|[\"':]")
+#: Not plain: words that hold a key word, letters in long runs, runs with a digit or a mark in them, quotes and colons.
+MARKED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z-]{16,}|[A-Za-z-]*[0-9+/_=]|[A-Za-z-]*(?i:password|passwd|secret|token|apikey))[A-Za-z0-9+/_=-]*|[\"':]")
 REACH = 2
 #: Tokens with up to REACH more on either side, the place of the first one that counts, tags of those that count, file features.
 Stretch = tuple[list[str], int, list[int], tuple[str, ...]]

@@ -156,6 +156,18 @@ def test_stretches_decode_as_whole_texts():
     assert secrets.scan(hit, field, False)[0]
 
 
+def test_words_around_key_words_decode_as_whole_texts():
+    import numpy as np
+
+    around = ["tokens", "Passwords", "secretary", "my-password", "xapikeys", "token", "api_keys"]
+    field = secrets.Field({"plain 1": (5.0, 0.0, 0.0), "own key": (0.0, 20.0, 0.0), "after key": (0.0, 9.0, 0.0)}, np.zeros((3, 3)))
+    assert field.settled()
+    for word in around:
+        text = f"one two three four {word} five six seven eight"
+        assert not secrets.plain(word) and secrets.scan(text, field, False) == secrets.scan(text, field, True)
+        assert secrets.scan(text, field, False)[1]
+
+
 def test_viterbi_matches_enumeration():
     import itertools
 
