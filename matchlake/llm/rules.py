@@ -22,11 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import bounded_sample, boxed, small_batches, text_or_empty, tidied, unboxed, widened
+from matchlake.llm.shared import boxed, small_batches, text_or_empty, tidied, unboxed, widened
 
 BUCKETS = 1 << 16
-#: Trusted rows that the target multinomial is fitted on, at most; the raw multinomial reads every document.
-TARGET_ROWS = 20_000
 #: Mean log ratio per n-gram under which a document is rejected.
 MIN_LLR = -0.35
 #: Pseudo-count of each bucket of either multinomial, as a share of that multinomial's mean bucket.
@@ -132,14 +130,13 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
-def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> np.ndarray:
+def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log p_target - log p_raw of each bucket. trusted_ids: doc_id of the trusted documents.
 
-    The raw multinomial covers all documents; the target one covers the trusted documents among at most
-    target_rows ids. The driver gets one row for each bucket, whatever the size of the corpus.
+    The raw multinomial covers all documents, the target one all trusted documents. The driver gets one row for each bucket, whatever the size of the corpus.
     """
-    ids = bounded_sample(trusted_ids, "doc_id", target_rows).withColumn("_trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_key"), "left")
+    ids = trusted_ids.select(F.col("doc_id").alias("_key")).filter(F.col("_key").isNotNull()).distinct().withColumn("_trusted", F.lit(True))
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_key"), "left")
     table = ngram_counts(marked, buckets).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[table["bucket"]], target[table["bucket"]] = table["n_raw"], table["n_target"]

@@ -223,3 +223,8 @@ def test_bpe_matches_tiktoken(spark, monkeypatch):
     one = bpe.encode_documents(df, path, p.PATTERN, decode=True)
     assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in one.collect()) == got
     assert bpe.encode_documents(df.limit(0), path, p.PATTERN).count() == 0
+
+
+def test_all_trusted_rows_are_counted(spark):
+    df = spark.range(20_050).selectExpr("id AS doc_id", "concat('w', id % 977, ' v', id) AS text")
+    assert not rules.fit_ratio(df, df.select("doc_id").unionByName(df.select("doc_id")), buckets=512).any()
