@@ -31,6 +31,13 @@ def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def _codes(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Equal values of two columns as equal numbers, whatever their type; a null is equal to nothing."""
+    both = pd.factorize(pd.concat([a, b], ignore_index=True))[0]
+    one, two = both[: len(a)], both[len(a) :]
+    return np.where(one < 0, -1, one), np.where(two < 0, -2, two)
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", row_id: str = "row_id", vector: str = "key", exclude: tuple[str, str] | None = None) -> DataFrame:
     """query_id, row_id, rank, distance of the k nearest corpus rows of each query.
 
@@ -39,8 +46,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
     """
     if exclude is None:
         queries, corpus, exclude = queries.withColumn("_qx", F.lit(0)), corpus.withColumn("_cx", F.lit(1)), ("_qx", "_cx")
-    q = _blocks(queries.select(F.col(query_id).cast("long").alias("_id"), F.col(vector).alias("_vec"), F.col(exclude[0]).cast("long").alias("_x")), "_id", QUERY_BLOCK, "_qb")
-    c = _blocks(corpus.select(F.col(row_id).cast("long").alias("_id"), F.col(vector).alias("_vec"), F.col(exclude[1]).cast("long").alias("_x")), "_id", CORPUS_BLOCK, "_cb")
+    q = _blocks(queries.select(F.col(query_id).cast("long").alias("_id"), F.col(vector).alias("_vec"), F.col(exclude[0]).alias("_x")), "_id", QUERY_BLOCK, "_qb")
+    c = _blocks(corpus.select(F.col(row_id).cast("long").alias("_id"), F.col(vector).alias("_vec"), F.col(exclude[1]).alias("_x")), "_id", CORPUS_BLOCK, "_cb")
     nq, nc = q.select("_n").first(), c.select("_n").first()
     if nq is None or nc is None:
         return queries.sparkSession.createDataFrame([], f"{query_id} long, {row_id} long, rank int, distance double")
@@ -52,7 +59,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
             return pd.DataFrame({"q": [], "r": [], "d": []})
         b = b.sort_values("_id")
         d = _distances(np.stack(a["_vec"]).astype(float), np.stack(b["_vec"]).astype(float))
-        d[a["_x"].to_numpy()[:, None] == b["_x"].to_numpy()[None, :]] = np.inf
+        own, other = _codes(a["_x"], b["_x"])
+        d[own[:, None] == other[None, :]] = np.inf
         best = np.argsort(d, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(a)), best.shape[1])
         out = pd.DataFrame({"q": a["_id"].to_numpy()[rows], "r": b["_id"].to_numpy()[best.ravel()], "d": d[rows, best.ravel()]})
@@ -71,36 +79,38 @@ def nearest_in_bands(queries: DataFrame, corpus: DataFrame, k: int, query_id: st
     apart, where both sides are ranked. Where even that leaves too few rows for k, the plain k nearest of all rows
     serve, without exclusion or penalty. effective_k counts same-band rows before exclusion, up to k.
     """
-    pair_id = lambda df, name: df.select(F.col(name).cast("long").alias("_id"), F.col(vector).alias("_vec"), F.col(band).cast("int").alias("_band"), F.col(group).cast("long").alias("_grp"))
+    pair_id = lambda df, name: df.select(F.col(name).cast("long").alias("_id"), F.col(vector).alias("_vec"), F.col(band).cast("int").alias("_band"), F.col(group).alias("_grp"))
     q, c = _blocks(pair_id(queries, query_id), "_id", QUERY_BLOCK, "_qb"), _blocks(pair_id(corpus, row_id), "_id", CORPUS_BLOCK, "_cb")
     nq, nc = q.select("_n").first(), c.select("_n").first()
-    schema = "q long, r long, stage int, d double, plain double, diff int, ranked boolean, n_same long, n_kept0 long, n_kept1 long, n_kept2 long"
+    if nq is None or nc is None:
+        return queries.sparkSession.createDataFrame([], f"{query_id} long, {row_id} long, rank int, distance double, stage int, effective_k long, in_band boolean")
+    schema = "q long, r long, stage int, d double, diff int, ranked boolean, n_same long, n_kept0 long, n_kept1 long, n_kept2 long"
     left = q.drop("_n").withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(nc[0] - 1)))).withColumn("_cb", F.col("_cb").cast("long"))
     right = c.drop("_n").withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq[0] - 1)))).withColumn("_qb", F.col("_qb").cast("long"))
+    names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(a) and len(b):
             b = b.sort_values("_id")
-            ids, bands, groups = b["_id"].to_numpy(), b["_band"].to_numpy(), b["_grp"].to_numpy()
-            matrix = np.stack(b["_vec"]).astype(float)
-            for row in a.itertuples():
-                gap = matrix - np.asarray(row[a.columns.get_loc("_vec") + 1], float)
-                d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                own_band, own_group, own = (row[a.columns.get_loc(n) + 1] for n in ("_band", "_grp", "_id"))
-                both = (own_band >= 0) & (bands >= 0)
-                diff = np.where(both, np.abs(bands - own_band), 0)
-                free = groups != own_group
-                penal = np.where(both, d * PENALTY**diff, d)
-                same, near = free & (diff == 0), free & (diff <= 1)
-                for stage, (fits, dist) in enumerate(((same, d), (near, d), (free, penal), (np.ones(len(d), bool), d))):
-                    which = np.flatnonzero(fits)
-                    best = which[np.argsort(dist[which], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"q": own, "r": ids[best], "stage": stage, "d": dist[best], "plain": d[best], "diff": diff[best], "ranked": both[best]}))
-                out.append(pd.DataFrame({"q": [own], "r": [None], "stage": [9], "n_same": [int((diff == 0).sum())], "n_kept0": [int(same.sum())], "n_kept1": [int(near.sum())], "n_kept2": [int(free.sum())]}))
-        names = [x.split(" ")[0] for x in schema.split(", ")]
-        frame = pd.concat(out) if out else pd.DataFrame(columns=names)
-        return frame.reindex(columns=names).astype({"r": "Int64", "n_same": "Int64", "n_kept0": "Int64", "n_kept1": "Int64", "n_kept2": "Int64", "diff": "Int32", "ranked": "boolean"})
+            d = _distances(np.stack(a["_vec"]).astype(float), np.stack(b["_vec"]).astype(float))
+            ask, ids = a["_id"].to_numpy(), b["_id"].to_numpy()
+            bands, others = a["_band"].fillna(-1).to_numpy(int)[:, None], b["_band"].fillna(-1).to_numpy(int)[None, :]
+            both = (bands >= 0) & (others >= 0)
+            diff = np.where(both, np.abs(bands - others), 0)
+            own, other = _codes(a["_grp"], b["_grp"])
+            free = own[:, None] != other[None, :]
+            same, near = free & (diff == 0), free & (diff <= 1)
+            penal = np.where(both, d * PENALTY**diff, d)
+            for stage, (fits, dist) in enumerate(((same, d), (near, d), (free, penal), (None, d))):
+                kept = dist if fits is None else np.where(fits, dist, np.inf)
+                best = np.argsort(kept, axis=1, kind="stable")[:, :k]
+                at = np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()
+                frame = pd.DataFrame({"q": ask[at[0]], "r": ids[at[1]], "stage": stage, "d": kept[at], "diff": diff[at], "ranked": both[at]} | dict.fromkeys(names[6:], 0))
+                out.append(frame[np.isfinite(frame["d"])])
+            counts = {"n_same": (diff == 0).sum(axis=1), "n_kept0": same.sum(axis=1), "n_kept1": near.sum(axis=1), "n_kept2": free.sum(axis=1)}
+            out.append(pd.DataFrame({"q": ask, "r": -1, "stage": 9, "d": 0.0, "diff": 0, "ranked": False} | counts))
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
 
     rows = left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(meet, schema)
     counts = rows.filter("stage = 9").groupBy("q").agg(*(F.sum(n).alias(n) for n in ("n_same", "n_kept0", "n_kept1", "n_kept2")))

@@ -38,12 +38,18 @@ def causal_cutoff(stats: DataFrame, excluded: DataFrame) -> DataFrame:
     return stats.join(excluded.select("match_id").distinct(), "match_id", "left_semi").groupBy("puuid").agg(F.min("created_at").alias("cutoff"))
 
 
+def before_cutoff(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """The rows of players without a cutoff, and the others' rows before it."""
+    rows = stats.join(cutoffs, "puuid", "left")
+    return rows.filter(F.col("cutoff").isNull() | (F.col("created_at") < F.col("cutoff"))).drop("cutoff")
+
+
 def player_vectors(players: DataFrame, stats: DataFrame, excluded: DataFrame) -> DataFrame:
     """puuid and 16 features, from matches before the cutoff only; rank columns are as of now.
 
     0 tier, 1 points, 2 log games, 3 win rate, 4 kda, 5 cs, 6 gold, 8 wards, 10 to 14 role shares; the rest is 0.
     """
-    seen = stats.join(causal_cutoff(stats, excluded), "puuid", "left").filter(F.col("cutoff").isNull() | (F.col("created_at") < F.col("cutoff")))
+    seen = before_cutoff(stats, causal_cutoff(stats, excluded))
     agg = seen.groupBy("puuid").agg(
         F.count("*").alias("n"),
         F.sum(F.when(F.col("team_id") == F.col("winning_team"), 1).otherwise(0)).alias("wins"),

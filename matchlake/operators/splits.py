@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.scalars import hash_share
+from matchlake.sources.scratch import materialise
 
 
 def places_by(df: DataFrame, key: str, digest: Column) -> DataFrame:
@@ -32,12 +33,12 @@ def player_cold(pairs: DataFrame, games: DataFrame, player: str, game: str, frac
     the first k players is a count over places, and the loop runs over a few such counts on the driver.
     """
     total = games.select(game).count()
-    places = rank_players(pairs, player)
+    places = materialise(rank_players(pairs, player), "places")  # each step below is a scan of a small table
     n_players = places.count()
     if not total or not n_players:
         return places.select(player).limit(0), games.select(game).limit(0), 0
     target, upper = int(total * fraction), int(total * fraction * (1 + tolerance))
-    first = pairs.select(player, game).distinct().join(places, player).groupBy(game).agg(F.min("place").alias("place"))
+    first = materialise(pairs.select(player, game).join(places, player).groupBy(game).agg(F.min("place").alias("place")), "first")
 
     def held(ks: list[int]) -> list[int]:
         """Games within the first k players, for each k, in one pass."""

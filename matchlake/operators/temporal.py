@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.scalars import seeded
+from matchlake.operators.splits import places_by
 
 
 def so_far(keys: list[str], order: str) -> Window:
@@ -80,9 +81,10 @@ def lead_delta(df: DataFrame, keys: list[str], order: list[str], value: str, val
     return rows.withColumn("next_delta", F.lead(value).over(over) - F.col(value)).withColumn("both_valid", F.coalesce(F.lead("_valid").over(over) & F.col("_valid"), F.lit(False))).drop("_valid")
 
 
-def first_at_or_after(df: DataFrame, keys: list[str], order: str, target: float, value: str) -> DataFrame:
-    """Each key's value at the first row at or after target; else at its first row."""
-    return df.groupBy(*keys).agg(F.min_by(value, F.struct((F.col(order) < target).alias("early"), F.col(order))).alias(value))
+def first_at_or_after(df: DataFrame, keys: list[str], order: str, target: float, value: str, tie: str | None = None) -> DataFrame:
+    """Each key's value at the first row at or after target; else at its first row (W10). Of equal times the smallest tie."""
+    at = F.struct((F.col(order) < target).alias("early"), F.col(order).alias("at"), *([F.col(tie).alias("tie")] if tie else []))
+    return df.groupBy(*keys).agg(F.min_by(value, at).alias(value))
 
 
 def nth_row(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -124,8 +126,8 @@ def budget_batches(df: DataFrame, keys: list[str], order: list[str], sizes: list
 
 
 def seeded_order(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """df in an order that depends on the seed and the key alone."""
-    return df.orderBy(seeded(seed, F.col(key)), key)
+    """key, place: places in an order that depends on the seed and the key alone (W15). No task sorts everything."""
+    return places_by(df.select(key), key, seeded(seed, F.col(key)))
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

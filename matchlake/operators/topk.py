@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.scalars import seeded
+from matchlake.operators.splits import places_by
 
 
 def recent_distinct(df: DataFrame, columns: list[str], order: str, n: int) -> DataFrame:
@@ -40,24 +41,29 @@ def priority_bump(df: DataFrame, handled: DataFrame, key: str, tier: str, lp: st
     return df.filter(F.col(tier) >= least).join(handled.select(key), key, "left_anti").orderBy(F.desc(lp), key).limit(n)
 
 
-def _bucket(digest: Column, buckets: int) -> Column:
-    return F.conv(F.right(digest, F.lit(8)), 16, 10).cast("long") % buckets
-
-
 def random_per_query(queries: DataFrame, corpus: DataFrame, query: str, row: str, k: int, seed: int, exclude_same: bool = True) -> DataFrame:
-    """k corpus rows a query without replacement, by a hash of seed, query and row.
+    """k corpus rows a query without replacement, drawn from all rows by a hash of seed, query and draw.
 
-    A query draws from one bucket of a random partition of the corpus. Buckets have 256 rows or eight times k
-    on average, whichever is more, so no query meets the whole corpus and none runs short.
+    The corpus has dense places in a seeded order. A query draws distinct places one by one: the draw number j is a
+    place up to j, or j itself where that is taken already, for the last k numbers j (Floyd's sampling). So there is
+    nothing to redraw, and no query meets more rows than it takes. With exclude_same a query's own row is passed over. A
+    corpus of fewer rows gives all of them. rank is the order of the draws.
     """
+    places = places_by(corpus.select(row), row, seeded(seed, F.col(row)))
     n = corpus.count()
-    buckets = max(1, n // max(256, 8 * k))
-    rows = corpus.select(row).withColumn("_b", _bucket(seeded(seed, F.col(row)), buckets))
-    asks = queries.select(query).withColumn("_b", _bucket(seeded(seed + 1, F.col(query)), buckets))
-    pairs = asks.join(rows, "_b")
-    if exclude_same:
-        pairs = pairs.filter(F.col(query) != F.col(row))
-    return per_group(pairs, [query], [seeded(seed, F.col(query), F.col(row)), F.col(row)], k).drop("_b")
+    asks = queries.select(query).distinct()
+    asks = asks.join(places.select(F.col(row).alias(query), F.col("place").alias("_own")), query, "left") if exclude_same else asks.withColumn("_own", F.lit(None).cast("long"))
+    pool = F.lit(n) - F.col("_own").isNotNull().cast("long")
+
+    def draw(taken: Column, j: Column) -> Column:
+        at = F.conv(F.right(seeded(seed, F.col(query), j), F.lit(15)), 16, 10).cast("long") % (j + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, at), j).otherwise(at))
+
+    last = F.when(pool > 0, F.sequence(F.greatest(F.lit(0).cast("long"), pool - k), pool - 1)).otherwise(F.array().cast("array<long>"))
+    drawn = asks.withColumn("_taken", F.aggregate(last, F.array().cast("array<long>"), draw))
+    drawn = drawn.select(query, "_own", F.posexplode("_taken").alias("_nth", "_at"))
+    at = F.col("_at") + F.when(F.col("_at") >= F.col("_own"), 1).otherwise(0)
+    return drawn.select(query, (F.col("_nth") + 1).alias("rank"), at.alias("place")).join(places, "place").select(query, row, "rank")
 
 
 def balanced(df: DataFrame, label: str, key: str, seed: int, most: int | None = None) -> DataFrame:
@@ -70,6 +76,11 @@ def balanced(df: DataFrame, label: str, key: str, seed: int, most: int | None =
     return rows.filter(F.col("_rn") <= cap).drop("_rn", "_least")
 
 
+def band_keys(df: DataFrame, dim: DataFrame, on: str, band: str, key: str) -> DataFrame:
+    """The distinct keys of each band, where a dimension gives the rows their bands."""
+    return df.join(dim.select(on, band), on).select(band, key).distinct()
+
+
 def stratified(df: DataFrame, bands: list[int], band: str, key: str, per_band: int) -> DataFrame:
     """per_band keys of each band, rarest band first, no key twice (T13). One pass for each of the few bands."""
     sizes = {r[band]: r["n"] for r in df.filter(F.col(band).isin(bands)).groupBy(band).agg(F.countDistinct(key).alias("n")).collect()}

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +35,12 @@ def a7_shares(x: Tables) -> DataFrame:
 @query("""WITH c AS (SELECT o_custkey, min(o_orderdate) AS cutoff FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)
 SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN c USING (o_custkey) WHERE cutoff IS NULL OR o_orderdate < cutoff GROUP BY ALL""")
 def a8_causal_cutoff(x: Tables) -> DataFrame:
-    cutoff = x.orders.filter("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.min("o_orderdate").alias("cutoff"))
-    rows = x.orders.join(cutoff, "o_custkey", "left").filter("cutoff IS NULL OR o_orderdate < cutoff")
-    return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    from matchlake.operators.players import before_cutoff, causal_cutoff
+
+    stats = x.orders.select(F.col("o_custkey").alias("puuid"), F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("created_at"), "o_totalprice")
+    urgent = x.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("match_id"))
+    rows = before_cutoff(stats, causal_cutoff(stats, urgent))
+    return rows.groupBy(F.col("puuid").alias("o_custkey")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("""WITH e AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
@@ -301,11 +301,19 @@ def s9_scrape(x: Tables) -> DataFrame:
     return x.pages.select("page_id", F.size(found).cast("long").alias("n_links"), F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("first_link"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn, CASE WHEN l_suppkey % 4 = 1 THEN 'undo' WHEN l_returnflag = 'R' THEN 'drop' ELSE 'buy' END AS kind, l_partkey % 3 AS item, l_partkey % 3 AS gone, l_suppkey % 3 AS back FROM lineitem),
+r AS (SELECT l_orderkey, 0::BIGINT AS rn, []::BIGINT[] AS items FROM (SELECT DISTINCT l_orderkey FROM m)
+ UNION ALL SELECT m.l_orderkey, m.rn, CASE kind WHEN 'buy' THEN list_append(items, item)
+  WHEN 'drop' THEN CASE WHEN list_contains(items, item) THEN items[1:list_position(items, item) - 1] || items[list_position(items, item) + 1:] ELSE items END
+  ELSE CASE WHEN back > 0 THEN list_append(CASE WHEN gone > 0 AND list_contains(items, gone) THEN items[1:list_position(items, gone) - 1] || items[list_position(items, gone) + 1:] ELSE items END, back)
+   ELSE CASE WHEN gone > 0 AND list_contains(items, gone) THEN items[1:list_position(items, gone) - 1] || items[list_position(items, gone) + 1:] ELSE items END END END
+ FROM r JOIN m ON m.l_orderkey = r.l_orderkey AND m.rn = r.rn + 1)
+SELECT l_orderkey, array_to_string(arg_max(items, rn), ',') AS items FROM r GROUP BY ALL""")
 def f26_inventory(x: Tables) -> DataFrame:
     """Items bought, dropped and undone in the order of lines."""
-    kind = F.when(F.col("l_returnflag") == "R", "drop").when(F.col("l_linestatus") == "X", "undo").otherwise("buy")
-    move = F.struct(F.col("l_linenumber").alias("at"), kind.alias("kind"), (F.col("l_partkey") % 5).cast("int").alias("item"), F.lit(0).alias("before"), F.lit(0).alias("after"))
+    kind = F.when(F.col("l_suppkey") % 4 == 1, "undo").when(F.col("l_returnflag") == "R", "drop").otherwise("buy")
+    item = (F.col("l_partkey") % 3).cast("int")
+    move = F.struct(F.col("l_linenumber").alias("at"), "l_partkey", "l_suppkey", kind.alias("kind"), item.alias("item"), item.alias("before"), (F.col("l_suppkey") % 3).cast("int").alias("after"))
     moves = x.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(move)).alias("moves"))
     return moves.select("l_orderkey", F.array_join(s.inventory(F.col("moves")), ",").alias("items"))
 
@@ -318,10 +326,11 @@ def c28_c30_effects(x: Tables) -> DataFrame:
 
 
 def _streamed(x: Tables, plan, mode: str = "append") -> DataFrame:
-    """The rows that a stream over the events files gives when it drains, kept in the session's shared folder or a local one."""
+    """The rows that a stream over the events files gives when it drains, kept in the shared folder."""
+    from matchlake.sources.scratch import fresh_path
     from matchlake.streaming.workers import drain
 
-    root = (x.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/") + f"/matchlake-stream-{uuid.uuid4().hex}"
+    root = fresh_path(x.spark, "stream")
     events = x.spark.read.parquet(f"{x.sf_dir}/events.parquet")
     source = x.spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{x.sf_dir}/events.parquet*")
     out = plan(source.withColumn("ts", F.col("ts").cast("timestamp")))

@@ -79,9 +79,7 @@ def w8_w9_transitions(x: Tables) -> DataFrame:
 
 @query(f"""WITH {_E} SELECT user_id, arg_min(value, (us < 1705276800000000, us, event_id)) AS value FROM e GROUP BY user_id""")
 def w10_first_at_or_after(x: Tables) -> DataFrame:
-    rows = x.stream.withColumn("key", F.struct("us", "event_id"))
-    # the time is part of a composite order, so equal times keep one answer
-    return rows.groupBy("user_id").agg(F.min_by("value", F.struct((F.col("us") < 1705276800000000).alias("early"), "us", "event_id")).alias("value"))
+    return t.first_at_or_after(x.stream, ["user_id"], "us", 1705276800000000, "value", "event_id")
 
 
 @query(f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM e) SELECT user_id, event_id, value FROM r WHERE rn = 5""")
@@ -101,7 +99,11 @@ def w13_offsets(x: Tables) -> DataFrame:
     return t.offsets(counts, ["l_suppkey"], ["l_orderkey"], "n")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT l_suppkey, l_orderkey, count(*) AS lines, sum(l_quantity)::BIGINT AS pieces, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS rn FROM lineitem GROUP BY l_suppkey, l_orderkey),
+b AS (SELECT *, 0::BIGINT AS batch, 1::BIGINT AS held, lines AS top1, pieces AS top2 FROM s WHERE rn = 1
+ UNION ALL SELECT l_suppkey, l_orderkey, lines, pieces, rn, CASE WHEN is_full THEN batch + 1 ELSE batch END, CASE WHEN is_full THEN 1 ELSE held + 1 END, CASE WHEN is_full THEN lines ELSE greatest(lines, top1) END, CASE WHEN is_full THEN pieces ELSE greatest(pieces, top2) END
+ FROM (SELECT s.*, batch, held, top1, top2, greatest(s.lines, top1) * (held + 1) > 16 OR greatest(s.pieces, top2) * (held + 1) > 400 AS is_full FROM b JOIN s ON s.l_suppkey = b.l_suppkey AND s.rn = b.rn + 1))
+SELECT l_suppkey, l_orderkey, lines, pieces, batch FROM b""")
 def w14_budget_batches(x: Tables) -> DataFrame:
     sizes = x.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("pieces"))
     return t.budget_batches(sizes, ["l_suppkey"], ["l_orderkey"], ["lines", "pieces"], [16, 400])
@@ -161,7 +163,4 @@ def p15_rotating_stride(x: Tables) -> DataFrame:
 @query("SELECT c_custkey, row_number() OVER (ORDER BY sha1('5:' || c_custkey), c_custkey) - 1 AS place FROM customer")
 def w15_seeded_order(x: Tables) -> DataFrame:
     """Places in a seeded order: ranks within hash cells, and the sizes of the cells before."""
-    from matchlake.functions.scalars import seeded
-    from matchlake.operators.splits import places_by
-
-    return places_by(x.customer.select("c_custkey"), "c_custkey", seeded(5, F.col("c_custkey")))
+    return t.seeded_order(x.customer, "c_custkey", 5)

@@ -29,9 +29,14 @@ def j4_semi_join(x: Tables) -> DataFrame:
     return j.present_in(x.orders, big, ["o_orderkey"]).select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""SELECT c_custkey, false AS with_null FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+UNION ALL SELECT c_custkey, true FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END FROM orders)""")
 def j7_not_in(x: Tables) -> DataFrame:
-    return j.not_in(x.customer, "c_custkey", x.orders, "o_custkey").select("c_custkey")
+    """Customers outside a list; and outside one that holds a null, which are none."""
+    some = x.orders.filter("o_orderstatus = 'P'")
+    odd = x.orders.select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("o_custkey"))
+    out = lambda other, flag: j.not_in(x.customer, "c_custkey", other, "o_custkey").select("c_custkey", F.lit(flag).alias("with_null"))
+    return out(some, False).unionByName(out(odd, True))
 
 
 @query("SELECT user_id, event_id FROM events e WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'error' AND f.ts::DATE = e.ts::DATE)")
@@ -80,10 +85,11 @@ def o1_except(x: Tables) -> DataFrame:
     return keys(x.lineitem.filter(F.col("l_linenumber").between(1, 10))).subtract(keys(x.lineitem.filter("l_returnflag = 'R'")))
 
 
-@query("""SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL) AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50 AND user_id IS NOT NULL)""")
+@query("""SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE (o_custkey, o_orderpriority) NOT IN (SELECT (o_custkey, o_orderpriority) FROM orders WHERE o_orderstatus = 'F') AND (o_custkey, o_orderpriority) NOT IN (SELECT (o_custkey, o_orderpriority) FROM orders WHERE o_totalprice > 200000)""")
 def o2_set_difference(x: Tables) -> DataFrame:
-    of = lambda where: x.events.filter(where).select("user_id").distinct()
-    return j.missing_from(j.missing_from(of("event_type = 'view'"), of("event_type = 'signup'"), ["user_id"]), of("event_type = 'purchase' AND value > 50"), ["user_id"])
+    keys = ["o_custkey", "o_orderpriority"]
+    of = lambda where: x.orders.filter(where).select(*keys).distinct()
+    return j.missing_from(j.missing_from(of("true"), of("o_orderstatus = 'F'"), keys), of("o_totalprice > 200000"), keys)
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'error' UNION SELECT user_id FROM events WHERE event_type = 'signup'")
@@ -156,8 +162,7 @@ def t2_top_per_group(x: Tables) -> DataFrame:
 @query("SELECT *, p_size * n AS weighted FROM (SELECT p_brand, p_size, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) ORDER BY weighted DESC, p_brand, p_size LIMIT 5")
 def t3_weighted_count(x: Tables) -> DataFrame:
     rows = x.lineitem.join(x.part, F.col("l_partkey") == F.col("p_partkey"))
-    out = rows.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).withColumn("weighted", F.col("p_size") * F.col("n"))
-    return out.orderBy(F.desc("weighted"), "p_brand", "p_size").limit(5)
+    return k.weighted_count(rows, ["p_brand"], "p_size", 5)
 
 
 @query("SELECT * FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha1(c_custkey::VARCHAR), c_custkey)::INT AS rank FROM customer) WHERE rank <= 25")
@@ -176,9 +181,12 @@ def t11_priority_bump(x: Tables) -> DataFrame:
     return k.priority_bump(x.customer, done, "c_custkey", "c_nationkey", "c_acctbal", 10, 40).select("c_custkey", "c_acctbal")
 
 
-@query("""WITH n AS (SELECT greatest(1, count(*) // 256) AS b FROM embeddings), c AS (SELECT vec_id AS row_id, ('0x' || right(sha1('7:' || vec_id), 8))::BIGINT % b AS k FROM embeddings, n),
-q AS (SELECT vec_id AS query_id, ('0x' || right(sha1('8:' || vec_id), 8))::BIGINT % b AS k FROM embeddings, n WHERE vec_id % 50 = 0),
-r AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY sha1('7:' || query_id || ':' || row_id), row_id)::INT AS rank FROM q JOIN c USING (k) WHERE query_id <> row_id) SELECT * FROM r WHERE rank <= 16""")
+@query("""WITH RECURSIVE p AS (SELECT vec_id, row_number() OVER (ORDER BY sha1('7:' || vec_id), vec_id) - 1 AS place, count(*) OVER () - 1 AS n FROM embeddings),
+d AS (SELECT vec_id AS query_id, place AS own, n, n - 16 AS j, []::BIGINT[] AS taken FROM p WHERE vec_id % 50 = 0
+ UNION ALL SELECT query_id, own, n, j + 1, list_append(taken, CASE WHEN list_contains(taken, t) THEN j ELSE t END)
+ FROM (SELECT *, ('0x' || right(sha1('7:' || query_id || ':' || j), 15))::BIGINT % (j + 1) AS t FROM d WHERE j < n)),
+r AS (SELECT query_id, own, unnest(taken) AS at, generate_subscripts(taken, 1) AS rank FROM d WHERE j = n)
+SELECT query_id, p.vec_id AS row_id, rank::INT AS rank FROM r JOIN p ON p.place = r.at + (r.at >= r.own)::INT""")
 def t12_random_cohort(x: Tables) -> DataFrame:
     asks = x.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
     return k.random_per_query(asks, x.embeddings.withColumnRenamed("vec_id", "row_id"), "query_id", "row_id", 16, 7)
