@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import small_batches, text_or_empty, tidied, widened
+from matchlake.llm.shared import fresh_path, pack, small_batches, text_or_empty, tidied, unpack, widened
 
 #: Characters of text after which a chunk ends.
 CHUNK_CHARS = 8 << 20
@@ -34,21 +34,6 @@ CHUNK_CHARS = 8 << 20
 CHUNKS = "chunk long, bucket int, keys array<long>, n_words array<int>, payload binary"
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of fixed width, byte planes apart so that they compress."""
-    head = np.array([x for c in columns for x in (len(c), c.itemsize)], "<u4").tobytes()
-    return bytes([len(columns)]) + head + zlib.compress(b"".join(np.ascontiguousarray(c.view("u1").reshape(-1, c.itemsize).T).tobytes() for c in columns if len(c)), 1)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    n = blob[0]
-    data, at, out = zlib.decompress(blob[1 + 8 * n :]), 0, []
-    for rows, width in np.frombuffer(blob[1 : 1 + 8 * n], "<u4").reshape(-1, 2).tolist():
-        out.append(np.frombuffer(data[at : at + rows * width], "u1").reshape(width, rows).T.copy().view(f"<u{width}").ravel())
-        at += rows * width
-    return out
-
-
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     """A rank file's tokens, read on the driver: its size is the vocabulary's."""
     with open(path, "rb") as lines:
@@ -156,8 +141,8 @@ def decoded(lists: pa.ListArray, table: list[bytes | None]) -> pa.Array:
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", decode: bool = False) -> DataFrame:
     """key, ids array<int> of every row's whole text; with decode also decoded binary, the bytes of the ids.
 
-    Decoding in the same pass keeps the ids in one worker. The places of the words are in a table of the session's
-    warehouse, matchlake_chunks_<id>, which the result reads; it can be dropped after that.
+    Decoding in the same pass keeps the ids in one worker. The places of the words are in a table of the shared folder,
+    in the catalog as matchlake_chunks_<id>, which the result reads; its files go when the driver ends.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -165,7 +150,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # bucketed by chunk, so that the ids come to the texts' places and these stay where they are
     name = f"matchlake_chunks_{uuid.uuid4().hex}"
-    split_chunks(docs, pattern, key, max(64, 4 * parts)).write.bucketBy(parts, "chunk").saveAsTable(name)
+    split_chunks(docs, pattern, key, max(64, 4 * parts)).write.bucketBy(parts, "chunk").option("path", fresh_path(spark, "chunks")).saveAsTable(name)
     chunks = spark.table(name)
     encoded = encode_words(chunks.filter("bucket >= 0").select("bucket", "chunk", "payload"), ranks, pattern, parts)
     tables = encoded.groupBy("chunk").agg(F.collect_list("payload").alias("tables"))

@@ -93,23 +93,6 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of fixed width, byte planes apart so that they compress."""
-    head = np.array([x for c in columns for x in (len(c), c.itemsize)], "<u4").tobytes()
-    return len(columns).to_bytes(1, "little") + head + zlib.compress(b"".join(np.ascontiguousarray(c.view("u1").reshape(-1, c.itemsize).T).tobytes() for c in columns if len(c)), 1)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    n = blob[0]
-    head = np.frombuffer(blob[1 : 1 + 8 * n], "<u4").reshape(-1, 2)
-    data, at, out = zlib.decompress(blob[1 + 8 * n :]), 0, []
-    for rows, width in head.tolist():
-        size = rows * width
-        out.append(np.frombuffer(data[at : at + size], "u1").reshape(width, rows).T.copy().view(f"<u{width}").ravel() if rows else np.empty(0, f"<u{width}"))
-        at += size
-    return out
-
-
 def _dealt(rows: DataFrame, parts: int) -> DataFrame:
     """Rows of one bucket together, bucket after bucket."""
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -203,7 +186,7 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
                 here, mine = slice(cuts[k], cuts[k + 1]), by_home[m_cuts[k] : m_cuts[k + 1]]
                 if cuts[k] < cuts[k + 1] or len(mine):
                     used, at = np.unique(of[here], return_inverse=True)
-                    out.append((k, _pack(entry[here], at.astype(np.uint32), pos[here], grp[used].view(np.uint64), n[used], m_grp[mine].view(np.uint64), m_cls[mine].view(np.uint64), m_n[mine])))
+                    out.append((k, pack(entry[here], at.astype(np.uint32), pos[here], grp[used].view(np.uint64), n[used], m_grp[mine].view(np.uint64), m_cls[mine].view(np.uint64), m_n[mine])))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
@@ -234,7 +217,7 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "list", "grp", "cls", "n", "pos"]
         for blobs in _by_bucket(batches):
-            parts = [_unpack(b) for b in blobs]
+            parts = [unpack(b) for b in blobs]
             entry = np.concatenate([p[0] for p in parts])
             grp = np.concatenate([p[3][p[1]] for p in parts])
             n = np.concatenate([p[4][p[1]] for p in parts]).astype(np.int64)

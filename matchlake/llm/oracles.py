@@ -79,18 +79,19 @@ def _lengths(values: str) -> str:
 _OP1 = f"""
 WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join(_found(k, p) for k, (_, p, _) in enumerate(_KINDS))}),
-e AS (SELECT row, doc_id, kind, i, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d, ({_lengths("gs[1:i]")} + {_lengths("ms[1:i - 1]")})::BIGINT AS start, gs[i] AS gap, gs[i + 1] AS next
+e AS (SELECT row, doc_id, kind, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d, ({_lengths("gs[1:i]")} + {_lengths("ms[1:i - 1]")})::BIGINT AS start
  FROM f, LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS i)),
-b AS (SELECT *, start + length(m) AS stop, kind || ' ' || lower(m) AS entity FROM e WHERE CASE kind {" ".join(f"WHEN {k} THEN {c}" for k, (_, _, c) in enumerate(_KINDS))} END),
-w0 AS (SELECT row, entity, start, stop, CASE WHEN length(gap) > 64 THEN regexp_replace(right(gap, 65), '^[\\p{{L}}\\p{{N}}]*', '') ELSE gap END AS befores, CASE WHEN length(next) > 64 THEN regexp_replace(left(next, 65), '[\\p{{L}}\\p{{N}}]*$', '') ELSE next END AS afters FROM b),
-sides AS (SELECT row, entity, befores AS side, start - length(befores) AS f0 FROM w0 UNION ALL SELECT row, entity, afters, stop FROM w0),
-runs AS (SELECT *, regexp_extract_all(side, '[\\p{{L}}\\p{{N}}]+') AS ws, string_split_regex(side, '[\\p{{L}}\\p{{N}}]+') AS gs FROM sides),
-terms AS (SELECT row, entity, lower(ws[k]) AS term, f0 + {_lengths("gs[1:k]")} + {_lengths("ws[1:k - 1]")} AS start, length(ws[k]) AS n FROM runs, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS k) WHERE length(ws[k]) >= 3 AND regexp_matches(ws[k], '^\\p{{L}}')),
-pairs AS (SELECT entity, term, count(DISTINCT row) AS n_both FROM terms GROUP BY ALL HAVING count(DISTINCT row) >= 3),
-ents AS (SELECT entity, count(DISTINCT row) AS n_entity FROM b GROUP BY ALL),
-words AS (SELECT w AS term, count(*) AS n_term FROM (SELECT unnest(list_distinct(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+'))) AS w FROM t) WHERE w IN (SELECT term FROM pairs) GROUP BY ALL),
-told AS (SELECT entity, term FROM pairs JOIN ents USING (entity) JOIN words USING (term), (SELECT count(*)::DOUBLE AS n FROM t) WHERE n_entity < n AND n_term <= n_both * pow(n / n_entity, 1 - 0.8) * (1 + 1e-12)),
-added AS (SELECT DISTINCT row, 4 AS kind, start, start + n AS stop FROM terms JOIN told USING (entity, term)),
+b AS (SELECT *, start + length(m) AS stop FROM e WHERE CASE kind {" ".join(f"WHEN {k} THEN {c}" for k, (_, _, c) in enumerate(_KINDS))} END),
+ents AS (SELECT DISTINCT row, kind || ' ' || lower(m) AS entity, 0 AS cls FROM b
+ UNION ALL SELECT DISTINCT row, 'class ' || kind || ' ' || CASE kind WHEN 0 THEN split_part(lower(m), '@', 2) WHEN 1 THEN array_to_string(string_split(m, '.')[1:3], '.') WHEN 2 THEN left(d, 6) ELSE left(d, 4) END, 1 FROM b),
+live AS (SELECT * FROM ents JOIN (SELECT entity, count(*) AS n_entity FROM ents GROUP BY entity, cls HAVING count(*) >= 2 + cls AND count(*) < (SELECT count(*) FROM t)) USING (entity)),
+words AS (SELECT DISTINCT row, lower(w) AS term FROM (SELECT row, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+')) AS w FROM t) WHERE regexp_matches(lower(w), '^\\p{{L}}')),
+pairs AS (SELECT entity, cls, n_entity, term, count(*) AS n_both FROM live JOIN words USING (row) GROUP BY ALL HAVING count(*) >= 2 + cls),
+told AS (SELECT entity, term FROM pairs JOIN (SELECT term, count(*) AS n_term FROM words GROUP BY ALL) USING (term), (SELECT count(*)::DOUBLE AS n FROM t) WHERE n_term <= n_both * pow(n / n_entity, 1 - 0.8) * (1 + 1e-12)),
+here AS (SELECT DISTINCT row, term FROM live JOIN told USING (entity) JOIN words USING (row, term)),
+runs AS (SELECT row, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS ws, string_split_regex(t, '[\\p{{L}}\\p{{N}}]+') AS gs FROM t WHERE row IN (SELECT row FROM here)),
+places AS (SELECT row, lower(ws[k]) AS term, length(ws[k]) AS n, sum(length(gs[k]) + length(ws[k])) OVER (PARTITION BY row ORDER BY k) AS stop FROM runs, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS k)),
+added AS (SELECT row, 4 AS kind, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM places JOIN here USING (row, term)),
 every AS (SELECT row, kind, start, stop FROM b UNION ALL SELECT row, kind, start, stop FROM added a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.row = a.row AND b.start < a.stop AND a.start < b.stop)),
 s AS (SELECT row, string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY kind, start) AS spans,
  string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY kind, start) FILTER (kind < 4) AS base,

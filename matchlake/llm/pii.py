@@ -1,13 +1,15 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation around them.
 
-Every value that a pattern finds is a protected entity. Over the whole corpus, document counts of terms, of
-entities and of terms within a window around an entity give pointwise mutual information; a term discloses an
-entity when PMI(term; entity) reaches ALPHA of the entity's own information content -log p(entity), with
-at least MIN_DOCS documents of support. In documents that hold the entity such terms are found within the
-window, and generalised together with the entity itself. DataFrame functions only.
+Every value that a pattern finds is a protected entity, and so is what values have in common: the domain of an
+e-mail address, the first three numbers of an IP address, a card's issuer, a phone number's country and area. Over the
+whole corpus, counts of documents with a term, with an entity, and with both anywhere in their text give pointwise
+mutual information; a term discloses an entity when PMI(term; entity) reaches ALPHA of the entity's own information
+content -log p(entity). A pair needs MIN_DOCS documents of support, one more where the entity is a class: a single
+document can't tell a disclosing word from any other rare one. Texts are counted whole; equal texts are worked on once
+and counted as often as they occur. DataFrame functions only.
 
-sanitise() has no window: it counts a term in all text outside personal data, words of any length, and
-generalises every occurrence of a disclosing term in every document, whether or not that holds the entity.
+find_personal_data() finds every occurrence of a disclosing term in the documents that hold its entity;
+sanitise() generalises every occurrence in every document, whether or not that holds the entity.
 
 Spans come from one regular-expression pass a kind: matches are fenced, the text is split at the fences, and
 running lengths give code-point offsets; these sums are windows over the matches, never over the texts.
@@ -24,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import boxed, lookup_hot_safe, materialise, once, text_or_empty, unboxed
+from matchlake.llm.shared import boxed, lookup_hot_safe, materialise, once, scratch, text_or_empty, unboxed
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The fixed patterns. A match begins where its run begins or the last match ended, so that a failing run is
@@ -36,13 +38,14 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PATTERNS = (EMAIL, IP, CARD, PHONE)
 FENCE, STAND_IN = "\x01", "\x02"
 
-#: Characters on either side of an entity that are its window.
-REACH = 64
-TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}(?![\p{L}\p{N}])"
-#: The words of sanitise(), of any length; the marks that generalise() leaves are matched as wholes, so that they hold none.
+WORD = r"[\p{L}\p{N}]+"
+#: The words of sanitise(); the marks that generalise() leaves are matched as wholes, so that they hold none.
 WORD_OR_MARK = r"<(?:EMAIL|IP|CARD|PHONE)>|[\p{L}\p{N}]+"
-MIN_DOCS = 3
+#: Documents in which a term and an entity must meet; one more where the entity is a class of values.
+MIN_DOCS = 2
 ALPHA = 0.8
+#: Terms that a lookup in all words is broadcast for, at most; beyond, words are counted first.
+BROADCAST_TERMS = 200_000
 
 
 def fenced(text: Column, kind: int) -> Column:
@@ -70,96 +73,113 @@ def valid(match: Column, kind: int) -> Column:
 
 
 def _matches(text: Column, kind: int) -> Column:
-    """Each match with the length of the gap before it, and the window on either side."""
+    """Each match with the length of the gap before it."""
     one = lambda parts: F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(parts) / 2).cast("int"))),
         lambda k: F.when(
             F.size(parts) > 1,
-            F.struct(
-                F.lit(kind).alias("kind"),
-                k.cast("long").alias("nth"),
-                F.length(F.get(parts, 2 * k - 2)).alias("gap"),
-                F.get(parts, 2 * k - 1).alias("match"),
-                F.right(F.get(parts, 2 * k - 2), F.lit(REACH + 1)).alias("before"),
-                F.left(F.get(parts, 2 * k), F.lit(REACH + 1)).alias("after"),
-            ),
+            F.struct(F.lit(kind).alias("kind"), k.cast("long").alias("nth"), F.length(F.get(parts, 2 * k - 2)).alias("gap"), F.get(parts, 2 * k - 1).alias("match")),
         ),
     )
     return F.filter(once(fenced(text, kind), one), lambda m: m.isNotNull())
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """Written table: a row (row, doc_id, text_key) for each document with kind null, and one for each match."""
+    """Written table of a row for each document: row, doc_id, text_key, found (its matches), text (null without any)."""
     text = F.col("_text")
-    rows = docs.select("doc_id", text_or_empty().alias("_text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha1(F.encode("_text", "UTF-8")).alias("text_key"), F.concat(*(_matches(text, k) for k in range(4))).alias("_found"))
-    rows = rows.select("row", "doc_id", "text_key", F.explode_outer("_found").alias("m")).select("row", "doc_id", "text_key", "m.*")
-    return materialise(rows, "matches")
+    rows = docs.select("doc_id", text_or_empty().alias("_text"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha1(F.encode("_text", "UTF-8")).alias("text_key"), F.concat(*(_matches(text, k) for k in range(4))).alias("found"), "_text")
+    return materialise(rows.select("row", "doc_id", "text_key", "found", F.when(F.size("found") > 0, text).alias("text")), "matches")
 
 
 def base_spans(matches: DataFrame) -> DataFrame:
-    """row, kind, start, stop, match and windows of the matches that hold."""
+    """row, kind, start, stop and match of the matches that hold."""
     ahead = Window.partitionBy("row", "kind").orderBy("nth")
-    size = F.length("match")
-    rows = matches.filter(F.col("kind").isNotNull()).withColumn("stop", F.sum(F.col("gap") + size).over(ahead)).withColumn("start", F.col("stop") - size)
+    rows = matches.select("row", F.explode("found").alias("m")).select("row", "m.*")
+    rows = rows.withColumn("stop", F.sum(F.col("gap") + F.length("match")).over(ahead)).withColumn("start", F.col("stop") - F.length("match"))
     holds = F.lit(False)
     for kind in range(4):
         holds = F.when(F.col("kind") == kind, valid(F.col("match"), kind)).otherwise(holds)
-    return rows.filter(holds).select("row", "text_key", "kind", "start", "stop", F.xxhash64("kind", F.lower("match")).alias("entity"), "before", "after")
+    return rows.filter(holds).select("row", "kind", "start", "stop", "match")
 
 
-def window_terms(spans: DataFrame) -> DataFrame:
-    """row, entity, term, start, stop: whole words within the window of an entity."""
+def entities(spans: DataFrame) -> DataFrame:
+    """Distinct row, entity (a hash), cls (1 for a class of values, 0 for a value)."""
+    kind, match = F.col("kind"), F.col("match")
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    common = F.when(kind == 0, F.substring_index(F.lower(match), "@", -1)).when(kind == 1, F.substring_index(match, ".", 3)).when(kind == 2, F.left(digits, F.lit(6))).otherwise(F.left(digits, F.lit(4)))
+    both = F.array(F.struct(F.xxhash64(kind, F.lower(match)).alias("entity"), F.lit(0).alias("cls")), F.struct(F.xxhash64(F.lit("class"), kind, common).alias("entity"), F.lit(1).alias("cls")))
+    return spans.select("row", F.explode(both).alias("e")).select("row", "e.entity", "e.cls").distinct()
+
 
-    def terms(side: Column, first: Column) -> Column:
-        parts = F.split(F.regexp_replace(F.translate(side, FENCE, STAND_IN), TERM, f"{FENCE}$0{FENCE}"), FENCE, -1)
-        one = lambda p: F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: k % 2 == 1),
-            lambda k: F.struct(F.lower(F.get(p, k)).alias("term"), (first + F.length(F.array_join(F.slice(p, F.lit(1), k), ""))).alias("at"), F.length(F.get(p, k)).alias("size")),
-        )
-        return once(parts, one)
+def words_of(text: Column) -> Column:
+    """The distinct lower-cased words of a text that begin with a letter."""
+    return F.filter(F.array_distinct(F.transform(F.split(text, r"[^\p{L}\p{N}]+"), F.lower)), lambda w: w.rlike(r"^\p{L}"))
 
-    # a window that goes on beyond its REACH characters gives up the word that its edge cuts
-    before = F.when(F.length("before") > REACH, F.regexp_replace("before", r"^[\p{L}\p{N}]*", "")).otherwise(F.col("before"))
-    after = F.when(F.length("after") > REACH, F.regexp_replace("after", r"[\p{L}\p{N}]*$", "")).otherwise(F.col("after"))
-    found = spans.withColumn("before", before).withColumn("after", after)
-    both = F.concat(terms(F.col("before"), F.col("start") - F.length("before")), terms(F.col("after"), F.col("stop")))
-    rows = found.select("row", "text_key", "entity", F.explode(both).alias("t"))
-    return rows.select("row", "text_key", "entity", F.col("t.term").alias("term"), F.col("t.at").alias("start"), (F.col("t.at") + F.col("t.size")).alias("stop"))
 
+def holders(matches: DataFrame, spans: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """row, text_key, n, entity, cls, n_entity: each distinct text (its first row stands for its n rows) with the
+    entities in it that enough documents hold, and the number of those documents."""
+    texts = matches.filter(F.col("text").isNotNull()).groupBy("text_key").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    rows = materialise(entities(spans).join(texts, "row"), "entities")
+    total = matches.count()
+    many = rows.groupBy("entity", "cls").agg(F.sum("n").alias("n_entity")).filter((F.col("n_entity") >= min_docs + F.col("cls")) & (F.col("n_entity") < total))
+    # a key of this join is held by as many texts as hold the entity
+    return materialise(lookup_hot_safe(rows, many.drop("cls").withColumn("_w", F.col("n_entity")), "entity", "_w", total).filter(F.col("n_entity").isNotNull()), "holders")
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, terms: DataFrame, n_docs: int, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
-    """entity, term pairs whose mutual information reaches the threshold. Counts are of documents, over all of them.
 
-    log(n_both n / (n_term n_entity)) >= alpha log(n / n_entity), solved for n_term.
+def disclosing_terms(docs: DataFrame, matches: DataFrame, held: DataFrame, words: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Written table of the pairs entity, term whose mutual information reaches the threshold. Counts are of documents, over all of them.
+
+    log(n_both n / (n_term n_entity)) >= alpha log(n / n_entity), solved for n_term. words: row, term of the holders.
     """
-    n = float(max(1, n_docs))
-    pairs = terms.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_docs)
-    entities = spans.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < n)
-    near = terms.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    # the most documents that a term of the pair may have; those with it in a window are too many for most terms
-    rows = pairs.join(entities, "entity").withColumn("most", F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - alpha)) * (1 + 1e-12))
-    rows = materialise(rows.join(near, "term").filter(F.col("n_near") <= F.col("most")), "pairs")
-    wanted = rows.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}\p{N}]+"))).alias("term"))
-    counts = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    return rows.join(counts, "term").filter(F.col("n_term") <= F.col("most")).select("entity", "term")
+    n = float(max(1, matches.count()))
+    pairs = held.join(words, "row").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("cls").alias("cls"))
+    pairs = materialise(pairs.filter(F.col("n_both") >= min_docs + F.col("cls")).drop("cls"), "pairs")
+    # documents with a term and any entity are too many for most terms; a term may be in as many pairs as there are entities
+    near = held.select("row", "n").distinct().join(words, "row").groupBy("term").agg(F.sum("n").alias("n_near"))
+    near = near.join(pairs.groupBy("term").agg(F.count("*").alias("_w")), "term")
+    rows = lookup_hot_safe(pairs, near, "term", "_w", pairs.count())
+    rows = rows.withColumn("most", F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - alpha)) * (1 + 1e-12))
+    rows = materialise(rows.filter(F.col("n_near") <= F.col("most")).select("entity", "term", "most"), "likely")
+    every = docs.select(F.explode(words_of(text_or_empty())).alias("term"))
+    counts = among(every, rows.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_term"))
+    return materialise(rows.join(counts, "term").filter(F.col("n_term") <= F.col("most")).select("entity", "term"), "told")
+
+
+def among(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words whose term is wanted. Few terms are broadcast; for many, Spark joins by term and splits hot ones."""
+    small = wanted.count() <= BROADCAST_TERMS
+    return words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+
+
+def term_spans(matches: DataFrame, held: DataFrame, words: DataFrame, told: DataFrame) -> DataFrame:
+    """text_key, added (array of kind, start, stop), n: all occurrences of the terms that disclose an entity of the text."""
+    has = held.select("row", "entity").join(words, "row").join(told, ["entity", "term"], "left_semi").groupBy("row").agg(F.collect_set("term").alias("_terms"))
+    texts = matches.select("row", "text").join(has, "row")
+    fenced_words = F.split(F.regexp_replace(F.translate("text", FENCE, STAND_IN), WORD, f"{FENCE}$0{FENCE}"), FENCE, -1)
+    hit = lambda part, at: F.struct(F.length(part).alias("size"), ((at % 2 == 1) & F.array_contains("_terms", F.lower(part))).alias("hit"))
+    parts = texts.select("row", F.posexplode(F.transform(fenced_words, hit)).alias("at", "p"))
+    parts = parts.withColumn("stop", F.sum("p.size").over(Window.partitionBy("row").orderBy("at"))).filter("p.hit")
+    span = F.struct(F.lit(4).alias("kind"), (F.col("stop") - F.col("p.size")).alias("start"), F.col("stop").alias("stop"))
+    lists = parts.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    return lists.join(held.select("row", "text_key", "n").distinct(), "row").select("text_key", "added", "n")
 
 
 def find_personal_data(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text_key, base and spans for each row: arrays of (kind number, start, stop) in kind order, then start."""
-    matches = base_matches(docs)
-    spans = materialise(base_spans(matches), "spans")
-    terms = window_terms(spans)
-    n_docs = docs.select("doc_id").count()
-    disclosed = materialise(disclosing_terms(docs, spans, terms, n_docs, alpha, min_docs), "disclosed")
-    added = terms.join(disclosed, ["entity", "term"]).select("row", F.lit(4).alias("kind"), "start", "stop").distinct()
-    every = spans.select("row", "kind", "start", "stop").unionByName(added)
-    # one row for each document: the row without a match, or the first match's
-    heads = matches.filter(F.col("kind").isNull()).select("row", "doc_id", "text_key").unionByName(matches.filter(F.col("kind").isNotNull()).select("row", "doc_id", "text_key").distinct())
-    lists = every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("_all"))
-    rows = heads.join(lists, "row", "left").withColumn("_all", F.coalesce("_all", F.array().cast("array<struct<kind:int,start:bigint,stop:bigint>>")))
-    rows = rows.withColumn("base", F.filter("_all", lambda s: s["kind"] < 4))
-    free = F.filter("_all", lambda s: (s["kind"] == 4) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    with scratch() as keep:
+        matches = keep(base_matches(docs))
+        spans = keep(materialise(base_spans(matches), "spans"))
+        held = holders(matches, spans, min_docs)
+        words = materialise(matches.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode(words_of(F.col("text"))).alias("term")), "words")
+        told = disclosing_terms(docs, matches, held, words, alpha, min_docs)
+        added = keep(materialise(term_spans(matches, held, words, told), "added"))
+    kind = "array<struct<kind:int,start:bigint,stop:bigint>>"
+    lists = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("base"))
+    rows = matches.select("row", "doc_id", "text_key").join(lists, "row", "left").withColumn("base", F.coalesce("base", F.array().cast(kind)))
+    rows = lookup_hot_safe(rows, added, "text_key", "n", matches.count())
+    free = F.filter(F.coalesce("added", F.array().cast(kind)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     return rows.select("doc_id", "text_key", "base", F.concat("base", free).alias("spans"))
 
 
@@ -187,32 +207,16 @@ def _swap(kind: int) -> Callable[[Column, Column], Column]:
     return swap
 
 
-def clean_words(docs: DataFrame, held: Column | None = None) -> DataFrame:
-    """text_key, term, n: the distinct words outside personal data of each text, with the number of its rows."""
-    rows = docs.select(text_or_empty().alias("_text")).select("_text", generalise(F.col("_text")).alias("_clean"))
-    rows = rows if held is None else rows.filter(held)
-    words = F.filter(F.array_distinct(F.transform(F.regexp_extract_all("_clean", F.lit(WORD_OR_MARK), F.lit(0)), F.lower)), lambda w: w.rlike(r"^\p{L}"))
-    return rows.select(F.sha1(F.encode("_text", "UTF-8")).alias("text_key"), F.explode(words).alias("term")).groupBy("text_key", "term").agg(F.count("*").alias("n"))
-
-
 def terms_of_texts(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
-    """text_key, _terms, _rows: each text that holds a term which discloses an entity, with all such terms and its number of rows.
-
-    The threshold is disclosing_terms()'s; both counts are of documents with the term anywhere outside personal data.
-    """
-    n = float(max(1, docs.select("doc_id").count()))
-    spans = materialise(base_spans(base_matches(docs)).select("row", "text_key", "entity").distinct(), "entities")
-    entities = spans.groupBy("entity").agg(F.count("*").alias("n_entity")).filter((F.col("n_entity") >= min_docs) & (F.col("n_entity") < n))
-    holders = spans.select("text_key", "entity").distinct().join(entities, "entity")
-    # a text holds an entity just if generalise() changes it
-    near = materialise(clean_words(docs, F.col("_text") != F.col("_clean")), "near")
-    pairs = holders.join(near, "text_key").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= min_docs)
-    rows = pairs.withColumn("most", F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - alpha)) * (1 + 1e-12)).groupBy("term").agg(F.max("most").alias("most"))
-    least = near.groupBy("term").agg(F.sum("n").alias("n_near"))
-    wanted = materialise(rows.join(least, "term").filter(F.col("n_near") <= F.col("most")).select("term", "most"), "wanted")
-    hits = materialise(clean_words(docs).join(wanted, "term", "left_semi"), "hits")
-    told = hits.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term").filter(F.col("n_term") <= F.col("most"))
-    return hits.join(told.select("term"), "term", "left_semi").groupBy("text_key").agg(F.collect_set("term").alias("_terms"), F.max("n").alias("_rows"))
+    """Written table text_key, _terms, _rows: each text that holds a term which discloses an entity, with all such terms and its number of rows."""
+    with scratch() as keep:
+        matches = base_matches(docs)
+        held = holders(matches, base_spans(matches), min_docs)
+        words = materialise(matches.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode(words_of(F.col("text"))).alias("term")), "words")
+        told = disclosing_terms(docs, matches, held, words, alpha, min_docs).select("term").distinct()
+        rows = docs.select(text_or_empty().alias("_text")).select(F.sha1(F.encode("_text", "UTF-8")).alias("text_key"), F.explode(words_of(F.col("_text"))).alias("term"))
+        hits = among(rows, told).groupBy("text_key", "term").agg(F.count("*").alias("n"))
+        return keep(materialise(hits.groupBy("text_key").agg(F.collect_set("term").alias("_terms"), F.max("n").alias("_rows")), "terms"))
 
 
 def _without(terms: Column, text: Column) -> Column:
@@ -224,7 +228,7 @@ def _without(terms: Column, text: Column) -> Column:
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with disclosing terms and personal data in text generalised. Null text stays null."""
-    terms = materialise(terms_of_texts(docs, alpha, min_docs).withColumnRenamed("text_key", "_key"), "terms")
+    terms = terms_of_texts(docs, alpha, min_docs).withColumnRenamed("text_key", "_key")
     rows = boxed(docs, _text=F.col("text").cast("string"), _key=F.sha1(F.encode(text_or_empty(), "UTF-8")))
     rows = lookup_hot_safe(rows, terms, "_key", "_rows", docs.select("doc_id").count())
     both = once(generalise(F.col("_text")), lambda text: F.when(F.col("_terms").isNull(), text).otherwise(_without(F.col("_terms"), text)))

@@ -1,59 +1,38 @@
-"""Storage that driver and executors share, hash helpers, and joins that stand hot keys."""
+"""Packed columns, bounded batches, rows as one column, and joins that stand hot keys."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from matchlake.sources.scratch import drop_table, fresh_path, materialise, scratch, shared_dir  # noqa: F401  for the operators
+
 #: A key is hot when it owns more than one row in this many; so there are at most as many hot keys.
 HOT_SHARE = 1000
 #: Rows and bytes of an Arrow batch, at most; a longer text is a batch of its own.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or the session's checkpoint folder.
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of fixed width, byte planes apart so that they compress."""
+    head = np.array([x for c in columns for x in (len(c), c.itemsize)], "<u4").tobytes()
+    return bytes([len(columns)]) + head + zlib.compress(b"".join(np.ascontiguousarray(c.view("u1").reshape(-1, c.itemsize).T).tobytes() for c in columns if len(c)), 1)
 
-    Where neither is set and the session runs in one process (tests), a temporary folder
-    becomes the checkpoint folder. On a cluster a missing setting is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchlake-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/matchlake-{uuid.uuid4().hex}/{tag}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, outlives executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by materialise()."""
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """The columns that pack() made one blob of."""
+    n = blob[0]
+    data, at, out = zlib.decompress(blob[1 + 8 * n :]), 0, []
+    for rows, width in np.frombuffer(blob[1 : 1 + 8 * n], "<u4").reshape(-1, 2).tolist():
+        out.append(np.frombuffer(data[at : at + rows * width], "u1").reshape(width, rows).T.copy().view(f"<u{width}").ravel() if rows else np.empty(0, f"<u{width}"))
+        at += rows * width
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:

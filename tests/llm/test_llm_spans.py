@@ -52,6 +52,23 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[0] == texts[0][1].replace(rare, "<TERM>").replace("jo@ex.org", "<EMAIL>") and clean[100] == texts[5][1]
 
 
+def test_terms_far_off_and_classes_of_entities(spark):
+    far = " ".join(["about town"] * 30)
+    texts = [(k, f"Zanzibarite {far} {k}.person{k}@zanzi.example {far} x zanzibarite, Zanzi") for k in range(3)]
+    texts += [(9, f"zanzibarite {far}"), (10, f"qux {far} lone@only.example"), (11, f"qux {far} lone@only.example"), (12, f"solo {far} solo@solo.example")]
+    texts += [(100 + k, f"about town x {' '.join(words(9, k))} zanzi@{k}") for k in range(200)]
+    got = {r.doc_id: [texts_of(texts, r.doc_id, s) for s in r.spans if s.kind == 4] for r in pii.find_personal_data(docs(spark, texts)).collect()}
+    assert all(got[k] == ["Zanzibarite", "zanzibarite"] for k in range(3))  # three documents of one domain
+    assert got[10] == got[11] == ["qux"]  # two documents of one address
+    assert not got[12] and not got[9] and not any(got[100 + k] for k in range(200))  # one document says nothing
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert clean[9] == f"<TERM> {far}" and clean[12] == f"solo {far} <EMAIL>" and clean[10] == f"<TERM> {far} <EMAIL>"
+
+
+def texts_of(texts, doc_id, span):
+    return dict(texts)[doc_id][span.start : span.stop]
+
+
 def test_counts_behind_the_threshold(spark):
     rng = random.Random(4)
     vocabulary = words(40, 7)
@@ -62,9 +79,7 @@ def test_counts_behind_the_threshold(spark):
         terms.update(ws)
         for e in {"a@b.cc", "1.2.3.4"} & ws:
             entities[e] += 1
-            at = t.index(e)
-            near = set(re.findall(r"[a-z]{3,}", t[max(0, at - 64) : at].partition(" ")[2] if at > 64 else t[:at])) | set(re.findall(r"[a-z]{3,}", t[at + len(e) : at + len(e) + 64]))
-            pairs.update((e, w) for w in near & ws)
+            pairs.update((e, w) for w in ws - {e})
     alpha, least = 0.3, 2
     want = {(e, w) for (e, w), c in pairs.items() if c >= least and (c * n / (terms[w] * entities[e])) >= (n / entities[e]) ** alpha}
     got = pii.find_personal_data(docs(spark, texts), alpha, least).collect()
