@@ -157,7 +157,15 @@ def test_field_is_fitted_on_whole_texts(spark):
     texts = [f"{'plain words here ' * 2500}{k} token = \"{k:08d}Q9xz\" end {'and more ' * k}" for k in range(6)] + ["nothing here", "x1 y2"]
     got = secrets.fit_on_documents(docs(spark, list(enumerate(texts)) + [(90, texts[0])]))
     assert got.weights and set(got.weights) == set(secrets.fit_field(texts).weights)
-    assert secrets.scan("the token 4711Q9xz here", got, False) == secrets.scan("the token 4711Q9xz here", got, True)
+    assert both_ways(["the token 4711Q9xz here"], got)
+
+
+def both_ways(texts, field):
+    """The spans of all texts, after a check that open stretches decode as whole texts do, one by one and together."""
+    scorer = secrets.Scorer(field)
+    found = secrets.scan(texts, scorer)
+    assert found == secrets.scan(texts, scorer, True) == [secrets.scan([t], secrets.Scorer(field))[0] for t in texts]
+    return found
 
 
 def test_stretches_decode_as_whole_texts():
@@ -165,10 +173,50 @@ def test_stretches_decode_as_whole_texts():
     plain = words(300, 3)
     texts = [" ".join(rng.choice([*plain, 'token = "24be64439e3e49cf46b2d7c90f3602a3"', "4785380592391139", "key:"]) for _ in range(80)) for _ in range(60)]
     field = secrets.fit_field(texts)
-    assert field.settled()
-    assert all(secrets.scan(t, field, False) == secrets.scan(t, field, True) for t in texts)
+    both_ways([*texts, "", " ", "one"], field)
     hit = 'the token was 24be64439e3e49cf46b2d7c9 and = "9f8e7d6c5b4a39281706f5e4" here'
-    assert secrets.scan(hit, field, False)[0]
+    assert both_ways([hit], field)[0][0]
+
+
+def names_of(texts):
+    """The features of all tokens of some texts."""
+    names = set()
+    for t in texts:
+        tokens = secrets.TOKEN.findall(t)
+        for k in range(len(tokens)):
+            names.update(secrets.features_at(tokens, k, secrets.file_features(t)))
+    return names
+
+
+def test_any_weights_decode_as_whole_texts():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    around = ["tokens", "Passwords", "secretary", "my-password", "xapikeys", "token", "api_keys", "a1", "Q9x", "=", "word", "long-word-of-many-letters", "\"", "7"]
+    texts = [" ".join(rng.choice(around, 40)) for _ in range(12)] + ["my secretary here", " ".join(["a1"] * 500)]
+    names = names_of(texts)
+    tagged = 0
+    for scale in (0.3, 1, 3, 9):
+        for tilt in (0, 4):
+            weights = {n: tuple(rng.normal(size=3) * scale + np.array([tilt * scale / 4, 0, 0])) for n in sorted(names)}
+            tagged += sum(len(every) for _, every in both_ways(texts, secrets.Field(weights, rng.normal(size=(3, 3)) * scale)))
+    assert tagged > 100
+
+
+def test_scores_are_sums_of_features():
+    import numpy as np
+
+    texts = ['the token = "a1b2" end', "x", "tokens, passwd:Q9", ""]
+    rng = np.random.default_rng(3)
+    names = names_of(texts)
+    field = secrets.Field({n: tuple(rng.normal(size=3)) for n in sorted(names)}, np.zeros((3, 3)))
+    scorer = secrets.Scorer(field)
+    ids = [scorer.ids(secrets.TOKEN.findall(t)) for t in texts]
+    got, walls = scorer.scores(ids, [secrets.file_features(t) for t in texts])
+    for t, wall in zip(texts, walls[:-1], strict=True):
+        tokens = secrets.TOKEN.findall(t)
+        for k in range(len(tokens)):
+            assert np.allclose(got[wall + secrets.WALL + k], np.sum([field.weights[n] for n in secrets.features_at(tokens, k, secrets.file_features(t))], axis=0))
 
 
 def test_words_around_key_words_decode_as_whole_texts():
@@ -176,11 +224,37 @@ def test_words_around_key_words_decode_as_whole_texts():
 
     around = ["tokens", "Passwords", "secretary", "my-password", "xapikeys", "token", "api_keys"]
     field = secrets.Field({"plain 1": (5.0, 0.0, 0.0), "own key": (0.0, 20.0, 0.0), "after key": (0.0, 9.0, 0.0)}, np.zeros((3, 3)))
-    assert field.settled()
     for word in around:
         text = f"one two three four {word} five six seven eight"
-        assert not secrets.plain(word) and secrets.scan(text, field, False) == secrets.scan(text, field, True)
-        assert secrets.scan(text, field, False)[1]
+        assert not secrets.plain(word) and both_ways([text], field)[0][1]
+    free = secrets.Field({"plain 1": (10.0, 0.0, 0.0), "own key": (0.0, 50.0, 0.0)}, np.zeros((3, 3)))
+    assert [(s, e) for s, _, e in both_ways(["my secretary here"], free)[0][1]] == [(3, 12)]
+
+
+def test_dense_runs_are_long_stretches():
+    rows = secrets.stretches_of(" ".join(["a1"] * 1000), [(0, 2)])
+    assert len(rows) == -(-1000 // secrets.LONGEST) and sum(len(tags) for _, _, tags, _ in rows) == 1000 and rows[0][2][0] == secrets.BEGIN
+
+
+def test_held_out_secrets_that_no_pattern_knows():
+    """Recall on texts, values and forms that the fit has not seen, and false alarms on clean texts."""
+    rng = random.Random(2)
+    plain = words(900, 5)
+    prose = lambda k: " ".join(rng.choices(plain, k=k))
+    train, test, clean = ([prose(rng.randint(60, 400)) for _ in range(n)] for n in (500, 150, 150))
+    known = tuple(f for f in secrets.SECRETS if f not in secrets.HELD_OUT)
+    scorer = secrets.Scorer(secrets.fit_field(train, known))
+    for forms in (known, secrets.HELD_OUT):
+        hit = total = 0
+        for t in test:
+            copy, spans = secrets.planted(t, 7, forms)
+            base, (found,) = secrets.base_spans(copy), secrets.field_spans([copy], scorer)
+            for a, b, _ in spans:
+                if not any(s < b and a < e for s, _, e in base):
+                    total += 1
+                    hit += any(s <= a and b <= e <= b + 32 for s, e in found)
+        assert total > 300 and hit >= 0.9 * total
+    assert sum(map(len, secrets.field_spans(clean, scorer))) == 0
 
 
 def test_viterbi_matches_enumeration():
