@@ -23,11 +23,11 @@ def _words(text: str) -> str:
 
 _OP3 = f"""
 WITH iw AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
-its AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM iw WHERE len(w) >= 5),
+its AS (SELECT item_id, least(len(w), 5) AS wd, unnest(list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda k: array_to_string(w[k:k + least(len(w), 5) - 1], ' ')))) AS s FROM iw WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) AS n_item_shingles FROM its GROUP BY item_id),
 dw AS (SELECT doc_id, {_words("text")} AS w FROM documents),
-ds AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM dw WHERE len(w) >= 5),
-m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN its USING (s) GROUP BY ALL)
+ds AS (SELECT doc_id, wd, unnest(list_distinct(list_transform(range(1, len(w) - wd + 2), lambda k: array_to_string(w[k:k + wd - 1], ' ')))) AS s FROM dw, (SELECT DISTINCT wd FROM its) WHERE len(w) >= wd),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN its USING (wd, s) GROUP BY ALL)
 SELECT doc_id, item_id, n_item_shingles, n_shared FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item_shingles
 """
 

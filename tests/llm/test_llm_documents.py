@@ -179,6 +179,7 @@ def item_words(t):
 
 def test_decontamination_is_exact(spark):
     items = [(k, " ".join(words(n, 900 + k))) for k, n in enumerate((5, 6, 9, 20, 33, 60, 130))] + [(20, "too short"), (21, None), (22, ""), (3, " ".join(words(20, 903)))]
+    items += [(30 + n, " ".join(words(n, 950 + n))) for n in (1, 2, 3, 4)] + [(40, "Who wrote Hamlet?"), (41, "one"), (42, "...")]
     texts = odd_texts()
     rng = random.Random(8)
     for k in range(120):
@@ -189,18 +190,20 @@ def test_decontamination_is_exact(spark):
                 passage[rng.randrange(len(passage))] = "changed"
         at = rng.randint(0, len(own))
         texts.append((100 + k, " ".join(own[:at] + [w.upper() + "," for w in passage] + own[at:])))
+    texts += [(300, "they asked who wrote hamlet again"), (301, "who wrote the hamlet"), (302, "hamlet who wrote"), (303, "who wrote hamlet")]
     df = docs(spark, texts, extra=True)
     table = spark.createDataFrame(items, "item_id long, text string")
-    grams = lambda t: {tuple(w[k : k + 5]) for w in [item_words(t)] for k in range(len(w) - 4)}
+    cut = lambda t, n: {tuple(w[k : k + n]) for w in [item_words(t)] for k in range(len(w) - n + 1)}
     want = {}
     for i, t in texts:
         for j, u in items:
-            g = grams(u)
-            both = len(g & grams(t))
+            width = min(5, len(item_words(u)))
+            g = cut(u, width) if width else set()
+            both = len(g & cut(t, width)) if width else 0
             if g and 100 * both >= 80 * len(g):
                 want[i, j] = max(want.get((i, j), (0, 0)), (both, len(g)))
     got = {(r.doc_id, r.item_id): (r.n_shared, r.n_item_shingles) for r in decontam.leaks(df, table).collect()}
-    assert want and got == want
+    assert want and got == want and (300, 40) in got and (303, 40) in got and (301, 40) not in got and (302, 40) not in got
     clean = decontam.decontaminate(df, table)
     assert clean.columns == df.columns and clean.count() == sum(not any((i, j) in want for j, _ in items) for i, _ in texts)
     assert decontam.leaks(df, table.limit(0)).count() == 0 and decontam.leaks(df.limit(0), table).count() == 0
