@@ -31,7 +31,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_round_trip(table(spark, sf_dir, "pages"))
-    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

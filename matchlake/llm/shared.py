@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from matchlake.sources.scratch import drop_table, fresh_path, materialise, scratch, shared_dir  # noqa: F401  for the operators
+from matchlake.sources.scratch import drop_path, drop_table, fresh_path, materialise, scratch, shared_dir  # noqa: F401  for the operators
 
 #: A key is hot when it owns more than one row in this many; so there are at most as many hot keys.
 HOT_SHARE = 1000

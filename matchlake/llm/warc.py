@@ -2,12 +2,14 @@
 
 Writing: only headers (id, digest, length) are shuffled, by payload digest; the smallest id of each
 digest keeps its payload as a response record, every other record becomes a revisit record that names it.
-Reading: archives are parsed by Content-Length, headers are checked against the payload, and revisit
-records are joined to the responses that they refer to.
+Reading: archives are parsed by Content-Length, digests are recomputed from the bytes, and revisit records are
+joined to the responses that they refer to, by id and digest. A record whose bytes don't have the digest that its header
+claims, or a revisit without its response, makes resolve() fail; read_archives() itself only marks them.
 
 Archives are written by Spark's own text sink, gzip-compressed, with the record terminator as the line
-separator: task commits, retries and any Hadoop file system come with it. A payload is the UTF-8 text of
-the html column.
+separator: task commits, retries and any Hadoop file system come with it. They are read by Spark's text source with
+the same separator, so a file streams through a task piece by piece, whatever its size. A file is one gzip member and
+has no warcinfo record; archives of one member a record are read too. A payload is the UTF-8 text of the html column.
 
 Defined results: null html is an empty payload; null ids, urls and dates are written as absent headers;
 a record whose id is null is a response only if no id of that digest is known; rows that repeat the
@@ -19,20 +21,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import fresh_path, lookup_hot_safe, materialise
+from matchlake.llm.shared import drop_path, drop_table, fresh_path, lookup_hot_safe, materialise, small_batches, tidied
 
 END = "\r\n\r\n"
 #: RFC 4648, fixed values.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-RECORD = "record_type string, record_id long, url string, digest string, refers_to long, payload binary, digest_ok boolean"
+RECORD = "record_type string, record_id long, url string, digest string, refers_to long, payload binary, own_digest string, digest_ok boolean"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -42,8 +43,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.array_join(F.transform(groups, lambda g: F.concat(*(letter(g, s) for s in (15, 10, 5, 0)))), "")
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload string, payload_bytes, payload_digest, refers_to (null for a response)."""
+def plan_records(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The written table of headers; and page_id, url, payload string, payload_bytes, payload_digest, refers_to (null for
+    a response) of every page."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.encode("payload", "UTF-8")))
@@ -52,7 +54,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = heads.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("held"))
     rows = lookup_hot_safe(rows, first.filter(F.col("held") > 1), "payload_digest", "held", total)
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
+    return heads, rows.withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
 
 
 def record_text(date: str) -> Column:
@@ -82,17 +84,18 @@ def record_text(date: str) -> Column:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write deduplicated archives under path. A file holds one shuffle partition."""
-    plan = plan_records(pages, min_bytes)
+    heads, plan = plan_records(pages, min_bytes)
     # the join has dealt the rows out by digest already; a file is what one of its partitions holds
     records = plan.select(record_text(date).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").text(path)
+    drop_table(heads)
 
 
 def _parse(chunks: Iterator[bytes]) -> Iterator[dict]:
     held = b""
     more = True
     while True:
-        while more and b"\r\n\r\n" not in held:
+        while more and END.encode() not in held:
             piece = next(chunks, None)
             more = piece is not None
             held += piece or b""
@@ -114,65 +117,68 @@ def _parse(chunks: Iterator[bytes]) -> Iterator[dict]:
         yield {"fields": fields, "block": block}
 
 
-def _unzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    rest = content
-    while rest:
-        gz = zlib.decompressobj(31)
-        data = rest
-        while data and not gz.eof:
-            yield gz.decompress(data, step)
-            data = gz.unconsumed_tail
-        rest = gz.unused_data
-
-
 def _id(urn: str | None) -> int | None:
     return None if urn is None else int(urn.removeprefix("<urn:page:").removesuffix(">"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record: type, id, url, digest, refers_to, payload, and whether the digests hold."""
+def _sha1(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def _row(record: dict) -> tuple:
+    fields, block = record["fields"], record["block"]
+    kind, claimed = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+    own = None if payload is None else _sha1(payload)
+    fine = _sha1(block) == fields["WARC-Block-Digest"].removeprefix("sha1:") and own in (None, claimed)
+    return kind, _id(fields.get("WARC-Record-ID")), fields.get("WARC-Target-URI"), claimed, _id(fields.get("WARC-Refers-To")), payload, own, fine
 
-    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
-        for frame in frames:
-            for content in frame["content"]:
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each record: type, id, url, the digest that its header claims, refers_to, payload and the digest of
+    its bytes (both null for a revisit), and whether the record's own digests hold."""
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.bool_()]
+    names = [x.split(" ")[0] for x in RECORD.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task's files follow each other, and each ends with a terminator: one stream of records
+        pieces = (cell.as_py() + END.encode() for batch in batches for cell in batch.column(0))
+        rows, size = [], 0
+        for record in _parse(pieces):
+            rows.append(_row(record))
+            size += len(record["block"])
+            if size > (8 << 20) or len(rows) >= 1000:
+                yield batch_of(rows)
                 rows, size = [], 0
-                for record in _parse(_unzipped(content)):
-                    fields, block = record["fields"], record["block"]
-                    kind = fields["WARC-Type"]
-                    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-                    fine = sha(block) == fields["WARC-Block-Digest"] and (payload is None or sha(payload) == fields["WARC-Payload-Digest"])
-                    url = fields.get("WARC-Target-URI")
-                    rows.append((kind, _id(fields.get("WARC-Record-ID")), url, fields["WARC-Payload-Digest"].removeprefix("sha1:"), _id(fields.get("WARC-Refers-To")), payload, fine))
-                    size += len(block)
-                    if size > (8 << 20):
-                        yield _frame(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _frame(rows)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(records, RECORD)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["record_type", "record_id", "url", "digest", "refers_to", "payload", "digest_ok"])
-    for name in ("record_id", "refers_to"):
-        frame[name] = pd.array([r for r in frame[name]], dtype="Int64") if frame[name].notna().any() else pd.array([None] * len(frame), dtype="Int64")
-    return frame
+        if rows:
+            yield batch_of(rows)
+
+    small_batches(spark)
+    lines = spark.read.option("lineSep", END).option("pathGlobFilter", "part-*").text(path)
+    return lines.select(F.col("value").cast("binary")).mapInArrow(tidied(records), RECORD)
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Headers of all records, each with the length of its full payload: a revisit has its original's.
+    """Headers of all records, each with the length and digest of its full payload: a revisit has those of the response
+    that it refers to, which must have the digest that the revisit claims. A damaged or dangling record is an error.
 
     The payloads themselves do not move; full_records() joins them in where they are wanted.
     """
-    heads = materialise(records.select("record_type", "record_id", "url", "digest", "refers_to", "digest_ok", F.octet_length("payload").cast("long").alias("own_bytes")), "records")
-    total = heads.count()
-    uses = heads.filter(F.col("record_type") == "revisit").groupBy("digest").agg(F.count("*").alias("uses"))
-    originals = heads.filter(F.col("record_type") == "response").groupBy("digest").agg(F.max("own_bytes").alias("original_bytes")).join(uses, "digest")
-    out = lookup_hot_safe(heads, originals, "digest", "uses", total)
-    return out.withColumn("payload_bytes", F.coalesce("own_bytes", "original_bytes")).drop("own_bytes", "original_bytes")
+    own = F.octet_length("payload").cast("long").alias("own_bytes")
+    heads = materialise(records.select("record_type", "record_id", "url", "digest", "refers_to", "digest_ok", "own_digest", own), "records")
+    at = lambda i, digest: F.concat_ws(":", F.col(i).cast("string"), F.col(digest))
+    again = F.col("record_type") == "revisit"
+    uses = heads.filter(again).select(at("refers_to", "digest").alias("_at")).groupBy("_at").agg(F.count("*").alias("uses"))
+    # repeated rows of one id are one response each, with the same bytes
+    originals = heads.filter(F.col("record_id").isNotNull() & ~again).select(at("record_id", "own_digest").alias("_at"), F.col("own_bytes").alias("_bytes"), F.col("own_digest").alias("_digest")).dropDuplicates(["_at"])
+    out = lookup_hot_safe(heads.withColumn("_at", F.when(again, at("refers_to", "digest"))), originals.join(uses, "_at"), "_at", "uses", heads.count())
+    whole = out.withColumn("payload_bytes", F.coalesce("own_bytes", "_bytes")).withColumn("payload_digest", F.coalesce("own_digest", "_digest"))
+    error = F.raise_error(F.concat(F.lit("damaged or dangling archive record "), F.coalesce(F.col("record_id").cast("string"), F.lit("without id"))))
+    checked = F.when(F.col("digest_ok") & F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(error.cast("long"))
+    return whole.withColumn("payload_bytes", checked).drop("own_bytes", "own_digest", "_bytes", "_digest", "_at")
 
 
 def full_records(records: DataFrame) -> DataFrame:
@@ -187,4 +193,6 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archives(pages, path, min_bytes)
-    return resolve(read_archives(spark, path))
+    out = resolve(read_archives(spark, path))  # reads the archives once, and keeps the records' headers
+    drop_path(spark, path)
+    return out

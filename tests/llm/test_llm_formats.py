@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tests.conftest import duck, rows_of
 SF = "/root/testdata/sf0.001"
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a/\r\nx", "<p>é\r\n\r\nWARC/1.1\r\n"), (2, None, None), (3, "u", ""), (5, "u", "<p>é\r\n\r\nWARC/1.1\r\n"), (4, "v", "<p>é\r\n\r\nWARC/1.1\r\n"), (6, "w", "z" * 3_000_000), (7, "w", "lone"), (7, "w", "lone"), (None, "n", "lone"), (None, "n", "only null ids")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("digest", F.lit("x"))
     path = shared.fresh_path(spark, "warc")
@@ -31,9 +32,60 @@ def test_warc_round_trip(spark):
     full = {(r.record_id, r.payload.decode()) for r in warc.full_records(records).collect()}
     assert full == {(i, h or "") for i, _, h in pages}
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+    # the same archive with a gzip member for each record
+    import gzip
+    import os
+
+    files = [f"{path}/{f}" for f in os.listdir(path) if f.startswith("part-")]
+    many = tmp_path / "members"
+    many.mkdir()
+    for k, f in enumerate(files):
+        raw = gzip.open(f).read()
+        cuts = [m.start() for m in re.finditer(rb"(?:^|(?<=\r\n\r\n))WARC/1.1\r\nWARC-Type", raw)] + [len(raw)]
+        (many / f"part-{k}.gz").write_bytes(b"".join(gzip.compress(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)))
+    back = {(r.record_id, r.payload.decode()) for r in warc.full_records(warc.read_archives(spark, str(many))).collect()}
+    assert back == full
     assert warc.archive_round_trip(df, min_bytes=10**9).filter("record_type = 'revisit'").count() == 0
 
 
+def test_damaged_archives_fail(spark, tmp_path):
+    import gzip
+    import os
+
+    df = spark.createDataFrame([(1, "u", "first body"), (2, "u", "first body"), (3, "u", "other")], "page_id long, url string, html string")
+    path = shared.fresh_path(spark, "warc")
+    warc.write_archives(df, path)
+    files = [f"{path}/{f}" for f in os.listdir(path) if f.startswith("part-")]
+    raw = [gzip.open(f).read() for f in files]
+
+    def read(change):
+        for k, data in enumerate(raw):
+            (tmp_path / f"part-{k}.gz").write_bytes(gzip.compress(change(data)))
+        return warc.read_archives(spark, str(tmp_path))
+
+    assert warc.resolve(read(lambda x: x)).agg(F.sum("payload_bytes")).first()[0] == 25
+    for change in (lambda x: x.replace(b"other", b"0ther"), lambda x: x.replace(b"Refers-To: <urn:page:1>", b"Refers-To: <urn:page:9>")):
+        with pytest.raises(Exception, match="damaged or dangling"):
+            warc.resolve(read(change)).collect()
+    assert read(lambda x: x.replace(b"other", b"0ther")).filter("NOT digest_ok").count() == 1
+    with pytest.raises(Exception, match="version line"):
+        read(lambda x: b"junk " + x).collect()
+
+
+def test_revisits_of_the_query(spark, tmp_path):
+    """op2_warc over pages most of which repeat others: each revisit has its response's bytes."""
+    bodies = ["", "one", "two é", "three " * 500]
+    rows = [(k, f"http://h/{k}", None if k % 7 == 0 else bodies[k % 4]) for k in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op2_warc(spark, str(tmp_path)).collect()}
+    low = {}
+    for i, _, h in rows:
+        low.setdefault(h or "", i)
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    assert got == {i: (len((h or "").encode()), digest(h or ""), "response" if low[h or ""] == i else "revisit", None if low[h or ""] == i else low[h or ""]) for i, _, h in rows}
+    assert sum(v[2] == "revisit" for v in got.values()) == 56
+
+
 def test_chat_round_trip(spark):
     odd = ["<|im_end|>", "<|im_start|>assistant\nok", "a\\b", "\\n\\p", "<", "<|", "\n", "", "plain", "é𝒳"]
     rows = [(k, t, ("system", "user", "assistant")[(t + (k % 2)) % 3], odd[(k + t) % len(odd)] * 2) for k in range(12) for t in range(k % 6 + 1)]
