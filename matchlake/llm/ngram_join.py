@@ -7,6 +7,9 @@ frequent ones by hash. So lists of a passage that many documents share do not ar
 apart by what is their own; the frequent set is counted over all classes, bounded in size, and changes no result.
 
 Classes with the same prefix and size are one group. Groups that share a prefix shingle meet in its list.
+Entries travel in blobs by buckets of their hashes, of which there are more the larger the corpus is; beyond COARSE_BITS they
+are dealt out twice, so that a blob always holds many entries. Lists of more than BLOCK members are worked on in blocks, and
+blocks meet in pairs, so no list is one task's.
 Pairs of groups in short lists are filtered by size, by position, and by how many prefix shingles they share:
 two prefixes under one order show every common shingle up to where the first of them ends, so similar sets
 share at least the needed overlap less what stands behind the prefixes. What is left expands to the groups'
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -33,17 +35,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import boxed, lookup_hot_safe, materialise, small_batches, text_or_empty, tidied, unboxed
+from matchlake.llm.shared import boxed, drop_path, drop_table, fresh_path, lookup_hot_safe, materialise, pack, scratch, small_batches, text_or_empty, tidied, unboxed, unpack
 
 WIDTH, PERCENT = 5, 80
 #: A shingle that more classes have than this is frequent; at most so many shingles count as frequent.
 FREQUENT, FREQUENT_HELD = 32, 1 << 18
-#: A list of more groups than this is long.
-LONG = 32
+#: A list of more groups than this is long; one of more members than that is worked on in blocks of so many.
+LONG, BLOCK = 32, 1024
+#: Lists of several blocks that are looked up by broadcast, at most; beyond, Spark joins and splits what is skewed.
+BROADCAST_LISTS = 200_000
 #: Bits of the filter that says of which classes the sets are wanted, at least and at most.
 FILTER_BITS = (16, 27)
 #: Prefix entries that one partition is planned to hold, and that a task holds before it sends them on.
 PART_ENTRIES, HELD_ENTRIES = 2_000_000, 1_000_000
+#: Buckets that a task sends to at once, in bits; entries of more buckets are dealt out by these first, then by all.
+COARSE_BITS = 12
 #: Rounds in which members meet pivots only, and random pivots of a list beside its best linked member.
 ROUNDS, PIVOTS = 3, 2
 
@@ -98,22 +104,68 @@ def _dealt(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    now, held = None, []
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    now, held = 0, []
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if bucket != now and held:
-                yield held
+                yield now, held
                 held = []
             now = bucket
             held.append(blob.as_py())
     if held:
-        yield held
+        yield now, held
+
+
+def _runs(home: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of a sorted array with its place; values that don't occur cost nothing."""
+    cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])) if len(home) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(home[a]), slice(a, b)
+
+
+def _batch(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], ["bucket", "blob"])
+
+
+def _dealt_again(rows: DataFrame, parts: int, bits: int, split: Callable[[list[np.ndarray], int], list[tuple[int, bytes]]]) -> DataFrame:
+    """Blobs by bucket, one bucket after the other. Those of coarse buckets are split into all 1 << bits on their way.
+
+    split: the columns of some blobs, and the number of bits, to blobs by bucket.
+    """
+    if bits <= COARSE_BITS:
+        return _dealt(rows, parts)
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        whole = lambda: _batch(split([np.concatenate(c) for c in zip(*held, strict=True)], bits))
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and (bucket != now or size >= HELD_ENTRIES):
+                    yield whole()
+                    held, size = [], 0
+                now = bucket
+                held.append(unpack(blob.as_py()))
+                size += len(held[-1][0])
+        if held:
+            yield whole()
+
+    return _dealt(_dealt(rows, parts).mapInArrow(tidied(refine), "bucket int, blob binary"), parts)
+
+
+def _split_values(columns: list[np.ndarray], bits: int, buckets: int | None = None) -> list[tuple[int, bytes]]:
+    """Hashes to blobs by their first bits, or fewer (buckets). A blob of all bits holds the 32 bits that follow them: so the
+    more buckets there are, the more bits tell hashes apart. One of fewer buckets holds whole hashes, to be split again."""
+    buckets, values = buckets or bits, np.sort(columns[0])
+    own = values if buckets < bits else (values >> np.uint64(32 - bits)).astype(np.uint32)
+    return [(k, pack(own[at])) for k, at in _runs((values >> np.uint64(64 - buckets)).astype(np.int64))]
 
 
 def describe(docs: DataFrame, parts: int, bits: int) -> tuple[DataFrame, np.ndarray]:
-    """Written table of a row for each document: doc_id, _text_hash, n_shingles, cls (null without shingles); and the
-    upper 32 bits of shingles that more than FREQUENT classes have, sorted."""
+    """Written table, of which the rows with a null bucket are one for each document: doc_id, _text_hash, n_shingles, cls (null
+    without shingles); and the upper 32 + bits bits of shingles that more than FREQUENT classes have, sorted."""
+
+    coarse = min(bits, COARSE_BITS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, held, size = _Hashes(), set(), [], 0
@@ -121,9 +173,7 @@ def describe(docs: DataFrame, parts: int, bits: int) -> tuple[DataFrame, np.ndar
         names = ["doc_id", "_text_hash", "n_shingles", "cls", "bucket", "blob"]
 
         def flush() -> pa.RecordBatch:
-            high = np.sort((np.concatenate(held) >> np.uint64(32)).astype(np.uint32))
-            cuts = np.searchsorted(high, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.uint32))
-            blobs = [(k, x.tobytes()) for k, x in enumerate(np.split(high, cuts)) if len(x)]
+            blobs = _split_values([np.concatenate(held)], bits, coarse)
             none = [None] * len(blobs)
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([none, none, none, none, [k for k, _ in blobs], [b for _, b in blobs]], types, strict=True)], names)
 
@@ -145,23 +195,41 @@ def describe(docs: DataFrame, parts: int, bits: int) -> tuple[DataFrame, np.ndar
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _by_bucket(batches):
-            value, times = np.unique(np.frombuffer(b"".join(blobs), np.uint32), return_counts=True)
+        for bucket, blobs in _by_bucket(batches):
+            value, times = np.unique(np.concatenate([unpack(b)[0] for b in blobs]), return_counts=True)
             many = times > FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(value[many].astype(np.int64)), pa.array(times[many].astype(np.int64))], ["value", "times"])
+            upper = value[many].astype(np.int64) | (bucket << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(upper), pa.array(times[many].astype(np.int64))], ["value", "times"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_hash"), text_or_empty().alias("_text"))
     both = materialise(rows.mapInArrow(tidied(send), "doc_id long, _text_hash long, n_shingles long, cls long, bucket int, blob binary"), "described")
     sent = both.filter("bucket IS NOT NULL").select("bucket", "blob")
-    found = _dealt(sent, parts).mapInArrow(tidied(count), "value long, times long")
+    found = _dealt_again(sent, parts, bits, _split_values).mapInArrow(tidied(count), "value long, times long")
     top = found.orderBy(F.desc("times"), "value").limit(FREQUENT_HELD).toArrow()
-    return both.filter("bucket IS NULL").drop("bucket", "blob"), np.sort(top.column("value").to_numpy().astype(np.uint64))
+    return both, np.sort(top.column("value").to_numpy().astype(np.uint64))
+
+
+def _split_entries(columns: list[np.ndarray], bits: int) -> list[tuple[int, bytes]]:
+    """Prefix entries (entry, place in the prefix, group, size) and members (group, class, size) to blobs by bucket."""
+    entry, pos, grp, n, m_grp, m_cls, m_n = columns
+    order = np.argsort(entry, kind="stable")
+    entry, pos, grp, n = entry[order], pos[order], grp[order], n[order]
+    home = m_grp >> np.uint64(64 - bits)
+    by_home = np.argsort(home, kind="stable")
+    empty = slice(0, 0)
+    here = dict(_runs((entry >> np.uint64(64 - bits)).astype(np.int64)))
+    mine = dict(_runs(home[by_home].astype(np.int64)))
+    out = []
+    for k in sorted(here.keys() | mine.keys()):
+        at, own = here.get(k, empty), by_home[mine.get(k, empty)]
+        out.append((k, pack(entry[at], pos[at], grp[at], n[at], m_grp[own], m_cls[own], m_n[own])))
+    return out
 
 
 def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -> DataFrame:
     """Written table. kind 0: group grp has the long list at position pos of its prefix. kind 1: class cls is a
     member of group grp of size n. kind 2: groups grp and cls of fitting size share n short lists; pos is 1 if they pass the position filter in one."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent, coarse = docs.sparkSession.sparkContext.broadcast(frequent), min(bits, COARSE_BITS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, often, seen, known = _Hashes(), sent.value, set(), set()
@@ -170,24 +238,10 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
         def flush() -> pa.RecordBatch:
             lens = np.array([len(p) for p in prefixes], np.int64)
             entry = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
-            of = np.repeat(np.arange(len(lens), dtype=np.uint32), lens)
             pos = (np.arange(len(entry)) - np.repeat(np.cumsum(lens) - lens, lens) + 1).astype(np.uint32)
-            grp, n = (np.array([g[k] for g in groups], d) for k, d in ((0, np.int64), (1, np.uint32)))
+            grp, n = (np.repeat(np.array([g[k] for g in groups], d), lens) for k, d in ((0, np.int64), (1, np.uint32)))
             m_grp, m_cls, m_n = (np.array([m[k] for m in members], d) for k, d in ((0, np.int64), (1, np.int64), (2, np.uint32)))
-            order = np.argsort(entry, kind="stable")
-            entry, of, pos = entry[order], of[order], pos[order]
-            edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-            cuts = np.concatenate([[0], np.searchsorted(entry, edges), [len(entry)]])
-            home = (m_grp.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            by_home = np.argsort(home, kind="stable")
-            m_cuts = np.searchsorted(home[by_home], np.arange((1 << bits) + 1))
-            out = []
-            for k in range(1 << bits):
-                here, mine = slice(cuts[k], cuts[k + 1]), by_home[m_cuts[k] : m_cuts[k + 1]]
-                if cuts[k] < cuts[k + 1] or len(mine):
-                    used, at = np.unique(of[here], return_inverse=True)
-                    out.append((k, pack(entry[here], at.astype(np.uint32), pos[here], grp[used].view(np.uint64), n[used], m_grp[mine].view(np.uint64), m_cls[mine].view(np.uint64), m_n[mine])))
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["bucket", "blob"])
+            return _batch(_split_entries([entry, pos, grp.view(np.uint64), n, m_grp.view(np.uint64), m_cls.view(np.uint64), m_n], coarse))
 
         for batch in batches:
             for found in shingle_sets(batch.column(0), hashes):
@@ -196,9 +250,10 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
                     continue
                 seen.add(key)
                 if len(often):
-                    place = np.searchsorted(often, found >> np.uint64(32))
+                    upper = found >> np.uint64(32 - bits)
+                    place = np.searchsorted(often, upper)
                     place[place == len(often)] = 0
-                    late = often[place] == found >> np.uint64(32)
+                    late = often[place] == upper
                     found = np.concatenate([found[~late], found[late]])
                 prefix = found[: prefix_length(n)]
                 group = _key(prefix.tobytes() + n.to_bytes(8, "little"))
@@ -216,12 +271,10 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "list", "grp", "cls", "n", "pos"]
-        for blobs in _by_bucket(batches):
+        for _, blobs in _by_bucket(batches):
             parts = [unpack(b) for b in blobs]
-            entry = np.concatenate([p[0] for p in parts])
-            grp = np.concatenate([p[3][p[1]] for p in parts])
-            n = np.concatenate([p[4][p[1]] for p in parts]).astype(np.int64)
-            pos = np.concatenate([p[2] for p in parts])
+            entry, pos, grp, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            n = n.astype(np.int64)
             order = np.lexsort((grp, n, entry))
             entry, grp, n, pos = entry[order], grp[order], n[order], pos[order]
             new = np.ones(len(entry), bool)
@@ -232,7 +285,7 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
             many = np.repeat(held > LONG, held)
             both = _short_pairs(*(x[~many] for x in (entry, grp, n, pos)))
             entry, grp, n, pos = (x[many] for x in (entry, grp, n, pos))
-            m = [np.concatenate([p[k] for p in parts]) for k in (5, 6, 7)]
+            m = [np.concatenate([p[k] for p in parts]) for k in (4, 5, 6)]
             one = np.unique(np.stack([m[0], m[1], m[2].astype(np.uint64)]), axis=1) if len(m[0]) else np.empty((3, 0), np.uint64)
             a, b, c = len(entry), one.shape[1], both.shape[1]
             signed = lambda *x: pa.array(np.concatenate([y.astype(np.uint64).view(np.int64) for y in x]))
@@ -242,7 +295,7 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -
                 yield pa.RecordBatch.from_arrays([signed(*kinds), signed(entry, *zero[1:]), signed(grp, one[0], both[0]), signed(zero[0], one[1], both[1]), signed(n, one[2], both[2]), signed(pos, zero[1], both[3])], names).slice(at, 100_000)
 
     rows = docs.select(text_or_empty().alias("_text")).mapInArrow(tidied(send), "bucket int, blob binary")
-    return materialise(_dealt(rows, parts).mapInArrow(tidied(meet), "kind long, list long, grp long, cls long, n long, pos long"), "lists")
+    return materialise(_dealt_again(rows, parts, bits, _split_entries).mapInArrow(tidied(meet), "kind long, list long, grp long, cls long, n long, pos long"), "lists")
 
 
 def _short_pairs(entry: np.ndarray, grp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -271,8 +324,8 @@ def _short_pairs(entry: np.ndarray, grp: np.ndarray, n: np.ndarray, pos: np.ndar
 
 
 def candidate_groups(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written tables: pairs (a, b) of classes whose groups have no other members, and lists (list, cls, n, pos,
-    long: in how many) of classes: the long ones, the groups of several members, and pairs of groups one of which is such."""
+    """Pairs (a, b) of classes whose groups have no other members, and lists (list, cls, n, pos, long: in how many, blocks)
+    of classes: the long ones, the groups of several members, and pairs of groups one of which is such."""
     members = lists.filter("kind = 1").select("grp", "cls", "n").distinct()
     groups = members.groupBy("grp").agg(F.count("*").alias("held"), F.min("cls").alias("cls"), F.min("n").alias("n"))
     entries = lists.filter("kind = 0").select("list", "grp", "pos")
@@ -290,8 +343,16 @@ def candidate_groups(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     wide = pairs.filter(~alone).select(F.xxhash64("g", "h").alias("list"), F.explode(F.array("g", "h")).alias("grp"), F.lit(1).cast("long").alias("pos"))
     own = groups.filter("held > 1").select(F.col("grp").alias("list"), "grp", F.lit(1).cast("long").alias("pos"))
     # pairs that share a short list are among the pairs; the rest share long lists only, of which a set has so many
-    lists = entries.join(long_of, "grp").unionByName(wide.unionByName(own).withColumn("long", F.lit(1 << 40)))
-    return single, materialise(lists.join(members, "grp").select("list", "cls", "n", "pos", "long").distinct(), "classes")
+    every = entries.join(long_of, "grp").unionByName(wide.unionByName(own).withColumn("long", F.lit(1 << 40)))
+    return single, in_blocks(materialise(every.join(members, "grp").select("list", "cls", "n", "pos", "long").distinct(), "classes"))
+
+
+def in_blocks(lists: DataFrame) -> DataFrame:
+    """lists with blocks, in how many blocks each is worked on, and block, the row's own."""
+    large = materialise(lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1"), "large_lists")
+    large = F.broadcast(large) if large.count() <= BROADCAST_LISTS else large
+    rows = lists.join(large, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    return rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
 
 
 def may_link(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
@@ -302,8 +363,8 @@ def may_link(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
     return (100 * low >= PERCENT * high) & (1 + F.least(x("n") - x("pos"), y("n") - y("pos")) >= need) & (F.least(x("long"), y("long")) + behind >= need)
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, parts: int) -> str:
-    """Name of a written table cls, shingles (binary, sorted 64-bit hashes), bucketed by cls so that joins on it
+def whole_sets(docs: DataFrame, wanted: DataFrame, parts: int) -> tuple[str, str]:
+    """Name and path of a written table cls, shingles (binary, sorted 64-bit hashes), bucketed by cls so that joins on it
     move its partner only. It has the classes in wanted, and the few that a filter of bounded size mistakes for one."""
     n = wanted.count()
     bits = min(max((16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
@@ -326,8 +387,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, parts: int) -> str:
 
     name = f"matchlake_sets_{uuid.uuid4().hex}"
     rows = docs.select(text_or_empty().alias("_text")).mapInArrow(tidied(sets), "cls long, shingles binary")
-    rows.repartition(parts, "cls").dropDuplicates(["cls"]).write.bucketBy(parts, "cls").saveAsTable(name)
-    return name
+    path = fresh_path(docs.sparkSession, "sets")
+    rows.repartition(parts, "cls").dropDuplicates(["cls"]).write.bucketBy(parts, "cls").option("path", path).saveAsTable(name)
+    return name, path
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -361,8 +423,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialise(large, "large")
         # small star: neighbours below a node, and the node itself, go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        before, small = now, large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = materialise(small, "small")
+        drop_table(large)
+        drop_table(before)
         # a fixed point leaves every node one edge, to its root
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
@@ -381,34 +445,44 @@ def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
 
 def _apart(held: DataFrame, *more: Column) -> DataFrame:
     """The lists whose members are not all in one component."""
-    return held.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *more).filter("low <> high")
+    return held.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("blocks").alias("blocks"), *more).filter("low <> high")
+
+
+def _every_block(lists: DataFrame) -> DataFrame:
+    return lists.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 
 
 def _with_pivots(held: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each list's pivots with its members in other components."""
+    """Pairs (a, b) of each list's pivots with its members in other components. Pivots go to all blocks of their list."""
     member = F.struct("cls", "n", "pos", "long", "comp")
     best = F.max(F.struct("degree", "long", member.alias("m"))).alias("best")
     # members with much in common with others are likely to link with many
     more = [F.max(F.struct("long", F.xxhash64("cls", F.lit(turn), F.lit(k)).alias("h"), member.alias("m"))).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = _apart(held, best, *more).select("list", F.explode(F.array("best.m", *(f"p{k}.m" for k in range(PIVOTS)))).alias("p")).distinct()
-    meets = held.join(pivots, (held["list"] == pivots["list"]) & (F.col("comp") != F.col("p.comp")) & may_link(F.col, lambda c: F.col(f"p.{c}")))
+    pivots = _apart(held, best, *more).select("list", "blocks", F.explode(F.array("best.m", *(f"p{k}.m" for k in range(PIVOTS)))).alias("p")).distinct()
+    meets = held.join(_every_block(pivots), ["list", "block"]).filter((F.col("comp") != F.col("p.comp")) & may_link(F.col, lambda c: F.col(f"p.{c}")))
     return meets.select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
 
 
 def _all_apart(held: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each list's members in different components."""
-    rest = held.join(_apart(held).select("list"), "list")
-    x, y = (rest.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "long", "comp"))) for s in "xy")
-    meets = x.join(y, (x["list"] == y["list"]) & (F.col("cls_x") < F.col("cls_y")) & (F.col("comp_x") != F.col("comp_y")) & may_link(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y")))
+    """Pairs (a, b) of each list's members in different components, by pairs of blocks."""
+    rest = held.join(_every_block(_apart(held).select("list", "blocks")), ["list", "block"])
+    side = lambda s: rest.select("list", F.col("block").alias(f"block_{s}"), "blocks", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "long", "comp")))
+    # a block meets itself and those after it
+    x = side("x").withColumn("block_y", F.explode(F.sequence("block_x", F.col("blocks") - 1))).drop("blocks")
+    y = side("y").withColumn("block_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block_y")))).drop("blocks")
+    fits = (F.col("comp_x") != F.col("comp_y")) & ((F.col("block_x") != F.col("block_y")) | (F.col("cls_x") < F.col("cls_y")))
+    meets = x.join(y, ["list", "block_x", "block_y"]).filter(fits & may_link(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y")))
     return meets.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
 
 
 def linked_classes(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int) -> DataFrame:
     """cls, comp for the classes that meet any other in a list."""
     spark: SparkSession = docs.sparkSession
-    pairs, lists = candidate_groups(prefix_lists(docs, frequent, parts, bits))
+    prefixes = prefix_lists(docs, frequent, parts, bits)
+    pairs, lists = candidate_groups(prefixes)
+    drop_table(prefixes)
     nodes = materialise(lists.select("cls").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("cls"))).distinct(), "nodes")
-    name = whole_sets(docs, nodes, parts)
+    name, path = whole_sets(docs, nodes, parts)
     sets = spark.table(name)
     try:
         state = materialise(nodes.select("cls", F.col("cls").alias("comp"), F.lit(0).cast("long").alias("degree")), "state")
@@ -431,6 +505,7 @@ def linked_classes(docs: DataFrame, frequent: np.ndarray, parts: int, bits: int)
             turn += 1
     finally:
         spark.sql(f"DROP TABLE {name}")
+        drop_path(spark, path)
     return state.select("cls", "comp")
 
 
@@ -442,23 +517,27 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // 30 // PART_ENTRIES + 1)
     bits = min(24, max(8, (2 * parts - 1).bit_length()))
-    described, frequent = describe(docs, parts, bits)
-    classes = described.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_text_hash").alias("hash"))).alias("first"), F.count("*").alias("held"))
-    state = linked_classes(docs, frequent, parts, bits)
-    joined = classes.join(state, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    tops = joined.groupBy("comp").agg(F.min("low").alias("component_id"), F.min("first").alias("keeper"))
-    known = materialise(joined.join(tops, "comp").select("cls", "held", "component_id", "keeper"), "known")
+    with scratch() as keep:
+        table, frequent = describe(docs, parts, bits)
+        described = keep(table).filter("bucket IS NULL").drop("bucket", "blob")
+        classes = described.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_text_hash").alias("hash"))).alias("first"), F.count("*").alias("held"))
+        state = linked_classes(docs, frequent, parts, bits)
+        joined = classes.join(state, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        tops = joined.groupBy("comp").agg(F.min("low").alias("component_id"), F.min("first").alias("keeper"))
+        known = keep(materialise(joined.join(tops, "comp").select("cls", "held", "component_id", "keeper"), "known"))
     out = lookup_hot_safe(described, known, "cls", "held", described.count())
     return out.select("doc_id", "_text_hash", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "keeper")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component; rows without words all stay."""
+    """docs with one row of each component, the one with the smallest id; rows without words all stay. Of rows with the
+    same id and text but other values elsewhere that with the smallest hash of all its columns stays."""
     found = materialise(ngram_components(docs), "components")
     # one key for id and text, null id included: the join and the removal of repeats share its partitioning
     at = lambda own, text: F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("null")), text.cast("string"))
     keys = found.filter(F.col("keeper").isNotNull()).select(at(F.col("keeper.id"), F.col("keeper.hash")).alias("_at")).distinct()
     # texts without words are told by a look at them, so that only the others are shuffled
     rows = boxed(docs, _at=at(F.col("doc_id").cast("long"), F.xxhash64("text")), _words=text_or_empty().rlike(r"[^\x20\x09-\x0D]"))
-    one = rows.filter("_words").join(keys, "_at", "left_semi").dropDuplicates(["_at"])
-    return unboxed(one.unionByName(rows.filter("NOT _words")))
+    fields = [F.col("_row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = rows.filter("_words").join(keys, "_at", "left_semi").groupBy("_at").agg(F.min_by("_row", F.xxhash64(*fields)).alias("_row"))
+    return unboxed(one.select("_row").unionByName(rows.filter("NOT _words").select("_row")))

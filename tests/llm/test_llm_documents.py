@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from matchlake.llm import bpe, decontam, ngram_join, ordinal, quality, rules, toxicity
-from tests.llm.fixtures import docs, odd_texts, words
+from tests.llm.fixtures import DOCS, docs, odd_texts, words
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -161,6 +161,37 @@ def test_ngram_join_loses_no_link(spark, monkeypatch):
     assert len(ids) == len(want) + blank
 
 
+def test_ngram_join_in_blocks_and_fine_buckets(spark, monkeypatch):
+    """Long lists in several blocks that meet in pairs, and entries dealt out twice, lose no link either."""
+    monkeypatch.setattr(ngram_join, "LONG", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 4)
+    monkeypatch.setattr(ngram_join, "COARSE_BITS", 3)
+    monkeypatch.setattr(ngram_join, "HELD_ENTRIES", 300)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    texts = odd_texts()
+    for g in range(5):
+        texts += [(1000 * g + k + 20, t) for k, t in enumerate(near_texts(g, 30 if g < 2 else 6, 4, 90))]
+    passage = " ".join(words(60, 77))
+    # mostly one passage: the same list, and yet not similar
+    texts += [(50_000 + k, f"{' '.join(words(9 + k % 9, 500 + k))} {passage} {' '.join(words(6, 900 + k % 7))}") for k in range(40)]
+    texts += [(60_000 + k, " ".join(words(3, k % 2))) for k in range(4)]
+    random.Random(1).shuffle(texts)
+    df = docs(spark, texts).repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect())
+    assert got == brute_components(texts)
+    twice = ngram_join.describe(df, 4, 8)[1]
+    monkeypatch.setattr(ngram_join, "COARSE_BITS", 12)
+    assert len(twice) > 20 and (twice == ngram_join.describe(df, 4, 8)[1]).all()
+
+
+def test_keep_one_of_rows_that_differ_elsewhere(spark):
+    text = " ".join(words(30, 1))
+    rows = [(1, text, "en", f"s{k}", 5) for k in range(20)] + [(2, text, "en", "t", 5)]
+    kept = {tuple(ngram_join.keep_one(spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), DOCS).repartition(3)).collect()) for seed in range(3)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
 def test_ngram_join_of_nothing(spark):
     df = docs(spark, [(1, None), (2, "")])
     assert ngram_join.ngram_components(df).count() == 2 and ngram_join.ngram_components(df.limit(0)).count() == 0
