@@ -219,3 +219,14 @@ def padded(tokens: DataFrame, length: int, pad: int = PAD) -> DataFrame:
     rows = tokens.filter(F.col("pos") < length).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind_id"))).alias("t"))
     kinds = F.transform("t", lambda t: t["kind_id"])
     return rows.select("match_id", F.concat(kinds, F.array_repeat(F.lit(pad), F.lit(length) - F.size("t"))).alias("kinds"), F.size("t").alias("n"))
+
+
+def flat_batch(tokens: DataFrame) -> DataFrame:
+    """The kinds of each match without padding, and where they begin in the batch that all matches make, in order of their ids.
+
+    A batch is what one training step holds; begins and n are its row index.
+    """
+    rows = tokens.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind_id"))).alias("t"))
+    rows = rows.select("match_id", F.size("t").cast("long").alias("n"), F.transform("t", lambda t: t["kind_id"]).alias("kinds"))
+    before = F.sum("n").over(Window.orderBy("match_id").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("begins", F.coalesce(before, F.lit(0)))

@@ -56,3 +56,29 @@ def merge_report(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """What a merge would do, without doing it (K6): rows, rows with new keys, rows with known keys."""
     marked = new.join(old.select(*keys).distinct().withColumn("_known", F.lit(1)), keys, "left")
     return marked.agg(F.count("*").alias("n_rows"), F.count_if(F.col("_known").isNull()).alias("n_new"), F.count_if(F.col("_known").isNotNull()).alias("n_known"))
+
+
+def update_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with new's values in the rows that new has, unless they are null; new's other keys add no row (K5)."""
+    n = new.select(key, *(F.col(c).alias(f"_new_{c}") for c in new.columns if c != key))
+    cells = [F.coalesce(f"_new_{c}", c).alias(c) if c in new.columns and c != key else F.col(c) for c in old.columns]
+    return old.join(n, key, "left").select(*cells)
+
+
+#: How two databases merge, by table (K6): the key of ignored repeats, or the rules of an upsert. Events have no key.
+MERGE_KEYS = {"games": ["match_id"], "frames": ["match_id", "participant_slot", "timestamp_ms"], "raw_matches": ["match_id"]}
+PLAYER_RULE = {"riot_id": "keep", "rank_tier": "keep", "rank_division": "keep", "lp": "keep", "last_updated": "greatest"}
+
+
+def merge_databases(main: dict[str, DataFrame], other: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The five tables of two databases as one (K6). Games, frames and raw documents that main has stay as they are;
+    players take what is new and not null; events are appended, so merging twice doubles them, as it does in the original."""
+    out = {}
+    for name, table in main.items():
+        if name in MERGE_KEYS:
+            out[name] = insert_or_ignore(table, other[name].withColumn("_seq", F.lit(0)), MERGE_KEYS[name], "_seq")
+        elif name == "players":
+            out[name] = upsert(table, other[name], ["puuid"], PLAYER_RULE)
+        else:
+            out[name] = append(table, other[name])
+    return out

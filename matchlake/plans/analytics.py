@@ -101,14 +101,17 @@ def c22_retrieval_gate(x: Tables) -> DataFrame:
     return cohort.retrieval_gate(cohort.mean_entropy(rates)).withColumn("mean_entropy", F.round("mean_entropy", 8))
 
 
-@query(f"""WITH p0 AS ({_PAIRS}), p AS (SELECT *, ql % 5 - 1 AS qb, cl % 5 - 1 AS cb, ql = cl AS own FROM p0),
+_BANDED = f"""p0 AS ({_PAIRS}), p AS (SELECT *, ql % 5 - 1 AS qb, cl % 5 - 1 AS cb, ql = cl AS own FROM p0),
 x AS (SELECT *, CASE WHEN qb >= 0 AND cb >= 0 THEN abs(qb - cb) ELSE 0 END AS diff, qb >= 0 AND cb >= 0 AS both_ranked FROM p
  UNION ALL SELECT vec_id, vec_id, label, label, 0.0, label % 5 - 1, label % 5 - 1, true, 0, label % 5 - 1 >= 0 FROM embeddings WHERE vec_id % 50 = 0),
 n AS (SELECT query_id, any_value(qb) AS qb, count(*) FILTER (diff = 0) AS same, count(*) FILTER (NOT own AND diff = 0) AS k0, count(*) FILTER (NOT own AND diff <= 1) AS k1, count(*) FILTER (NOT own) AS k2 FROM x GROUP BY query_id),
 s AS (SELECT *, CASE WHEN qb < 0 THEN 0 WHEN least(k0, 40) >= 32 THEN 0 WHEN least(k1, 40) >= 32 THEN 1 ELSE 2 END AS st FROM n),
 g AS (SELECT *, CASE WHEN (CASE st WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END) < 40 THEN 3 ELSE st END AS stage FROM s),
 c AS (SELECT x.*, stage, g.same, CASE WHEN stage = 2 AND both_ranked THEN d * 1.25 ** diff ELSE d END AS dist FROM x JOIN g USING (query_id) WHERE stage = 3 OR (NOT own AND (stage = 2 OR (stage = 1 AND diff <= 1) OR (stage = 0 AND diff = 0)))),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id) AS rank FROM c)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id) AS rank FROM c)"""
+
+
+@query(f"""WITH {_BANDED}
 SELECT query_id, row_id, rank::INT AS rank, round(dist, 6) AS distance, stage::INT AS stage, least(same, 40) AS effective_k, CASE WHEN qb >= 0 THEN both_ranked AND diff = 0 END AS in_band FROM r WHERE rank <= 40""")
 def t5_banded_nearest(x: Tables) -> DataFrame:
     corpus = x.embeddings.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("key"), (F.col("label") % 5 - 1).alias("band"), F.col("label").alias("grp"))
@@ -116,6 +119,79 @@ def t5_banded_nearest(x: Tables) -> DataFrame:
     return knn.nearest_in_bands(asks, corpus, 40).withColumn("distance", F.round("distance", 6))
 
 
+_BITS = "CASE WHEN {p} <= 0 OR {p} >= 1 THEN 0 ELSE -({p} * log2({p}) + (1 - {p}) * log2(1 - {p})) END"
+_PART = "sqrt(list_sum(list_transform(range({a}, {b}), lambda i: (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE))))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT 'model' AS source, q.vec_id AS query_id, c.vec_id AS row_id, c.label AS cl, {_PART.format(a=1, b=65)} AS d FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+ UNION ALL SELECT 'static', q.vec_id, c.vec_id, c.label, {_PART.format(a=1, b=9)} FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+ UNION ALL SELECT 'frame', q.vec_id, c.vec_id, c.label, {_PART.format(a=33, b=65)} FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+pl AS (SELECT vec_id, label, row_number() OVER (ORDER BY sha1('0:' || vec_id), vec_id) - 1 AS place, count(*) OVER () - 1 AS n FROM embeddings),
+rd AS (SELECT vec_id AS query_id, place AS own, n, n - 64 AS j, []::BIGINT[] AS taken FROM pl WHERE vec_id % 50 = 0
+ UNION ALL SELECT query_id, own, n, j + 1, list_append(taken, CASE WHEN list_contains(taken, t) THEN j ELSE t END) FROM (SELECT *, ('0x' || right(sha1('0:' || query_id || ':' || j), 15))::BIGINT % (j + 1) AS t FROM rd WHERE j < n)),
+rr AS (SELECT query_id, own, unnest(taken) AS at_place, generate_subscripts(taken, 1) AS rank FROM rd WHERE j = n),
+h AS (SELECT source, query_id, cl, row_number() OVER (PARTITION BY source, query_id ORDER BY d, row_id) AS rank FROM d UNION ALL SELECT 'random', query_id, pl.label, rank FROM rr JOIN pl ON pl.place = at_place + (at_place >= own)::INT),
+e AS (SELECT source, k, query_id, avg((cl < 5)::INT) AS p FROM h, (VALUES (16), (32), (64)) v(k) WHERE rank <= k GROUP BY ALL)
+SELECT source, k, round(avg({_BITS.format(p="p")}), 8) AS mean_entropy, count(*) AS n_queries, CASE WHEN k = 64 THEN avg({_BITS.format(p="p")}) >= 0.7 END AS passes FROM e GROUP BY source, k""")
+def c22_retrieval_report(x: Tables) -> DataFrame:
+    """Three sources of vectors and random rows, by k: the model's whole vector, and two parts of it in place of the baselines'."""
+    rows = x.embeddings.select(F.col("vec_id").alias("row_id"), "embedding", F.slice("embedding", 1, 8).alias("short"), F.slice("embedding", 33, 32).alias("long"), (F.col("label") < 5).cast("int").alias("win"), F.col("vec_id").alias("own"))
+    asks = rows.filter("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")  # a search takes these ids as its queries
+    out = cohort.retrieval_report(asks, rows, {"model": "embedding", "static": "short", "frame": "long"}, "query_id", "row_id", "win", "own", (16, 32, 64))
+    return out.withColumn("mean_entropy", F.round("mean_entropy", 8))
+
+
+@query(f"""WITH {_TOP}, h AS (SELECT * FROM t WHERE rank <= 16), c AS (SELECT ql, cl, count(*) AS n FROM h GROUP BY ALL), o AS (SELECT sum(n) FILTER (ql = cl) / sum(n) AS diagonal FROM c), m AS (SELECT ql AS minute, coalesce(sum(n) FILTER (ql = cl), 0) / sum(n) AS same_share FROM c GROUP BY ALL),
+q AS (SELECT query_id, ql AS minute, count(*) FILTER (ql = cl) AS ns, avg((row_id % 2)::INT) FILTER (ql = cl) AS ps, count(*) FILTER (ql <> cl) AS nc, avg((row_id % 2)::INT) FILTER (ql <> cl) AS pc FROM h GROUP BY ALL),
+e AS (SELECT minute, round(avg(CASE WHEN ns >= 4 THEN {_BITS.format(p="ps")} END), 8) AS same_entropy, round(avg(CASE WHEN nc >= 4 THEN {_BITS.format(p="pc")} END), 8) AS cross_entropy FROM q GROUP BY ALL)
+SELECT minute, round(same_share, 8) AS same_share, same_entropy, cross_entropy, round(diagonal, 8) AS diagonal, CASE WHEN diagonal > 0.5 THEN 'diagonal-dominant' WHEN diagonal < 0.25 THEN 'broadly mixed' ELSE 'mid-range' END AS verdict FROM m JOIN e USING (minute), o""")
+def c24_minute_diagnostic(x: Tables) -> DataFrame:
+    hits, asks, corpus = _neighbours(x, 16)
+    rows = corpus.select("row_id", F.col("label").alias("minute"), (F.col("row_id") % 2).cast("int").alias("odd"))
+    out = cohort.minute_diagnostic(hits, rows, asks.withColumnRenamed("label", "minute"), "query_id", "row_id", "odd")
+    return out.withColumns({n: F.round(n, 8) for n in ("same_share", "same_entropy", "cross_entropy", "diagonal")})
+
+
+@query(f"""WITH {_TOP}, r AS (SELECT query_id, ql AS minute, avg((cl < 5)::INT) AS p FROM t WHERE rank <= 16 GROUP BY ALL) SELECT minute, round(avg({_BITS.format(p="p")}), 8) AS mean_entropy, count(p) AS n FROM (SELECT range AS minute FROM range(0, 12)) LEFT JOIN r USING (minute) GROUP BY ALL""")
+def c24_entropy_by_minute(x: Tables) -> DataFrame:
+    hits, asks, corpus = _neighbours(x, 16)
+    rates = cohort.cohort_rates(hits, corpus.withColumn("win", (F.col("label") < 5).cast("int")), "query_id", "row_id", "win", (16,))
+    domain = x.spark.range(12).select(F.col("id").alias("minute"))
+    out = cohort.entropy_by_minute(rates, asks.select("query_id", F.col("label").alias("minute")), domain, "query_id")
+    return out.select("minute", F.round("mean_entropy", 8).alias("mean_entropy"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_AREA = """(SELECT (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM {rates}))"""
+
+
+@query(f"""WITH {_BANDED}, bp AS (SELECT q.vec_id AS query_id, c.vec_id AS row_id, q.label AS ql, c.label AS cl, {_PART.format(a=1, b=65)} AS d FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.label <> c.label),
+bt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, row_id) AS rank FROM bp),
+ra AS (SELECT query_id, (any_value(ql) % 2 = 0)::INT AS y, avg((row_id % 3 = 0)::INT) AS p, any_value(least(same, 40)) AS ek FROM r WHERE rank <= 40 GROUP BY ALL), rb AS (SELECT query_id, (any_value(ql) % 2 = 0)::INT AS y, avg((row_id % 3 = 0)::INT) AS p, count(*) AS ek FROM bt WHERE rank <= 40 GROUP BY ALL),
+f AS (SELECT (SELECT quantile_disc(ek, 0.5) FROM ra) AS aware_effective_k, {_AREA.format(rates="ra")} AS aware_auc, (SELECT avg({_BITS.format(p="p")}) FROM ra) AS aware_entropy, (SELECT quantile_disc(ek, 0.5) FROM rb) AS base_effective_k, {_AREA.format(rates="rb")} AS base_auc, (SELECT avg({_BITS.format(p="p")}) FROM rb) AS base_entropy)
+SELECT aware_effective_k, round(aware_auc, 8) AS aware_auc, round(aware_entropy, 8) AS aware_entropy, base_effective_k, round(base_auc, 8) AS base_auc, round(base_entropy, 8) AS base_entropy, aware_effective_k >= 32 AND aware_auc >= base_auc - 0.02 AND aware_entropy <= base_entropy + 0.03 AS passes FROM f""")
+def c23_skill_gate(x: Tables) -> DataFrame:
+    """Band-aware neighbours against plain ones: a row's label is whether its id divides by three, a query's whether its group is even."""
+    rows = x.embeddings.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("key"), (F.col("label") % 5 - 1).alias("band"), F.col("label").alias("grp"), (F.col("vec_id") % 3 == 0).cast("int").alias("win"))
+    asks = rows.filter("row_id % 50 = 0").withColumnRenamed("row_id", "query_id").withColumn("win", (F.col("grp") % 2 == 0).cast("int"))
+    aware, base = knn.nearest_in_bands(asks, rows, 40), knn.nearest(asks, rows, 40, exclude=("grp", "grp"))
+    known = aware.groupBy("query_id").agg(F.first("effective_k").alias("effective_k"))
+    figures = [cohort.skill_figures(h, rows, asks, "query_id", "row_id", "win", e) for h, e in ((aware, known), (base, None))]
+    out = cohort.skill_gate(*figures)
+    return out.withColumns({f"{s}_{n}": F.round(f"{s}_{n}", 8) for s in ("aware", "base") for n in ("auc", "entropy")})
+
+
+@query(f"""WITH {_TOP}, r AS (SELECT query_id, ql, avg((cl < 5)::INT) AS p, count(*) AS size FROM t WHERE rank <= 32 GROUP BY ALL), a AS (SELECT ql AS game, query_id AS pos, CASE WHEN ql % 2 = 0 THEN 100 ELSE 200 END AS side, (ql % 3 = 0)::INT AS won, {_BITS.format(p="p")} AS entropy, p, size FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY entropy DESC, pos) AS rn FROM a)
+SELECT game, pos, side, won, round(entropy, 8) AS entropy, round(CASE side WHEN 100 THEN p ELSE 1 - p END, 8) AS rate, size, CASE won WHEN 1 THEN 'strength' ELSE 'mistake' END AS kind, CASE WHEN entropy < 0.3 THEN 'strong' WHEN entropy < 0.7 THEN 'moderate' ELSE 'weak' END AS confidence,
+ floor(CASE side WHEN 100 THEN p ELSE 1 - p END * size + 0.5)::BIGINT || ' of ' || size || ' cohort games ended in a win' AS label FROM b WHERE rn = 1""")
+def c25_lessons(x: Tables) -> DataFrame:
+    hits, asks, corpus = _neighbours(x, 32)
+    rates = cohort.cohort_rates(hits, corpus.withColumn("win", (F.col("label") < 5).cast("int")), "query_id", "row_id", "win", (32,))
+    rows = rates.join(asks.select("query_id", F.col("label").alias("game")), "query_id")
+    anchors = rows.select("game", F.col("query_id").alias("pos"), F.when(F.col("game") % 2 == 0, 100).otherwise(200).alias("side"), (F.col("game") % 3 == 0).cast("int").alias("won"), "entropy", "rate", "size")
+    return cohort.lessons(anchors, "game").withColumn("entropy", F.round("entropy", 8)).withColumn("rate", F.round("rate", 8))
+
+
 @query(f"WITH {_TOP}, c AS (SELECT ql AS query_label, cl AS row_label, count(*) AS n FROM t WHERE rank <= 16 GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY query_label), 8) AS share FROM c")
 def a19_heatmap(x: Tables) -> DataFrame:
     hits, asks, corpus = _neighbours(x, 16)
@@ -345,6 +421,19 @@ def r5_stream_throughput(x: Tables) -> DataFrame:
     return _streamed(x, lambda e: throughput(e, "ts")).select(F.unix_micros("start").alias("start_us"), "n")
 
 
+@query("""WITH e AS (SELECT user_id, event_type, ts, event_id FROM events) SELECT p.event_id, v.event_id AS view_id FROM e p JOIN e v ON p.user_id = v.user_id AND p.event_type = 'purchase' AND v.event_type = 'view' AND v.ts <= p.ts - INTERVAL 15 MINUTES AND v.ts >= p.ts - INTERVAL 6 HOURS""")
+def r9_stream_lookback(x: Tables) -> DataFrame:
+    """Purchases with the views of their user that lie a quarter to six hours behind, joined as streams."""
+    from matchlake.streaming.workers import lookback
+
+    def plan(e: DataFrame) -> DataFrame:
+        views = e.filter("event_type = 'view'").select(F.col("user_id"), F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
+        joined = lookback(e.filter("event_type = 'purchase'").select("user_id", "ts", "event_id"), views, "user_id", "ts", "view_ts", "6 hours", "15 minutes", "7 hours")
+        return joined.select("event_id", "view_id")
+
+    return _streamed(x, plan)
+
+
 @query("SELECT event_id, user_id FROM events")
 def r2_stream_once_each(x: Tables) -> DataFrame:
     from matchlake.streaming.workers import once_each

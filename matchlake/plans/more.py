@@ -1,4 +1,4 @@
-"""Queries of counts, remaining scalar functions, and the team and player views bound to the tables."""
+"""Queries of counts, remaining scalar functions, blobs, and an incremental roll-up."""
 
 from __future__ import annotations
 
@@ -22,19 +22,6 @@ def a31_a32_gate_counts(x: Tables) -> DataFrame:
     return per.groupBy("o_orderpriority").agg(F.count_if(F.col("n") >= 3).alias("n_accepted"), F.count_if(F.col("n") < 3).alias("n_rejected"), F.round(F.avg((F.col("top") < 100000).cast("int")), 8).alias("fail_rate"), F.count_distinct(F.when(F.col("n") >= 3, F.col("o_custkey") % 10)).alias("n_bands"), F.sum("n").alias("total"))
 
 
-_TEAM = """t AS (SELECT ts::DATE AS day, CASE WHEN user_id % 2 = 0 THEN 100 ELSE 200 END AS team, sum(value) AS total, count(*) AS n FROM events GROUP BY ALL)"""
-
-
-@query(f"""WITH {_TEAM} SELECT epoch_us(a.day::TIMESTAMP) AS day_us, a.team, round(a.total - b.total, 4) AS lead, a.n - b.n AS n_lead FROM t a JOIN t b ON a.day = b.day AND a.team = 300 - b.team""")
-def c4_team_difference(x: Tables) -> DataFrame:
-    """Each side's state against the other's; days with one side only fall out."""
-    team = F.when(F.col("user_id") % 2 == 0, 100).otherwise(200)
-    state = x.events.groupBy(F.to_date("ts").alias("day"), team.alias("team")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
-    other = state.select("day", (300 - F.col("team")).alias("team"), F.col("total").alias("_total"), F.col("n").alias("_n"))
-    rows = state.join(other, ["day", "team"])
-    return rows.select(F.unix_micros(F.col("day").cast("timestamp")).alias("day_us"), "team", F.round(F.col("total") - F.col("_total"), 4).alias("lead"), (F.col("n") - F.col("_n")).alias("n_lead"))
-
-
 @query("""WITH m AS (SELECT s_suppkey, CASE s_nationkey % 5 WHEN 0 THEN 'NA1_' WHEN 1 THEN 'KR_' WHEN 2 THEN 'EUW1_' WHEN 3 THEN 'oc1_' ELSE 'XX_' END || s_suppkey AS id, s_name || CASE WHEN s_suppkey % 2 = 0 THEN '#T#' || s_nationkey ELSE '' END AS name FROM supplier)
 SELECT s_suppkey, CASE lower(string_split(id, '_')[1]) WHEN 'na1' THEN 'americas' WHEN 'kr' THEN 'asia' WHEN 'euw1' THEN 'europe' WHEN 'oc1' THEN 'sea' ELSE 'americas' END AS route,
  string_split(name, '#')[1] AS game_name, contains(name, '#') AS tagged, CASE WHEN contains(name, '#') THEN substr(name, instr(name, '#') + 1) END AS tag FROM m""")
@@ -82,37 +69,6 @@ def p9_p10_gates(x: Tables) -> DataFrame:
     return x.part.filter((s.major_minor(v) == "15.1") | F.col("p_size").between(10, 12)).select("p_partkey", "p_size")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate, o_orderstatus FROM orders), a AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS wins, sum(o_totalprice) AS total FROM o WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL)
-SELECT c_custkey, round(ln(1 + coalesce(n, 0)), 8) AS games, round(coalesce(wins / n, 0), 8) AS rate, round(coalesce(total / n, 0), 6) AS mean FROM customer LEFT JOIN a ON c_custkey = o_custkey""")
-def c9_player_vector(x: Tables) -> DataFrame:
-    """A player's features before a cutoff; players without rows have zeros."""
-    agg = x.orders.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("wins"), F.sum("o_totalprice").alias("total"))
-    rows = x.customer.select("c_custkey").join(agg, "c_custkey", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.select("c_custkey", F.round(F.log1p(F.coalesce("n", F.lit(0))), 8).alias("games"), F.round(zero(F.col("wins") / F.col("n")), 8).alias("rate"), F.round(zero(F.col("total") / F.col("n")), 6).alias("mean"))
-
-
-@query("""WITH d AS (SELECT l_suppkey, l_orderkey FROM lineitem GROUP BY ALL HAVING count(*) > 1), r AS (SELECT l_suppkey, l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber BETWEEN 1 AND 10 GROUP BY ALL)
-SELECT l_suppkey, l_orderkey, q FROM r ANTI JOIN d USING (l_suppkey, l_orderkey) JOIN orders ON o_orderkey = l_orderkey""")
-def c8_incremental_rollup(x: Tables) -> DataFrame:
-    """Roll up what a target lacks; keys without a parent row fall out."""
-    done = x.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = x.lineitem.filter(F.col("l_linenumber").between(1, 10)).join(done, ["l_suppkey", "l_orderkey"], "left_anti")
-    agg = rows.groupBy("l_suppkey", "l_orderkey").agg(F.sum("l_quantity").alias("q"))
-    return agg.join(x.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("l_suppkey", "l_orderkey", "q")
-
-
-@query("""WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS us, event_id, value FROM events), k AS (SELECT * FROM e WHERE event_type = 'purchase'),
-f AS (SELECT k.event_id, max(v.us) AS view_us FROM k LEFT JOIN e v ON v.user_id = k.user_id AND v.event_type = 'view' AND v.us <= k.us - 15000000 GROUP BY ALL)
-SELECT event_id, view_us FROM f""")
-def r9_lookback(x: Tables) -> DataFrame:
-    from matchlake.operators.temporal import asof_backward
-
-    e = x.stream
-    views = e.filter("event_type = 'view'").select("user_id", "us", F.col("us").alias("view_us"))
-    return asof_backward(e.filter("event_type = 'purchase'").select("user_id", "us", "event_id"), views, ["user_id"], "us", "us", ["view_us"], offset=15_000_000).select("event_id", "view_us")
-
-
 @query("SELECT l_orderkey, array_to_string(list(l_linenumber % 5 ORDER BY l_linenumber) FILTER (l_returnflag <> 'R'), ',') AS items FROM lineitem GROUP BY ALL HAVING count(*) FILTER (l_returnflag <> 'R') > 0")
 def f26_purchases(x: Tables) -> DataFrame:
     """The inventory fold over buys alone keeps every item in order."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +50,42 @@ def game_review(games: DataFrame, frames: DataFrame, events: DataFrame, moments:
     return game.join(rows, "match_id", "left").join(big, "match_id", "left").join(told, "match_id", "left")
 
 
-def dispatch(tables: dict[str, DataFrame], request: dict) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """The action that a request names; any other is an error."""
+def _rows(df: DataFrame) -> list[dict]:
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def dispatch(tables: dict[str, DataFrame], request: dict) -> object:
+    """The answer to a request, for one player or one match, as plain values; any other action is an error object."""
     action = request.get("action")
     if action == "search":
-        return search_players(tables["players"], request["query"])
+        return _rows(search_players(tables["players"], request["query"]))
     if action == "review":
-        return player_review(tables["frames"], tables["games"], tables["key_moments"], tables["concepts"], request["puuid"])
+        return _player_answer(tables, request["puuid"])
     if action == "game":
-        return game_review(tables["games"], tables["frames"], tables["events"], tables["key_moments"], tables["concepts"], request["match_id"])
-    raise ValueError(f"unknown action: {action}")
+        return _game_answer(tables, request["match_id"], request["puuid"])
+    return {"error": f"Unknown action: {action}"}
+
+
+def reply(tables: dict[str, DataFrame], request: dict) -> str:
+    """dispatch() as JSON text; what JSON lacks is a string."""
+    return json.dumps(dispatch(tables, request), default=str)
+
+
+def _player_answer(tables: dict[str, DataFrame], puuid: str) -> dict:
+    who = tables["players"].filter(F.col("puuid") == puuid).first()
+    if who is None:
+        return {"error": "Player not found"}
+    mine, weights = player_review(tables["frames"], tables["games"], tables["key_moments"], tables["concepts"], puuid)
+    recent = [r | {"won": r["winning_team"] == r["team_id"], "moments": r["moments"] or []} for r in _rows(mine.orderBy(F.desc("created_at"), "match_id"))]
+    return {"player": who.asDict(), "games": recent, "concepts": _rows(weights)}
+
+
+def _game_answer(tables: dict[str, DataFrame], match_id: str, puuid: str) -> dict:
+    own = tables["frames"].filter((F.col("match_id") == match_id) & (F.col("puuid") == puuid)).select("team_id", "role").first()
+    found = game_review(tables["games"], tables["frames"], tables["events"], tables["key_moments"], tables["concepts"], match_id).first()
+    if own is None or found is None:
+        return {"error": "Game not found"}
+    row = found.asDict(recursive=True)
+    parts = {n: row.pop(n) or [] for n in ("moments", "frames", "events")}
+    mine = [m for m in parts["moments"] if m["team_id"] == own.team_id]
+    return {"game": row, "won": row["winning_team"] == own.team_id, "team_id": own.team_id, "role": own.role, "moments": mine, "frames": parts["frames"], "objectives": parts["events"]}

@@ -1,32 +1,55 @@
-"""Paged remote sources as a Spark data source: a partition a (scope, page range), pages until an empty one."""
+"""Paged remote sources as a Spark data source (S6 to S8): a partition a scope and range of pages."""
 
 from __future__ import annotations
 
 import json
+import random
+import threading
 import time
 from collections.abc import Iterator
 from urllib.error import HTTPError
+from urllib.parse import urlsplit
 from urllib.request import Request, urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: When each host may be asked again, for all threads of a worker process.
+_free_at: dict[str, float] = {}
+_lock = threading.Lock()
+
 
 def fetch_json(url: str, headers: dict[str, str], tries: int = 9, wait_s: float = 1.0) -> object:
-    """GET with back-off where the server asks for it (R4); other errors are raised."""
+    """GET with back-off where the server asks for it (R4); other errors are raised, and the last refusal.
+
+    A refusal holds up every request of this process to the same host, for as long as the server says or twice as
+    long each time, and up to a tenth more, so that waiting requests don't return at once.
+    """
+    host = urlsplit(url).netloc
     for turn in range(tries):
+        with _lock:
+            wait = _free_at.get(host, 0.0) - time.monotonic()
+        if wait > 0:
+            time.sleep(wait)
         try:
             with urlopen(Request(url, headers=headers), timeout=30) as reply:  # noqa: S310
                 return json.loads(reply.read())
         except HTTPError as e:
             if e.code != 429 or turn == tries - 1:
                 raise
-            time.sleep(float(e.headers.get("Retry-After") or wait_s * 2**turn))
+            pause = float(e.headers.get("Retry-After") or wait_s * 2**turn) * random.uniform(1.0, 1.1)  # noqa: S311
+            with _lock:
+                _free_at[host] = max(_free_at.get(host, 0.0), time.monotonic() + pause)
     raise AssertionError
 
 
 class PagedJson(DataSource):
     """Options: url with {scope} and {page}; scopes, comma-separated; rows, a key of the reply that holds the list
-    (default: the reply is the list); first (1); header.<name>. Rows are (scope, page, value JSON)."""
+    (default: the reply is the list); total, a key that holds the number of all rows of a scope; first (1);
+    pages and per_task; wait_s; header.<name>. Rows are (scope, page, value JSON).
+
+    A scope is read until a page is empty, or until as many rows have come as total says, whichever is first. With
+    pages (the number of pages at most) a partition is a range of per_task pages (16); without, it is a whole scope.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -39,25 +62,35 @@ class PagedJson(DataSource):
         return _Reader(dict(self.options))
 
 
-class _Scope(InputPartition):
-    pass
+class _Range(InputPartition):
+    def __init__(self, scope: str, start: int, stop: int | None):
+        super().__init__((scope, start, stop))
+        self.scope, self.start, self.stop = scope, start, stop
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
+        self.first = int(options.get("first", 1))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Scope(s) for s in self.options.get("scopes", "").split(",")]
+        scopes = self.options.get("scopes", "").split(",")
+        if "pages" not in self.options:
+            return [_Range(s, self.first, None) for s in scopes]
+        stop, step = self.first + int(self.options["pages"]), int(self.options.get("per_task", 16))
+        return [_Range(s, k, min(k + step, stop)) for s in scopes for k in range(self.first, stop, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page, key = int(self.options.get("first", 1)), self.options.get("rows")
-        headers = {k.removeprefix("header."): v for k, v in self.options.items() if k.startswith("header.")}
-        while True:
-            got = fetch_json(self.options["url"].format(scope=partition.value, page=page), headers)
-            rows = got.get(key) if key and isinstance(got, dict) else got
+        o, page, seen = self.options, partition.start, 0
+        headers = {k.removeprefix("header."): v for k, v in o.items() if k.startswith("header.")}
+        while partition.stop is None or page < partition.stop:
+            got = fetch_json(o["url"].format(scope=partition.scope, page=page), headers, wait_s=float(o.get("wait_s", 1.0)))
+            rows = got.get(o["rows"]) if "rows" in o and isinstance(got, dict) else got
             if not rows:
                 return
             for row in rows:
-                yield partition.value, page, json.dumps(row, sort_keys=True)
+                yield partition.scope, page, json.dumps(row, sort_keys=True)
+            seen += len(rows)
+            if "total" in o and partition.start == self.first and seen >= int(got[o["total"]]):
+                return
             page += 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,9 +15,39 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Take what is there, batch by batch, and stop (R1). The checkpoint makes a batch's number stable over restarts."""
-    stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", wall_s: float | None = None) -> bool:
+    """Take what is there, batch by batch, and stop; after wall_s seconds at the latest (R1). Whether all was taken.
+
+    The checkpoint makes a batch's number stable over restarts, and a later drain goes on where this one stopped.
+    """
+    running = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if wall_s is None:
+        running.awaitTermination()
+        return True
+    done = bool(running.awaitTermination(wall_s))
+    if not done:
+        running.stop()
+    return done
+
+
+def drain_until_idle(stream: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, idle_s: float = 15.0, wall_s: float = 8 * 3600.0, pause_s: float = 1.0) -> int:
+    """Drain again and again until nothing has come for idle_s, or wall_s is over (R1). stream makes the source anew; the number of rows taken."""
+    taken, began = [0], time.monotonic()
+    last = began
+
+    def counted(df: DataFrame, n: int) -> None:
+        taken[0] += df.count()
+        sink(df, n)
+
+    while time.monotonic() - began < wall_s:
+        before = taken[0]
+        drain(stream(), counted, checkpoint, wall_s=max(1.0, wall_s - (time.monotonic() - began)))
+        now = time.monotonic()
+        last = now if taken[0] > before else last
+        if now - last >= idle_s:
+            break
+        time.sleep(pause_s)
+    return taken[0]
 
 
 def once_each(stream: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:

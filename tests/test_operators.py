@@ -286,8 +286,12 @@ def test_review_queries(spark, two_frames):
     assert [(r.concept_id, r.n, r.weight) for r in weights.collect()] == [("c1", 2, 1.0), ("c2", 2, 0.4)]  # two frames fan out
     game = review.game_review(played, frames, events, told, concepts, "M1").first()
     assert len(game.frames) == 20 and len(game.events) == 2 and len(game.moments) == 2
-    with pytest.raises(ValueError, match="unknown action"):
-        review.dispatch({}, {"action": "x"})
+    assert review.dispatch({}, {"action": "x"}) == {"error": "Unknown action: x"}
+    tables = {"players": spark.createDataFrame([("p1", "n#t", "GOLD", "I", 5, 1)], schemas.table("players")), "games": played, "frames": frames, "events": events, "concepts": concepts, "key_moments": told}
+    answer = json.loads(review.reply(tables, {"action": "review", "puuid": "p1"}))
+    assert answer["player"]["rank_tier"] == "GOLD" and answer["games"][0]["won"] and [m["concept_id"] for m in answer["games"][0]["moments"]] == ["c1", "c2"] and len(answer["concepts"]) == 2
+    assert json.loads(review.reply(tables, {"action": "review", "puuid": "x"})) == {"error": "Player not found"}
+    assert len(json.loads(review.reply(tables, {"action": "game", "match_id": "M1", "puuid": "p1"}))["objectives"]) == 2
     cost = engine.match_cost(frames, events).first()
     assert (cost.n_anchors, cost.n_events) == (2, 2)
     assert engine.escalate(3, 2, False) == (4, 0) and engine.escalate(3, 1, True) == (3, 0)
