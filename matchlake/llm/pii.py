@@ -45,7 +45,7 @@ WORD_OR_MARK = r"<(?:EMAIL|IP|CARD|PHONE)>|[\p{L}\p{N}]+"
 MIN_DOCS = 2
 ALPHA = 0.8
 #: Terms that a lookup in all words is broadcast for, at most; beyond, words are counted first.
-BROADCAST_TERMS = 200_000
+BROADCAST_TERMS = 500_000
 
 
 def fenced(text: Column, kind: int) -> Column:
@@ -104,58 +104,76 @@ def base_spans(matches: DataFrame) -> DataFrame:
 
 
 def entities(spans: DataFrame) -> DataFrame:
-    """Distinct row, entity (a hash), cls (1 for a class of values, 0 for a value)."""
+    """Distinct row, entity: a hash whose last bit is 1 for a class of values, 0 for a value."""
     kind, match = F.col("kind"), F.col("match")
     digits = F.regexp_replace(match, "[^0-9]", "")
     common = F.when(kind == 0, F.substring_index(F.lower(match), "@", -1)).when(kind == 1, F.substring_index(match, ".", 3)).when(kind == 2, F.left(digits, F.lit(6))).otherwise(F.left(digits, F.lit(4)))
-    both = F.array(F.struct(F.xxhash64(kind, F.lower(match)).alias("entity"), F.lit(0).alias("cls")), F.struct(F.xxhash64(F.lit("class"), kind, common).alias("entity"), F.lit(1).alias("cls")))
-    return spans.select("row", F.explode(both).alias("e")).select("row", "e.entity", "e.cls").distinct()
+    value, among_classes = F.xxhash64(kind, F.lower(match)), F.xxhash64(F.lit("class"), kind, common)
+    one = F.lit(1).cast("long")
+    both = F.array(value.bitwiseAND(F.lit(-2).cast("long")), among_classes.bitwiseOR(one))
+    return spans.select("row", F.explode(both).alias("entity")).distinct()
+
+
+def support(min_docs: int) -> Column:
+    """Documents that a pair with the entity needs: one more for a class."""
+    return F.lit(min_docs).cast("long") + F.col("entity").bitwiseAND(F.lit(1).cast("long"))
+
+
+def runs_of(text: Column) -> Column:
+    """The distinct lower-cased runs of letters and digits of a text, and perhaps an empty one."""
+    return F.array_distinct(F.transform(F.split(text, r"[^\p{L}\p{N}]+"), F.lower))
 
 
 def words_of(text: Column) -> Column:
-    """The distinct lower-cased words of a text that begin with a letter."""
-    return F.filter(F.array_distinct(F.transform(F.split(text, r"[^\p{L}\p{N}]+"), F.lower)), lambda w: w.rlike(r"^\p{L}"))
+    """The distinct lower-cased words of a text: runs that begin with a letter."""
+    return F.filter(runs_of(text), lambda w: w.rlike(r"^\p{L}"))
 
 
 def holders(matches: DataFrame, spans: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """row, text_key, n, entity, cls, n_entity: each distinct text (its first row stands for its n rows) with the
-    entities in it that enough documents hold, and the number of those documents."""
+    """Written table row, text_key, n, found: each distinct text (its first row stands for its n rows) with the entities in it
+    that enough documents hold, and the number of those documents (n_entity)."""
     texts = matches.filter(F.col("text").isNotNull()).groupBy("text_key").agg(F.min("row").alias("row"), F.count("*").alias("n"))
     rows = materialise(entities(spans).join(texts, "row"), "entities")
     total = matches.count()
-    many = rows.groupBy("entity", "cls").agg(F.sum("n").alias("n_entity")).filter((F.col("n_entity") >= min_docs + F.col("cls")) & (F.col("n_entity") < total))
+    many = rows.groupBy("entity").agg(F.sum("n").alias("n_entity")).filter((F.col("n_entity") >= support(min_docs)) & (F.col("n_entity") < total))
     # a key of this join is held by as many texts as hold the entity
-    return materialise(lookup_hot_safe(rows, many.drop("cls").withColumn("_w", F.col("n_entity")), "entity", "_w", total).filter(F.col("n_entity").isNotNull()), "holders")
+    rows = lookup_hot_safe(rows, many.withColumn("_w", F.col("n_entity")), "entity", "_w", total).filter(F.col("n_entity").isNotNull())
+    return materialise(rows.groupBy("row", "text_key", "n").agg(F.collect_list(F.struct("entity", "n_entity")).alias("found")), "holders")
+
+
+def held_words(matches: DataFrame, held: DataFrame) -> DataFrame:
+    """Written table row, n, found, term: the distinct words of the holders' texts. What a word needs of its text goes with it."""
+    texts = matches.filter(F.col("text").isNotNull()).select("row", "text").join(held.select("row", "n", "found"), "row")
+    return materialise(texts.select("row", "n", "found", F.explode(words_of(F.col("text"))).alias("term")), "words")
 
 
-def disclosing_terms(docs: DataFrame, matches: DataFrame, held: DataFrame, words: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, words: DataFrame, n_docs: int, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
     """Written table of the pairs entity, term whose mutual information reaches the threshold. Counts are of documents, over all of them.
 
-    log(n_both n / (n_term n_entity)) >= alpha log(n / n_entity), solved for n_term. words: row, term of the holders.
+    log(n_both n / (n_term n_entity)) >= alpha log(n / n_entity), solved for n_term.
     """
-    n = float(max(1, matches.count()))
-    pairs = held.join(words, "row").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("cls").alias("cls"))
-    pairs = materialise(pairs.filter(F.col("n_both") >= min_docs + F.col("cls")).drop("cls"), "pairs")
+    n = float(max(1, n_docs))
+    pairs = words.select("n", "term", F.explode("found").alias("e")).groupBy("e.entity", "e.n_entity", "term").agg(F.sum("n").alias("n_both"))
+    most = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - alpha)) * (1 + 1e-12)
+    pairs = materialise(pairs.filter(F.col("n_both") >= support(min_docs)).select("entity", "term", most.alias("most")), "pairs")
     # documents with a term and any entity are too many for most terms; a term may be in as many pairs as there are entities
-    near = held.select("row", "n").distinct().join(words, "row").groupBy("term").agg(F.sum("n").alias("n_near"))
-    near = near.join(pairs.groupBy("term").agg(F.count("*").alias("_w")), "term")
+    near = words.groupBy("term").agg(F.sum("n").alias("n_near")).join(pairs.groupBy("term").agg(F.count("*").alias("_w")), "term")
     rows = lookup_hot_safe(pairs, near, "term", "_w", pairs.count())
-    rows = rows.withColumn("most", F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - alpha)) * (1 + 1e-12))
     rows = materialise(rows.filter(F.col("n_near") <= F.col("most")).select("entity", "term", "most"), "likely")
-    every = docs.select(F.explode(words_of(text_or_empty())).alias("term"))
+    every = docs.select(F.explode(runs_of(text_or_empty())).alias("term"))  # what is wanted begins with a letter
     counts = among(every, rows.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_term"))
     return materialise(rows.join(counts, "term").filter(F.col("n_term") <= F.col("most")).select("entity", "term"), "told")
 
 
 def among(words: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words whose term is wanted. Few terms are broadcast; for many, Spark joins by term and splits hot ones."""
+    """The words whose term, or entity and term, is wanted. Few terms are broadcast; for many, Spark joins by term and splits hot ones."""
     small = wanted.count() <= BROADCAST_TERMS
-    return words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    return words.join(F.broadcast(wanted) if small else wanted, wanted.columns, "left_semi")
 
 
 def term_spans(matches: DataFrame, held: DataFrame, words: DataFrame, told: DataFrame) -> DataFrame:
     """text_key, added (array of kind, start, stop), n: all occurrences of the terms that disclose an entity of the text."""
-    has = held.select("row", "entity").join(words, "row").join(told, ["entity", "term"], "left_semi").groupBy("row").agg(F.collect_set("term").alias("_terms"))
+    has = among(words.select("row", "term", F.explode("found.entity").alias("entity")), told).groupBy("row").agg(F.collect_set("term").alias("_terms"))
     texts = matches.select("row", "text").join(has, "row")
     fenced_words = F.split(F.regexp_replace(F.translate("text", FENCE, STAND_IN), WORD, f"{FENCE}$0{FENCE}"), FENCE, -1)
     hit = lambda part, at: F.struct(F.length(part).alias("size"), ((at % 2 == 1) & F.array_contains("_terms", F.lower(part))).alias("hit"))
@@ -163,7 +181,7 @@ def term_spans(matches: DataFrame, held: DataFrame, words: DataFrame, told: Data
     parts = parts.withColumn("stop", F.sum("p.size").over(Window.partitionBy("row").orderBy("at"))).filter("p.hit")
     span = F.struct(F.lit(4).alias("kind"), (F.col("stop") - F.col("p.size")).alias("start"), F.col("stop").alias("stop"))
     lists = parts.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("added"))
-    return lists.join(held.select("row", "text_key", "n").distinct(), "row").select("text_key", "added", "n")
+    return lists.join(held.select("row", "text_key", "n"), "row").select("text_key", "added", "n")
 
 
 def find_personal_data(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -172,8 +190,8 @@ def find_personal_data(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MI
         matches = keep(base_matches(docs))
         spans = keep(materialise(base_spans(matches), "spans"))
         held = holders(matches, spans, min_docs)
-        words = materialise(matches.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode(words_of(F.col("text"))).alias("term")), "words")
-        told = disclosing_terms(docs, matches, held, words, alpha, min_docs)
+        words = held_words(matches, held)
+        told = disclosing_terms(docs, words, matches.count(), alpha, min_docs)
         added = keep(materialise(term_spans(matches, held, words, told), "added"))
     kind = "array<struct<kind:int,start:bigint,stop:bigint>>"
     lists = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("base"))
@@ -212,9 +230,8 @@ def terms_of_texts(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DO
     with scratch() as keep:
         matches = base_matches(docs)
         held = holders(matches, base_spans(matches), min_docs)
-        words = materialise(matches.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode(words_of(F.col("text"))).alias("term")), "words")
-        told = disclosing_terms(docs, matches, held, words, alpha, min_docs).select("term").distinct()
-        rows = docs.select(text_or_empty().alias("_text")).select(F.sha1(F.encode("_text", "UTF-8")).alias("text_key"), F.explode(words_of(F.col("_text"))).alias("term"))
+        told = disclosing_terms(docs, held_words(matches, held), matches.count(), alpha, min_docs).select("term").distinct()
+        rows = docs.select(text_or_empty().alias("_text")).select(F.sha1(F.encode("_text", "UTF-8")).alias("text_key"), F.explode(runs_of(F.col("_text"))).alias("term"))
         hits = among(rows, told).groupBy("text_key", "term").agg(F.count("*").alias("n"))
         return keep(materialise(hits.groupBy("text_key").agg(F.collect_set("term").alias("_terms"), F.max("n").alias("_rows")), "terms"))
 

@@ -105,10 +105,11 @@ def lookup_hot_safe(left: DataFrame, right: DataFrame, key: str, weight: str, to
     hot = right.filter(F.col(weight) > edge).select(F.col(key).alias("_hot"), F.struct(*values).alias("_h"))
     joined = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     cold = right.filter(F.col(weight) <= edge).select(F.col(key).alias("_cold"), F.struct(*values).alias("_c"))
-    # hot rows need no partner: a random negative salt spreads them, their value comes from the broadcast
+    # hot rows need no partner: their value comes from the broadcast, and a salt as second key spreads them. The other
+    # side's salt is 0 too, but not as a constant: Spark would fold that, join by the first key only, and send all hot rows to one task
     joined = joined.withColumn("_probe", F.when(F.col("_hot").isNull(), F.col(key)))
-    joined = joined.withColumn("_deal", F.when(F.col("_probe").isNull(), F.xxhash64(*left.columns)).otherwise(F.lit(0)))
-    cold = cold.withColumn("_zero", F.lit(0).cast("long"))
+    joined = joined.withColumn("_deal", F.when(F.col("_probe").isNull(), F.xxhash64(*left.columns)).otherwise(F.lit(0).cast("long")))
+    cold = cold.withColumn("_zero", F.pmod(F.xxhash64("_cold"), F.lit(1).cast("long")))
     out = joined.join(cold, (F.col("_probe") == F.col("_cold")) & (F.col("_deal") == F.col("_zero")), "left")
     picked = [F.coalesce(F.col(f"_h.{v}"), F.col(f"_c.{v}")).alias(v) for v in values]
     return out.select(*left.columns, *picked)

@@ -166,3 +166,9 @@ def test_hot_lookup_splits_keys(spark):
     right = left.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("w")).withColumn("v", F.length("k"))
     got = shared.lookup_hot_safe(left, right, "k", "w", 2000)
     assert got.count() == 2000 and got.filter("v IS NULL").count() == 100 and got.filter("k = 'hot' AND v = 3").count() == 900
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shared.lookup_hot_safe(left, right, "k", "w", 2000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(_probe#\d+, _deal#\d+L", plan)  # rows of hot keys are dealt by their salt
