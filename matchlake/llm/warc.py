@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.shared import drop_path, drop_table, fresh_path, lookup_hot_safe, materialise, small_batches, tidied
+from matchlake.llm.shared import drop_path, drop_table, fresh_path, lookup_hot_safe, materialise, once, small_batches, tidied
 
 END = "\r\n\r\n"
 #: RFC 4648, fixed values.
@@ -37,10 +37,15 @@ RECORD = "record_type string, record_id long, url string, digest string, refers_
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: eight groups of twenty bits, four letters each."""
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substring(F.sha1(payload), k * 5 + 1, F.lit(5)), 16, 10).cast("long"))
+    """Upper-case base32 of the SHA-1 of a binary column: eight groups of twenty bits, four letters each. The bytes are hashed
+    once; within the lambda they would be hashed for each group."""
     letter = lambda g, shift: F.substring(F.lit(BASE32), F.shiftright(g, shift).bitwiseAND(31).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(groups, lambda g: F.concat(*(letter(g, s) for s in (15, 10, 5, 0)))), "")
+
+    def letters(digest: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substring(digest, k * 5 + 1, F.lit(5)), 16, 10).cast("long"))
+        return F.array_join(F.transform(groups, lambda g: F.concat(*(letter(g, s) for s in (15, 10, 5, 0)))), "")
+
+    return once(F.sha1(payload), letters)
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
