@@ -3,6 +3,12 @@
 P(grade > k) = sigmoid(w.x - theta_k): one weight vector is shared by all thresholds, and the thresholds
 are ordered by construction. x marks which hashed features a text has. The model is fitted on a bounded
 sample of labelled rows and scores every row.
+
+Defined results: null text is empty; labels without id, with a null grade or with one outside the scale are left out,
+as are labels of absent documents; of several grades of one id the largest counts, of several texts of one id the
+smallest; without labels, or with one grade only, no feature has weight and every document gets the same score;
+repeated rows give repeated results; an empty table gives an empty result. Ties in the sample go by hash, then id.
+Scored rows come boxed, so that names of the documents' columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ BITS = 20
 #: Labelled documents that a model is fitted on, at most.
 FIT_ROWS = 20_000
 #: A feature takes part when this many fitted documents have it, and their mean grade is so many standard errors off.
+#: Both are parameters of the fit; 1 and 0 let every feature in and leave the choice to the penalty.
 MIN_DOCS, MIN_Z = 5, 4.5
 L2 = 1.0
 STEPS, RATE = 400, 0.1
@@ -48,7 +55,7 @@ def bucket_of(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) >> (32 - BITS)
 
 
-def fit_model(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalModel:
+def fit_model(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> OrdinalModel:
     """rows: the distinct buckets of each document. With fewer than two grades seen, no feature has weight."""
     n = len(rows)
     sizes = np.fromiter(map(len, rows), np.int64, n)
@@ -62,7 +69,7 @@ def fit_model(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Ordi
     have = np.bincount(cols, minlength=1 << BITS)
     mean = np.bincount(cols, weights=grades[at], minlength=1 << BITS) / np.maximum(have, 1)
     z = (mean - grades.mean()) / (spread / np.sqrt(np.maximum(have, 1)))
-    buckets = np.flatnonzero((have >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
+    buckets = np.flatnonzero((have >= max(1, min_docs)) & (np.abs(z) >= min_z))
     if not len(buckets):
         return OrdinalModel(buckets, np.empty(0), theta)
     place = np.searchsorted(buckets, cols)
@@ -91,7 +98,7 @@ def fit_model(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Ordi
     return OrdinalModel(buckets, free[:d], np.cumsum(np.concatenate([free[d : d + 1], np.exp(free[d + 1 :])])))
 
 
-def fit_on_labels(docs: DataFrame, grades: DataFrame, features: Features, n_grades: int, fit_rows: int = FIT_ROWS) -> OrdinalModel:
+def fit_on_labels(docs: DataFrame, grades: DataFrame, features: Features, n_grades: int, fit_rows: int = FIT_ROWS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> OrdinalModel:
     """grades: doc_id, grade (0 to n_grades - 1); a document with several grades counts with the largest."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +114,7 @@ def fit_on_labels(docs: DataFrame, grades: DataFrame, features: Features, n_grad
     held = rows.select("_text", "_grade").mapInArrow(tidied(extract), "buckets array<int>, grade int").toArrow()
     lists, found = held.column("buckets").combine_chunks(), held.column("grade").to_numpy()
     values, ends = lists.flatten().to_numpy().astype(np.int64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
-    return fit_model(np.split(values, ends[:-1]) if len(ends) else [], found.astype(np.int64), n_grades)
+    return fit_model(np.split(values, ends[:-1]) if len(ends) else [], found.astype(np.int64), n_grades, min_docs, min_z)
 
 
 def score_rows(docs: DataFrame, model: OrdinalModel, features: Features) -> DataFrame:

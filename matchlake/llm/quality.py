@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.ordinal import fit_on_labels, score_rows
+from matchlake.llm.ordinal import MIN_DOCS, MIN_Z, fit_on_labels, score_rows
 from matchlake.llm.shared import unboxed
 
 PIECES = re.compile(r"\w+|[^\w\s]+")
@@ -40,10 +40,10 @@ def features(text: str) -> set[str]:
     return found
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, min_tail: float = MIN_TAIL) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, min_tail: float = MIN_TAIL, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> DataFrame:
     """docs with expected_grade, p_good = P(grade >= 1), and selected."""
     grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2)
-    model = fit_on_labels(docs, labels.select("doc_id", grade.alias("grade")), features, 3)
+    model = fit_on_labels(docs, labels.select("doc_id", grade.alias("grade")), features, 3, min_docs=min_docs, min_z=min_z)
     out = score_rows(docs, model, features)
     out = out.withColumn("p_good", F.col("tails")[0]).withColumn("selected", F.col("p_good") >= min_tail)
     return unboxed(out, "expected_grade", "p_good", "selected")

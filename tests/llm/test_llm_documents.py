@@ -101,6 +101,65 @@ def test_classifiers_on_held_out_rows(spark, which):
     assert (quality.classify_quality(df, empty) if which == "quality" else toxicity.grade_toxicity(df.limit(0), empty)).count() in (0, len(got))
 
 
+def loss(rows, grades, weights, thresholds, l2=ordinal.L2):
+    """Penalised negative log-likelihood, term by term."""
+    total = l2 / 2 * sum(w * w for w in weights.values())
+    for have, g in zip(rows, grades, strict=True):
+        score = sum(weights.get(b, 0.0) for b in have)
+        tail = [1.0, *(1 / (1 + np.exp(t - score)) for t in thresholds), 0.0]
+        total -= np.log(tail[g] - tail[g + 1])
+    return total
+
+
+@pytest.mark.parametrize("name", ["op8_quality", "op9_toxicity"])
+def test_classifiers_against_plain_python(spark, name):
+    sf = "/root/testdata/sf0.01"
+    table = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels")}
+    features = quality.features if name == "op8_quality" else toxicity.features
+    text = {r.doc_id: r.text or "" for r in table["documents"].collect()}
+    own = {}
+    for r in table["labels"].collect():
+        g = r.toxic if name == "op9_toxicity" else 0 if r.quality == 0 else None if r.quality != 1 else 2 if r.toxic != 1 else 1
+        if g is not None and r.doc_id in text:
+            own[r.doc_id] = max(g, own.get(r.doc_id, 0))
+    rows, grades = [{ordinal.bucket_of(f) for f in features(text[i])} for i in own], list(own.values())
+    n, n_grades, mean = len(grades), 3 if name == "op8_quality" else 2, sum(grades) / len(grades)
+    spread, of = (sum((g - mean) ** 2 for g in grades) / n) ** 0.5, {}
+    for have, g in zip(rows, grades, strict=True):
+        for b in have:
+            of.setdefault(b, []).append(g)
+    far = lambda gs: abs(sum(gs) / len(gs) - mean) * len(gs) ** 0.5 / spread
+    wanted = {b for b, gs in of.items() if len(gs) >= ordinal.MIN_DOCS and far(gs) >= ordinal.MIN_Z}
+    frame = spark.createDataFrame(list(own.items()), "doc_id long, grade int")
+    model = ordinal.fit_on_labels(table["documents"], frame, features, n_grades)
+    assert wanted and set(model.table) == wanted
+    # the loss is convex: no step along any axis lowers it, so this is its minimum
+    weights, least = model.table, loss(rows, grades, model.table, model.thresholds)
+    for step in (-0.05, 0.05):
+        for b in sorted(weights)[::7]:
+            assert loss(rows, grades, weights | {b: weights[b] + step}, model.thresholds) > least
+        for k in range(n_grades - 1):
+            assert loss(rows, grades, weights, model.thresholds + step * (np.arange(n_grades - 1) == k)) > least
+    from matchlake.llm import queries
+
+    got = {r.doc_id: r for r in queries.queries()[name](spark, sf).collect()}
+    assert set(got) == set(text)
+    for i, t in text.items():
+        score = sum(weights.get(ordinal.bucket_of(f), 0.0) for f in features(t))
+        tails = [1 / (1 + np.exp(k - score)) for k in model.thresholds]
+        expected, tail = got[i][1:3]
+        assert expected == pytest.approx(sum(tails), abs=1e-6) and tail == pytest.approx(tails[0], abs=1e-6)
+        assert got[i][3] == (tail >= (quality.MIN_TAIL if n_grades == 3 else toxicity.MIN_TAIL))
+
+
+def test_screen_is_a_parameter():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 40, 9)) for _ in range(200)]
+    grades = np.array([int(0 in r) for r in rows])
+    assert ordinal.fit_model(rows, grades, 2, 1, 0.0).buckets.tolist() == sorted(set(np.concatenate(rows).tolist()))
+    assert 0 in ordinal.fit_model(rows, grades, 2).buckets
+
+
 def sets_of(t: str) -> frozenset:
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
     return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 5 else frozenset(zip(w, w[1:], w[2:], w[3:], w[4:], strict=False))
