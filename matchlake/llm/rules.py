@@ -33,6 +33,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 PIECES = re.compile(r"\w+|[^\w\s]+")
+#: Trusted ids that are broadcast, at most; beyond, Spark joins by id.
+BROADCAST_IDS = 500_000
 _DISTINCT_KEPT = 200_000
 _GRAMS_HELD = 1_000_000
 
@@ -136,7 +138,8 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -
     The raw multinomial covers all documents, the target one all trusted documents. The driver gets one row for each bucket, whatever the size of the corpus.
     """
     ids = trusted_ids.select(F.col("doc_id").alias("_key")).filter(F.col("_key").isNotNull()).distinct().withColumn("_trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_key"), "left")
+    small = ids.count() <= BROADCAST_IDS  # a join by id would shuffle all texts
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_key"), "left")
     table = ngram_counts(marked, buckets).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[table["bucket"]], target[table["bucket"]] = table["n_raw"], table["n_target"]

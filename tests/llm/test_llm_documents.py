@@ -44,7 +44,7 @@ def test_quality_rules(spark):
     assert all(by[i].kept for i, _ in good) and not any(by[i].kept for i, _ in junk) and by[80].base_failed
 
 
-def test_ratio_is_that_of_the_counts(spark):
+def test_ratio_is_that_of_the_counts(spark, monkeypatch):
     texts = [(k, " ".join(words(30, k))) for k in range(8)]
     df, labels = docs(spark, texts), spark.createDataFrame([(0,), (3,)], "doc_id long")
     got = rules.fit_ratio(df, labels, buckets=512)
@@ -55,6 +55,9 @@ def test_ratio_is_that_of_the_counts(spark):
         target += grams * (k in (0, 3))
     share = lambda x: (x + rules.SMOOTH * x.sum() / 512) / (x.sum() * (1 + rules.SMOOTH))
     assert np.allclose(got, np.log(share(target)) - np.log(share(raw)))
+    monkeypatch.setattr(rules, "BROADCAST_IDS", 0)  # more ids than are broadcast
+    assert np.array_equal(rules.fit_ratio(df, labels, buckets=512), got)
+    monkeypatch.undo()
     assert not rules.fit_ratio(df, labels.limit(0), buckets=512).any()
     assert rules.quality_rules(df.limit(0), spark.createDataFrame([], LABELS)).count() == 0
 
