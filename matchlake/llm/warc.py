@@ -22,6 +22,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,39 +89,47 @@ def record_text(date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write deduplicated archives under path. A file holds one shuffle partition."""
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> int:
+    """Write deduplicated archives under path, and return the number of records. A file holds one shuffle partition."""
     heads, plan = plan_records(pages, min_bytes)
     # the join has dealt the rows out by digest already; a file is what one of its partitions holds
     records = plan.select(record_text(date).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").text(path)
+    n = heads.count()
     drop_table(heads)
-
-
-def _parse(chunks: Iterator[bytes]) -> Iterator[dict]:
-    held = b""
-    more = True
-    while True:
-        while more and END.encode() not in held:
-            piece = next(chunks, None)
-            more = piece is not None
-            held += piece or b""
-        if not held.startswith(b"WARC/"):
-            if held.strip():
+    return n
+
+
+def _parse(pieces: Iterator[tuple[str, bytes]]) -> Iterator[dict]:
+    """Records of (file, piece) pairs: a file's pieces follow each other, and a terminator stood between two of them. Whether one
+    stood at the file's end is not known, as the reader leaves out an empty last piece; so a last record may lack it."""
+    for _, of_file in groupby(pieces, itemgetter(0)):
+        chunks = (END.encode() * (k > 0) + piece for k, (_, piece) in enumerate(of_file))
+        held, more = b"", True
+        while held or more:
+            while more and END.encode() not in held.lstrip(b"\r\n"):
+                piece = next(chunks, None)
+                more = piece is not None
+                held += piece or b""
+            held = held.lstrip(b"\r\n")  # what is left of a terminator
+            if not held:
+                continue
+            if not held.startswith(b"WARC/"):
                 raise ValueError("an archive record does not begin with its version line")
-            return
-        head, _, held = held.partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        need = int(fields["Content-Length"]) + len(END)
-        parts, have = [held], len(held)
-        while more and have < need:
-            piece = next(chunks, None)
-            more = piece is not None
-            parts.append(piece or b"")
-            have += len(parts[-1])
-        held = b"".join(parts)
-        block, held = held[: need - len(END)], held[need:]
-        yield {"fields": fields, "block": block}
+            head, _, held = held.partition(END.encode())
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            need = int(fields["Content-Length"])
+            parts, have = [held], len(held)
+            while more and have < need + len(END):
+                piece = next(chunks, None)
+                more = piece is not None
+                parts.append(piece or b"")
+                have += len(parts[-1])
+            held = b"".join(parts)
+            if len(held) < need:
+                raise ValueError("an archive file ends within a record")
+            yield {"fields": fields, "block": held[:need]}
+            held = held[need:]
 
 
 def _id(urn: str | None) -> int | None:
@@ -149,8 +159,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task's files follow each other, and each ends with a terminator: one stream of records
-        pieces = (cell.as_py() + END.encode() for batch in batches for cell in batch.column(0))
+        pieces = ((of.as_py(), cell.as_py()) for batch in batches for of, cell in zip(batch.column(0), batch.column(1), strict=True))
         rows, size = [], 0
         for record in _parse(pieces):
             rows.append(_row(record))
@@ -163,7 +172,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     small_batches(spark)
     lines = spark.read.option("lineSep", END).option("pathGlobFilter", "part-*").text(path)
-    return lines.select(F.col("value").cast("binary")).mapInArrow(tidied(records), RECORD)
+    return lines.select("_metadata.file_path", F.col("value").cast("binary")).mapInArrow(tidied(records), RECORD)
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -194,10 +203,14 @@ def full_records(records: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the pages as archives in the shared folder, read them back and resolve the revisits."""
+    """Write the pages as archives in the shared folder, read them back and resolve the revisits. It is an error if the archives
+    give back another number of records than went in."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_archives(pages, path, min_bytes)
+    written = write_archives(pages, path, min_bytes)
     out = resolve(read_archives(spark, path))  # reads the archives once, and keeps the records' headers
+    read = out.count()
+    if read != written:
+        raise RuntimeError(f"{written} records were written, {read} read back")
     drop_path(spark, path)
     return out

@@ -48,6 +48,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(df, min_bytes=10**9).filter("record_type = 'revisit'").count() == 0
 
 
+@pytest.mark.parametrize("tail", ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\r\n", "\n\r\n\r\n\r\n"])
+def test_no_record_is_lost_at_a_file_end(spark, tail):
+    """Payloads that end in parts of the terminator, in 40 files that one task reads."""
+    df = spark.range(40).repartition(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>"), F.col("id").cast("string"), F.lit("</p>" + tail)).alias("html"))
+    path = shared.fresh_path(spark, "warc")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = df.withColumn("payload", F.col("html")).withColumn("refers_to", F.lit(None).cast("long"))
+        rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", warc.base32_sha1(F.encode("html", "UTF-8")))
+        rows.select(warc.record_text("2024-01-01T00:00:00Z").alias("value")).write.option("lineSep", warc.END).option("compression", "gzip").text(path)
+        records = warc.read_archives(spark, path).coalesce(1)
+        assert sorted((r.record_id, r.payload.decode()) for r in records.collect()) == [(k, f"<p>{k}</p>{tail}") for k in range(40)]
+        assert records.filter("NOT digest_ok").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert warc.archive_round_trip(df).count() == 40
+
+
 def test_damaged_archives_fail(spark, tmp_path):
     import gzip
     import os
