@@ -100,3 +100,40 @@ SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n, _, _ in _KINDS)}
 """
 
 SQL = {"op1_pii": _OP1, "op2_warc": _OP2, "op3_decontamination": _OP3, "op4_chat": _OP4, "op5_ngram_join": _OP5}
+
+
+def _crc_table() -> list[int]:
+    """The 256 steps of the reflected checksum 0xEDB88320."""
+    table = []
+    for k in range(256):
+        for _ in range(8):
+            k = (k >> 1) ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    return table
+
+
+def _crc32(text: str) -> str:
+    """Unsigned checksum of a text's UTF-8 bytes."""
+    data = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    step = "xor(acc >> 8, crc[1 + (xor(acc, b) & 255)])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda acc, b: {step}), 4294967295)"
+
+
+_OP12 = f"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+l AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM r GROUP BY ALL),
+h AS (SELECT run, c, {_crc32("key")} AS h FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS key, {_crc_table()}::BIGINT[] AS crc FROM l WHERE length(run) >= 7)),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+k AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS gone FROM w, LATERAL (SELECT unnest(range(0, length(word))) AS i)),
+p AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.gone = b.gone AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM k a JOIN w ON a.gone = w.word
+  UNION SELECT w.word, a.word, a.n FROM k a JOIN w ON a.gone = w.word),
+b AS (SELECT word, count(*) AS n_near, max(other_n) AS top, arg_min(other, (-other_n, other)) AS best FROM p GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 10 * n THEN best END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n FROM w LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS root, n FROM f UNION ALL SELECT c.word, f.form, f.form_n FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, f.n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, n) AS root FROM c GROUP BY word) USING (word)
+"""
+
+SQL |= {"op12_spelling_variants": _OP12}
