@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, chat, decontam, ngram_join, pii, quality, rules, secrets, spelling, toxicity, warc
+from matchlake.llm import bpe, chat, decontam, negatives, ngram_join, pii, quality, rules, secrets, spelling, toxicity, warc
 from matchlake.llm.oracles import SQL
 
 
@@ -86,10 +86,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_pii, op2_warc, op3_decontamination, op4_chat, op5_ngram_join, op6_bpe, op7_secrets, op8_quality, op9_toxicity, op10_quality_rules, op12_spelling_variants)
+    ops = (op1_pii, op2_warc, op3_decontamination, op4_chat, op5_ngram_join, op6_bpe, op7_secrets, op8_quality, op9_toxicity, op10_quality_rules, op12_spelling_variants, op13_hard_negatives)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
