@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, chat, decontam, negatives, ngram_join, pii, quality, rules, secrets, spelling, toxicity, warc
+from matchlake.llm import bpe, chat, decontam, lattice, negatives, ngram_join, pii, quality, rules, secrets, spelling, toxicity, warc
 from matchlake.llm.oracles import SQL
 
 
@@ -82,6 +82,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -94,7 +100,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_pii, op2_warc, op3_decontamination, op4_chat, op5_ngram_join, op6_bpe, op7_secrets, op8_quality, op9_toxicity, op10_quality_rules, op12_spelling_variants, op13_hard_negatives)
+    ops = (op1_pii, op2_warc, op3_decontamination, op4_chat, op5_ngram_join, op6_bpe, op7_secrets, op8_quality, op9_toxicity, op10_quality_rules, op11_lm_scoring, op12_spelling_variants, op13_hard_negatives)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
