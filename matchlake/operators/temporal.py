@@ -104,27 +104,6 @@ def offsets(df: DataFrame, keys: list[str], order: list[str], count: str) -> Dat
     return df.withColumn("offset", F.coalesce(F.sum(count).over(over), F.lit(0)))
 
 
-def budget_batches(df: DataFrame, keys: list[str], order: list[str], sizes: list[str], budgets: list[int]) -> DataFrame:
-    """df with batch: rows packed in order while the padded size (rows times the largest) fits every budget.
-
-    The running state starts anew with each batch, which no window frame can say; so a keyed fold does it.
-    """
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        batches, top, held, batch = [], [0] * len(sizes), 0, 0
-        for row in frame[sizes].itertuples(index=False):
-            new = [max(a, int(b)) for a, b in zip(top, row, strict=True)]
-            if held and any(n * (held + 1) > most for n, most in zip(new, budgets, strict=True)):
-                batch, held, new = batch + 1, 0, [int(b) for b in row]
-            top, held = new, held + 1
-            batches.append(batch)
-        return frame.assign(batch=batches)
-
-    kind = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.groupBy(*keys).applyInPandas(pack, f"{kind}, batch long")
-
-
 def seeded_order(df: DataFrame, key: str, seed: int) -> DataFrame:
     """key, place: places in an order that depends on the seed and the key alone (W15). No task sorts everything."""
     return places_by(df.select(key), key, seeded(seed, F.col(key)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.operators import temporal as t
+from matchlake.operators.packing import budget_batches
 from matchlake.plans.registry import Tables, query
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
@@ -106,7 +107,7 @@ b AS (SELECT *, 0::BIGINT AS batch, 1::BIGINT AS held, lines AS top1, pieces AS
 SELECT l_suppkey, l_orderkey, lines, pieces, batch FROM b""")
 def w14_budget_batches(x: Tables) -> DataFrame:
     sizes = x.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("pieces"))
-    return t.budget_batches(sizes, ["l_suppkey"], ["l_orderkey"], ["lines", "pieces"], [16, 400])
+    return budget_batches(sizes, ["l_suppkey"], ["l_orderkey"], ["lines", "pieces"], [16, 400])
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM (SELECT *, rank() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS r FROM events) WHERE r = 1 GROUP BY ALL")
