@@ -71,6 +71,7 @@ def _carried(rows: DataFrame, keys: list[str], left: dict[str, Column], how: dic
     after = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.filter(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(*(c.alias(n) for n, c in left.items()))
     sums = sums.select(*keys, "_slice", *(c.over(after).alias(n) for n, c in how.items()))
+    sums = sums.filter(reduce(lambda x, y: x | y, (F.col(n).isNotNull() for n in how)))  # first slices get nothing
     return rows.alias("a").join(F.broadcast(sums.alias("b")), _same([*keys, "_slice"]), "left").select("a.*", *(f"b.{n}" for n in how))
 
 
@@ -101,6 +102,13 @@ def before(rows: DataFrame, keys: list[str], order: list[str], **values: Column)
     return out.withColumns({n: F.col(f"_prior.{n}") for n in values}).drop("_now", "_prior", "_carry")
 
 
+def places(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """df with place, each row's number among its key's rows by an order column of any type, from 0. Ranges of rows are numbered
+    apart, and the counts of those before are added. Of equal rows either may come first."""
+    ranges = materialise(df.repartitionByRange(*keys, order).withColumn("_slice", F.spark_partition_id().cast("long")), "ranges")
+    return running(ranges, keys, [order], place=("sum", F.lit(1).cast("long"))).withColumn("place", F.col("place") - 1).drop("_slice")
+
+
 def running_counts(df: DataFrame, keys: list[str], order: str, counted: dict[str, Column], rows: int = SLICE_ROWS) -> DataFrame:
     """df with a running conditional count for each name in counted; rows of the same time count together."""
     ones = {n: ("sum", F.when(c, 1).otherwise(0)) for n, c in counted.items()}
