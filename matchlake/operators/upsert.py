@@ -47,6 +47,14 @@ def count_upsert(rows: DataFrame, key: str, ts: str, source: str, tie: str) -> D
     return rows.groupBy(key).agg(F.count("*").alias("submissions"), F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"), F.max_by(source, F.struct(ts, tie)).alias("source"))
 
 
+def count_into(old: DataFrame, rows: DataFrame, key: str, ts: str, source: str, tie: str) -> DataFrame:
+    """Counter rows with more rows counted in (K8): sums of submissions, first and last time, the source of
+    the last; of equal times the new row's."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(count_upsert(rows, key, ts, source, tie).withColumn("_new", F.lit(1)))
+    out = both.groupBy(key).agg(F.sum("submissions").alias("submissions"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.max_by("source", F.struct("updated_at", "_new")).alias("source"))
+    return out.select(*old.columns)
+
+
 def append(old: DataFrame, new: DataFrame) -> DataFrame:
     """No key: rows that come twice are there twice (K4)."""
     return old.unionByName(new)
