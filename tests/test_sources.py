@@ -58,6 +58,43 @@ def test_pages_until_empty_until_total_and_by_range(spark, server):
     assert ranged.rdd.getNumPartitions() == 9 and ids(ranged) == want
 
 
+def test_filters_plan_only_their_requests(spark, server):
+    """The server's log shows what was asked for; rows are those of the filter over a whole read."""
+    root, asked = server
+    spark.dataSource.register(PagedJson)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = lambda kind, **o: spark.read.format("paged_json").options(scopes="kr,na,none", pushdown="true", url=root + f"/{kind}/{{scope}}/{{page}}", **o).load()
+        pages = lambda df: sorted({(r.scope, r.page) for r in df.collect()})
+        assert pages(read("one").filter("scope = 'na'")) == [("na", 1), ("na", 2)]
+        assert [k for k in asked if k.startswith("/one/") and "/na/" not in k] == []
+        assert pages(read("bounds").filter("scope IN ('kr', 'other') AND page > 2 AND page <= 4")) == [("kr", 3), ("kr", 4)]
+        assert sorted(k for k in asked if k.startswith("/bounds/")) == ["/bounds/kr/3", "/bounds/kr/4"]
+        assert pages(read("pages", pages="6", per_task="2").filter("page = 5")) == [("kr", 5)]
+        assert {k for k in asked if k.startswith("/pages/")} == {f"/pages/{s}/5" for s in PAGES}
+        assert pages(read("left").filter("scope LIKE '%r' AND value LIKE '%kr1.2%'")) == [("kr", 1)]
+        assert pages(read("gone").filter("scope = 'no such'")) == []
+        assert pages(read("bounds2").filter("page < 1")) == []
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_back_off_is_shared(server, tmp_path):
+    """A refusal that one process met holds up another, which finds the note in the shared folder."""
+    import subprocess
+    import sys
+
+    root, asked = server
+    fetch_json(root + "/list/kr/1", {}, shared=str(tmp_path / "none"))
+    note = tmp_path / "notes"
+    assert len(fetch_json(root + "/busy/na/1", {}, shared=str(note))) == 3
+    (held,) = note.iterdir()
+    held.write_text(f"{time.time() + 2:.3f}")
+    code = f"import time; from matchlake.sources.paged import fetch_json; t = time.time(); fetch_json('{root}/list/na/1', {{}}, shared='{note}'); print(time.time() - t)"
+    began = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60, check=True)
+    assert float(began.stdout) > 0.2
+
+
 def test_back_off(server):
     root, asked = server
     began = time.monotonic()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import random
 from datetime import datetime, timedelta
 
@@ -117,4 +116,13 @@ def test_cooldown_forgets(spark, tmp_path, timers):
     assert sorted(out) == sorted(want)
     end = max(r[1] for r in rows) - timedelta(hours=1)
     assert state_rows(spark, state) == {k for k, at in last.items() if at + timedelta(hours=6) > end}
-    assert json.dumps(sorted(state_rows(spark, state)))
+
+
+@pytest.mark.parametrize("name", ["r7_stream_expiring_totals", "r8_stream_cooldown", "s10_r1_queue_stream"])
+def test_stream_sql(spark, name):
+    from matchlake.plans import streams
+    from matchlake.plans.registry import QUERIES, SQL
+    from tests.conftest import duck, rows_of
+
+    sf = "/root/testdata/sf0.001"
+    assert streams and rows_of(QUERIES[name](spark, sf).toPandas()) == rows_of(duck(sf).sql(SQL[name]).df())
