@@ -131,11 +131,16 @@ def words_of(text: Column) -> Column:
 
 def holders(matches: DataFrame, spans: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Written table row, text_key, n, found: each distinct text (its first row stands for its n rows) with the entities in it
-    that enough documents hold, and the number of those documents (n_entity)."""
+    that enough documents hold, one for all that are in the same texts, and the number of those documents (n_entity)."""
     texts = matches.filter(F.col("text").isNotNull()).groupBy("text_key").agg(F.min("row").alias("row"), F.count("*").alias("n"))
     rows = materialise(entities(spans).join(texts, "row"), "entities")
     total = matches.count()
-    many = rows.groupBy("entity").agg(F.sum("n").alias("n_entity")).filter((F.col("n_entity") >= support(min_docs)) & (F.col("n_entity") < total))
+    # entities that are in the same texts have the same counts with every term, and a term that discloses one discloses all in the same places: one stands
+    # for them, so that a text of n addresses, however often copied, isn't words times addresses. A set of texts is told by two sums of their hashes
+    texts_of = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"_texts{k}") for k in range(2)]
+    many = rows.groupBy("entity").agg(F.sum("n").alias("n_entity"), *texts_of).filter((F.col("n_entity") >= support(min_docs)) & (F.col("n_entity") < total))
+    is_class = F.col("entity").bitwiseAND(F.lit(1).cast("long"))
+    many = many.groupBy("_texts0", "_texts1", "n_entity", is_class.alias("_class")).agg(F.min("entity").alias("entity")).select("entity", "n_entity")
     # a key of this join is held by as many texts as hold the entity
     rows = lookup_hot_safe(rows, many.withColumn("_w", F.col("n_entity")), "entity", "_w", total).filter(F.col("n_entity").isNotNull())
     return materialise(rows.groupBy("row", "text_key", "n").agg(F.collect_list(F.struct("entity", "n_entity")).alias("found")), "holders")
@@ -171,16 +176,20 @@ def among(words: DataFrame, wanted: DataFrame) -> DataFrame:
     return words.join(F.broadcast(wanted) if small else wanted, wanted.columns, "left_semi")
 
 
-def term_spans(matches: DataFrame, held: DataFrame, words: DataFrame, told: DataFrame) -> DataFrame:
-    """text_key, added (array of kind, start, stop), n: all occurrences of the terms that disclose an entity of the text."""
-    has = among(words.select("row", "term", F.explode("found.entity").alias("entity")), told).groupBy("row").agg(F.collect_set("term").alias("_terms"))
-    texts = matches.select("row", "text").join(has, "row")
+def term_spans(matches: DataFrame, spans: DataFrame, held: DataFrame, words: DataFrame, told: DataFrame) -> DataFrame:
+    """text_key, added (array of kind, start, stop), n: all occurrences of the terms that disclose an entity of the text, but for those that overlap
+    a base span. Occurrences are rows: they meet the text's terms by a join and its base spans in one ordered pass, so long texts cost what they hold."""
+    has = among(words.select("row", "term", F.explode("found.entity").alias("entity")), told).select("row", "term").distinct()
+    texts = matches.select("row", "text").join(has.select("row").distinct(), "row", "left_semi")
     fenced_words = F.split(F.regexp_replace(F.translate("text", FENCE, STAND_IN), WORD, f"{FENCE}$0{FENCE}"), FENCE, -1)
-    hit = lambda part, at: F.struct(F.length(part).alias("size"), ((at % 2 == 1) & F.array_contains("_terms", F.lower(part))).alias("hit"))
-    parts = texts.select("row", F.posexplode(F.transform(fenced_words, hit)).alias("at", "p"))
-    parts = parts.withColumn("stop", F.sum("p.size").over(Window.partitionBy("row").orderBy("at"))).filter("p.hit")
-    span = F.struct(F.lit(4).alias("kind"), (F.col("stop") - F.col("p.size")).alias("start"), F.col("stop").alias("stop"))
-    lists = parts.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    parts = texts.select("row", F.posexplode(fenced_words).alias("at", "part")).select("row", "at", F.length("part").alias("size"), F.when(F.col("at") % 2 == 1, F.lower("part")).alias("term"))
+    parts = parts.join(has.withColumn("hit", F.lit(True)), ["row", "term"], "left")
+    found = parts.withColumn("stop", F.sum("size").over(Window.partitionBy("row").orderBy("at"))).filter("hit").select("row", (F.col("stop") - F.col("size")).alias("start"), "stop", F.col("stop").alias("pos"), F.lit(None).cast("long").alias("taken"))
+    # a base span that begins before a term ends, and ends after it begins, overlaps it
+    base = spans.join(has.select("row").distinct(), "row", "left_semi").select("row", "start", "stop", F.col("start").alias("pos"), F.col("stop").cast("long").alias("taken"))
+    order = Window.partitionBy("row").orderBy("pos", F.col("taken").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    free = found.unionByName(base).withColumn("upto", F.max("taken").over(order)).filter(F.col("taken").isNull() & (F.coalesce("upto", F.lit(0)) <= F.col("start")))
+    lists = free.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit(4).alias("kind"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("added"))
     return lists.join(held.select("row", "text_key", "n"), "row").select("text_key", "added", "n")
 
 
@@ -192,13 +201,12 @@ def find_personal_data(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MI
         held = holders(matches, spans, min_docs)
         words = held_words(matches, held)
         told = disclosing_terms(docs, words, matches.count(), alpha, min_docs)
-        added = keep(materialise(term_spans(matches, held, words, told), "added"))
+        added = keep(materialise(term_spans(matches, spans, held, words, told), "added"))
     kind = "array<struct<kind:int,start:bigint,stop:bigint>>"
     lists = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("base"))
     rows = matches.select("row", "doc_id", "text_key").join(lists, "row", "left").withColumn("base", F.coalesce("base", F.array().cast(kind)))
     rows = lookup_hot_safe(rows, added, "text_key", "n", matches.count())
-    free = F.filter(F.coalesce("added", F.array().cast(kind)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return rows.select("doc_id", "text_key", "base", F.concat("base", free).alias("spans"))
+    return rows.select("doc_id", "text_key", "base", F.concat("base", F.coalesce("added", F.array().cast(kind))).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:

@@ -267,3 +267,48 @@ def test_viterbi_matches_enumeration():
         scores, moves = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
         value = lambda p: moves[0, p[0]] + sum(scores[k, t] for k, t in enumerate(p)) + sum(moves[a, b] for a, b in itertools.pairwise(p)) + moves[p[-1], 0]  # noqa: B023, E731
         assert tuple(secrets.viterbi(scores, moves)) == max(itertools.product(range(3), repeat=5), key=value)
+
+
+def test_entities_of_the_same_texts_count_once(spark):
+    """A contact list of 8,000 addresses, twice in the table: rows of words grow with its words, not with words times addresses; one minute."""
+    import time
+
+    contacts = " ".join(f"name{k} mail{k}x@host{k % 50}.example" for k in range(8000))
+    texts = [(1, contacts), (2, contacts)] + [(10 + k, f"other words{k} here and there") for k in range(38)]
+    df = docs(spark, texts)
+    matches = pii.base_matches(df)
+    held = pii.holders(matches, pii.base_spans(matches))
+    pairs = pii.held_words(matches, held).selectExpr("sum(size(found))", "count(*)").first()
+    assert pairs[0] <= 2 * pairs[1], "words times entities of one text"
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    assert time.time() - began < 60
+    assert len(got[1].base) == 8000 and got[1].spans == got[2].spans and [s.kind for s in got[1].spans].count(4) == 8000
+
+
+def test_grouped_entities_find_the_terms_of_each(spark):
+    """Random texts over few addresses: terms are those of a plain count of every pair of entity and term."""
+    rng = random.Random(6)
+    people = [f"p{k}@h{k % 3}.org" for k in range(12)]
+    texts = []
+    for k in range(150):
+        some = rng.sample(range(12), rng.choice([0, 1, 1, 2, 4]))
+        texts.append((k, " ".join([w for p in some for w in (people[p], f"nick{p}", f"pair{p // 2}")] + rng.sample(["alpha", "beta", "gamma", "delta", "rare%d" % (k // 2)], 3))))
+    texts += texts[:20]
+    n = len(texts)
+    held = [({e for m in re.finditer(r"[a-z0-9]+@([a-z0-9]+\.org)", t) for e in ((m[0], 0), (m[1], 1))}, {w for w in re.findall(r"[^\W_]+", t) if w[0].isalpha()}) for _, t in texts]
+    count_e, count_t, both = Counter(), Counter(), Counter()
+    for es, ws in held:
+        count_e.update(es)
+        count_t.update(ws)
+        both.update((e, w) for e in es for w in ws)
+    told = {(e, w) for (e, w), b in both.items() if b >= pii.MIN_DOCS + e[1] and count_e[e] >= pii.MIN_DOCS + e[1] and count_e[e] < n and count_t[w] <= b * (n / count_e[e]) ** (1 - pii.ALPHA) * (1 + 1e-12)}
+    got = pii.find_personal_data(docs(spark, texts)).collect()
+    assert len(got) == n
+    want = []
+    for (i, text), (es, _) in zip(texts, held, strict=True):
+        bases = [(s, e) for k, s, e in base(text)]
+        terms = {w for e, w in told if e in es}
+        want.append((i, sorted((m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in terms and not any(s < m.end() and m.start() < e for s, e in bases))))
+    assert sorted((r.doc_id, sorted((s.start, s.stop) for s in r.spans if s.kind == 4)) for r in got) == sorted(want)
+    assert sum(map(len, (w for _, w in want))) > 100
