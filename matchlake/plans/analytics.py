@@ -401,6 +401,28 @@ def c28_c30_effects(x: Tables) -> DataFrame:
     return causal.agreement(causal.estimate_effects(rows, ["lang"], ["size", "noise"], "toxic", "quality", "doc_id"))
 
 
+_VERDICT = """CASE WHEN count(*) < 15 THEN 'thin' WHEN avg(l_discount) > 0.052 THEN 'no_overlap' WHEN avg(l_tax) > 0.041 THEN 'contradict' WHEN avg(l_quantity) < 25.2 THEN 'weak' ELSE 'accept' END"""
+
+
+@query(f"""WITH v AS (SELECT l_returnflag, l_suppkey % 25 AS band, {_VERDICT} AS verdict FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, count(*) FILTER (verdict = 'accept') AS n_accepted, count(*) FILTER (verdict <> 'accept') AS n_rejected, round(avg((verdict = 'no_overlap')::INT), 6) AS overlap_fail_rate, count(DISTINCT band) FILTER (verdict = 'accept') AS n_bands, count(DISTINCT band) FILTER (verdict = 'accept') >= 2 AS passes FROM v GROUP BY l_returnflag""")
+def c30_a31_gate(x: Tables) -> DataFrame:
+    """How many groups of each kind are accepted, and whether in two bands or more."""
+    verdicts = x.lineitem.groupBy("l_returnflag", (F.col("l_suppkey") % 25).alias("band")).agg(F.expr(_VERDICT).alias("verdict"))
+    return causal.gate(verdicts, "l_returnflag", "band").withColumn("overlap_fail_rate", F.round("overlap_fail_rate", 6))
+
+
+@query()
+def c31_rank_probe(x: Tables) -> DataFrame:
+    """How well a label of the embeddings can be read off all of a vector, its first half, and four of its components."""
+    from matchlake.operators.probe import rank_probe
+
+    rows = x.embeddings.filter("label < 4")
+    views = {"whole": F.col("embedding"), "half": F.slice("embedding", 1, 32), "four": F.slice("embedding", 1, 4)}
+    found = [(name, rank_probe(rows.withColumn("_view", v), "vec_id", "_view", "label")) for name, v in views.items()]
+    return x.spark.createDataFrame(found, "view string, auc double")
+
+
 def _streamed(x: Tables, plan, mode: str = "append") -> DataFrame:
     """The rows that a stream over the events files gives when it drains, kept in the shared folder."""
     from matchlake.sources.scratch import fresh_path

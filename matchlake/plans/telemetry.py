@@ -152,6 +152,24 @@ def c6_key_moments(x: Tables) -> DataFrame:
     return _rounded(teamstate.key_moments(vectors, concepts), "impact_score")
 
 
+_PLAIN = teamstate.LEARNED[:-1]  # whole numbers: the spread is a mean of roots, whose last digits depend on the order of rows
+_SAY = {f: (*teamstate.MEANING.get(f, (f.replace("_", " ").title(), "general", "all")), f"This measures {f.replace('_', ' ')}.") for f in _PLAIN}
+
+
+@query(f"""WITH {_ALL}, {_STATES}, {_VECTORS}, t5 AS (SELECT won AS y, unnest({list(_PLAIN)}) AS f, unnest([{", ".join(f"{f}::DOUBLE" for f in _PLAIN)}]) AS v FROM v),
+r5 AS (SELECT f, min(v) AS low, max(v) AS high FROM t5 WHERE v IS NOT NULL GROUP BY f),
+c5 AS (SELECT f, CASE WHEN high > low THEN least(floor((v - low) / ((high - low) / 32)), 31) ELSE 0 END AS cell, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS w FROM t5 JOIN r5 USING (f) GROUP BY ALL),
+u5 AS (SELECT f, sum(n) OVER o AS n1, sum(w) OVER o AS w1, sum(n) OVER (PARTITION BY f) AS n, sum(w) OVER (PARTITION BY f) AS w FROM c5 WINDOW o AS (PARTITION BY f ORDER BY cell ROWS UNBOUNDED PRECEDING)),
+g5 AS (SELECT f, coalesce(max(CASE WHEN n1 < n THEN 2 * (w / n) * (1 - w / n) - n1 / n * 2 * (w1 / n1) * (1 - w1 / n1) - (n - n1) / n * 2 * ((w - w1) / (n - n1)) * (1 - (w - w1) / (n - n1)) END), 0) AS gain FROM u5 GROUP BY f),
+h5 AS (SELECT f, greatest(gain, 0) / (SELECT sum(greatest(gain, 0)) FROM g5) AS importance FROM g5)
+SELECT 'concept_' || f AS concept_id, CASE f {" ".join(f"WHEN '{f}' THEN '{m[0]}'" for f, m in _SAY.items())} END AS name, CASE f {" ".join(f"WHEN '{f}' THEN '{m[3]}'" for f, m in _SAY.items())} END AS explanation, f AS feature_key, round(importance, 6) AS importance,
+ CASE f {" ".join(f"WHEN '{f}' THEN '{m[2]}'" for f, m in _SAY.items())} END AS game_phase, CASE f {" ".join(f"WHEN '{f}' THEN '{m[1]}'" for f, m in _SAY.items())} END AS category FROM h5 WHERE importance >= 0.01""")
+def c5_concepts(x: Tables) -> DataFrame:
+    """What tells winners from losers: each feature's share of the impurity that one cut removes."""
+    vectors = teamstate.feature_vectors(teamstate.game_states(frames(x), events(x)), games(x))
+    return _rounded(teamstate.concepts_by_impurity(vectors, list(_PLAIN)), "importance")
+
+
 _ROLL = """roll AS (SELECT puuid, match_id, min(team_id) AS team_id, min(role) AS role, count(*) FILTER (timestamp_ms BETWEEN 540000 AND 660000) AS window_10_rows,
  sum(CASE WHEN timestamp_ms BETWEEN 540000 AND 660000 THEN (kills + assists) / greatest(deaths, 1) ELSE 0 END) AS kda_10_sum, sum(CASE WHEN timestamp_ms BETWEEN 540000 AND 660000 THEN cs ELSE 0 END) AS cs_10_sum,
  sum(CASE WHEN timestamp_ms BETWEEN 540000 AND 660000 THEN total_gold ELSE 0 END) AS total_gold_10_sum, sum(CASE WHEN timestamp_ms BETWEEN 540000 AND 660000 THEN ward_count ELSE 0 END) AS ward_count_10_sum FROM fr GROUP BY puuid, match_id)"""
