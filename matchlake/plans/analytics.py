@@ -84,6 +84,16 @@ def t4_nearest(x: Tables) -> DataFrame:
     return _neighbours(x, 16)[0].withColumn("distance", F.round("distance", 6))
 
 
+@query(f"WITH {_TOP} SELECT query_id, row_id, rank::INT AS rank, round(d, 6) AS distance FROM t WHERE rank <= 16")
+def t4_s16_pruned_nearest(x: Tables) -> DataFrame:
+    """The same search over blocks that a pivot table rules out where it can."""
+    from matchlake.operators.pruned import nearest
+
+    corpus = x.embeddings.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("key"), F.col("vec_id").alias("own"))
+    asks = corpus.filter("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+    return nearest(asks, corpus, 16, exclude=("own", "own")).withColumn("distance", F.round("distance", 6))
+
+
 @query(f"""WITH {_TOP}, r AS (SELECT query_id, k, count(*) AS size, avg((cl < 5)::INT) AS p FROM t, (VALUES (16), (32), (64)) v(k) WHERE rank <= k GROUP BY ALL)
 SELECT query_id, k, size, round(p, 8) AS rate, round(CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * log2(p) + (1 - p) * log2(1 - p)) END, 8) AS entropy FROM r""")
 def t15_a16_cohort_sweep(x: Tables) -> DataFrame:
