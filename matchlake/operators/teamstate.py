@@ -153,7 +153,7 @@ def key_moments(vectors: DataFrame, concepts: DataFrame, keep_all_teams: bool =
     names = F.array(*(F.lit(c) for c in keys))
     values = F.array(*(F.col(c).cast("double") for c in keys))
     tall = vectors.select("match_id", "timestamp_ms", "team_id", "minutes", F.explode(F.arrays_zip(names.alias("feature_key"), values.alias("value"))).alias("f")).select("match_id", "timestamp_ms", "team_id", "minutes", F.col("f.feature_key").alias("feature_key"), F.col("f.value").alias("value"))
-    rows = tall.join(F.broadcast(concepts), "feature_key")
+    rows = tall.join(concepts, "feature_key")
     delta = F.col("value") - F.lag("value").over(Window.partitionBy("match_id", "team_id", "feature_key").orderBy("timestamp_ms"))
     least = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in THRESHOLDS.items() for x in p)), F.col("feature_key")), F.lit(DEFAULT_THRESHOLD))
     rows = rows.withColumn("delta", delta).filter(F.abs("delta") >= least)

@@ -31,7 +31,7 @@ def player_review(frames: DataFrame, games: DataFrame, moments: DataFrame, conce
     The second counts moments times the player's frames of that match, as the stored queries do (J3).
     """
     mine = recent_games(frames, games, puuid)
-    known = moments.join(F.broadcast(concepts.select("concept_id", F.col("name").alias("concept_name"), "importance", "category")), "concept_id")
+    known = moments.join(concepts.select("concept_id", F.col("name").alias("concept_name"), "importance", "category"), "concept_id")
     top = per_group(known, ["match_id", "team_id"], [F.desc("impact_score"), "timestamp_ms", "concept_id"], 5)
     nested = top.groupBy("match_id", "team_id").agg(F.array_sort(F.collect_list(F.struct("rank", "timestamp_ms", "concept_id", "concept_name", "description", "impact_score"))).alias("moments"))
     own = frames.filter(F.col("puuid") == puuid).select("match_id", "team_id")
@@ -46,7 +46,7 @@ def game_review(games: DataFrame, frames: DataFrame, events: DataFrame, moments:
     of = lambda df: df.filter(F.col("match_id") == match_id)
     rows = of(frames).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("timestamp_ms", "participant_slot", "team_id", "total_gold", "cs", "kills", "deaths", "assists", "pos_x", "pos_y"))).alias("frames"))
     big = of(events).filter(F.col("event_type").isin("CHAMPION_KILL", "ELITE_MONSTER_KILL", "BUILDING_KILL")).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("timestamp_ms", "event_type", "killer_id", "victim_id", "team_id"))).alias("events"))
-    told = of(moments).join(F.broadcast(concepts.select("concept_id", F.col("name").alias("concept_name"))), "concept_id").groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("timestamp_ms", "concept_id", "team_id", "concept_name", "description", "impact_score"))).alias("moments"))
+    told = of(moments).join(concepts.select("concept_id", F.col("name").alias("concept_name")), "concept_id").groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("timestamp_ms", "concept_id", "team_id", "concept_name", "description", "impact_score"))).alias("moments"))
     return game.join(rows, "match_id", "left").join(big, "match_id", "left").join(told, "match_id", "left")
 
 

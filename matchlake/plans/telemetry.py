@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from matchlake import schemas
 from matchlake.operators import players, static, teamstate, tokens, topk, upsert
 from matchlake.plans import engine, review
-from matchlake.plans.registry import Tables, query
+from matchlake.plans.registry import SQL, Tables, query
 from matchlake.sources import files, matches
 
 FRAMES, SLOTS, EVENTS = 12, 10, 24
@@ -506,6 +506,31 @@ def c34_s19_game_reply(x: Tables) -> DataFrame:
     return d.select("game.match_id", "team_id", "won", "role", F.when(F.col("frames").isNotNull(), F.size("frames")).cast("long").alias("n_frames"), F.when(F.col("objectives").isNotNull(), F.size("objectives")).cast("long").alias("n_objectives"), "error")
 
 
+_WHO = "(SELECT puuid FROM fr WHERE match_id = (SELECT min(match_id) FROM g) AND participant_slot = 3 LIMIT 1)"
+
+
+@query(f"""WITH {_G}, {_FR}, km AS ({SQL["c6_key_moments"]}), c(concept_id, importance) AS (VALUES ('c_gold', 0.5), ('c_kill', 300.0), ('c_tower', 200.0)),
+mine AS (SELECT DISTINCT match_id, f.team_id, f.role, winning_team, created_at FROM fr f JOIN g USING (match_id) WHERE puuid = {_WHO} ORDER BY created_at DESC, match_id LIMIT 20),
+top AS (SELECT match_id, team_id, concept_id, impact_score, row_number() OVER (PARTITION BY match_id, team_id ORDER BY impact_score DESC, timestamp_ms, concept_id) AS place FROM km),
+own AS (SELECT match_id, team_id FROM fr WHERE puuid = {_WHO}),
+w AS (SELECT concept_id, count(*) AS n, any_value(importance) * count(*) AS weight FROM km JOIN own USING (match_id, team_id) JOIN c USING (concept_id) GROUP BY concept_id ORDER BY weight DESC, concept_id LIMIT 5)
+SELECT mine.match_id, mine.team_id, role, winning_team = mine.team_id AS won, count(place) AS n_moments, max(concept_id) FILTER (place = 1) AS concept_id, round(max(impact_score) FILTER (place = 1), 4) AS impact, NULL::BIGINT AS n_rows
+FROM mine LEFT JOIN top ON top.match_id = mine.match_id AND top.team_id = mine.team_id AND place <= 5 GROUP BY ALL
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, concept_id, round(weight, 4), n FROM w""")
+def c34_review_reply(x: Tables) -> DataFrame:
+    """The reply to a player's review, read back from its JSON: recent games with their largest moment, then the weightiest concepts."""
+    concepts = x.spark.createDataFrame(list(_CONCEPTS), schemas.table("concepts"))
+    tables = {"players": _players(x), "games": games(x), "frames": frames(x), "events": events(x), "concepts": concepts, "key_moments": c6_key_moments(x).drop("place")}
+    one = games(x).agg(F.min("match_id")).first()[0]
+    who = frames(x).filter((F.col("match_id") == one) & (F.col("participant_slot") == 3)).first().puuid
+    answer = review.reply(tables, {"action": "review", "puuid": who})
+    shape = "games array<struct<match_id:string,team_id:int,role:string,won:boolean,moments:array<struct<rank:int,concept_id:string,impact_score:double>>>>, concepts array<struct<concept_id:string,weight:double,n:bigint>>"
+    d = x.spark.createDataFrame([(answer,)], "j string").select(F.from_json("j", shape).alias("d"))
+    played = d.select(F.explode("d.games").alias("g")).select("g.match_id", "g.team_id", "g.role", "g.won", F.size("g.moments").cast("long").alias("n_moments"), F.get("g.moments", F.lit(0))["concept_id"].alias("concept_id"), F.round(F.get("g.moments", F.lit(0))["impact_score"], 4).alias("impact"), F.lit(None).cast("long").alias("n_rows"))
+    heavy = d.select(F.explode("d.concepts").alias("c")).select("c.concept_id", F.round("c.weight", 4).alias("impact"), F.col("c.n").alias("n_rows"))
+    return played.unionByName(heavy, allowMissingColumns=True)
+
+
 @query(f"WITH {_G}, {_FR}, {_PLAYERS} SELECT DISTINCT tier AS band, match_id FROM fr JOIN pl USING (puuid) WHERE tier IN ('GOLD', 'IRON')")
 def j6_tier_matches(x: Tables) -> DataFrame:
     ranked = _players(x).filter(F.col("rank_tier").isin("GOLD", "IRON")).withColumnRenamed("rank_tier", "band")
