@@ -121,7 +121,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition | None) -> Iterator[tuple]:
         if partition is None:  # Spark makes one of no partitions
             return
-        o, page, seen = self.options, partition.start, 0
+        o, page, seen, before = self.options, partition.start, 0, None
         headers = {k.removeprefix("header."): v for k, v in o.items() if k.startswith("header.")}
         while partition.stop is None or page < partition.stop:
             got = fetch_json(o["url"].format(scope=partition.scope, page=page), headers, wait_s=float(o.get("wait_s", 1.0)), shared=o.get("backoff"))
@@ -131,7 +131,9 @@ class _Reader(DataSourceReader):
             for row in rows:
                 yield partition.scope, page, json.dumps(row, sort_keys=True)
             seen += len(rows)
-            if "total" in o and partition.start == self.first and seen >= int(got[o["total"]]):
+            if before is None:  # pages before this range are as long as its first, or longer if that is the last
+                before = (partition.start - self.first) * len(rows)
+            if "total" in o and before + seen >= int(got[o["total"]]):
                 return
             page += 1
 

@@ -54,6 +54,9 @@ def test_pages_until_empty_until_total_and_by_range(spark, server):
     assert ids(read(url=root + "/list/{scope}/{page}")) == want and asked["/list/kr/6"] >= 1
     assert ids(read(url=root + "/total/{scope}/{page}", rows="data", total="recordsTotal")) == want
     assert asked["/total/kr/6"] == 0 and asked["/total/na/3"] == 0  # the total says when to stop
+    asked.clear()
+    assert ids(read(url=root + "/total/{scope}/{page}", rows="data", total="recordsTotal", pages="8", per_task="2")) == want
+    assert asked["/total/kr/5"] == 1 and asked["/total/kr/6"] == 0 and asked["/total/na/3"] == 1 and asked["/total/na/4"] == 0  # in every range
     ranged = read(url=root + "/range/{scope}/{page}", pages="6", per_task="2")
     assert ranged.rdd.getNumPartitions() == 9 and ids(ranged) == want
 
