@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from matchlake.functions.scalars import route_of
 from matchlake.operators import teamstate
 
 
-def process_all(frames: DataFrame, events: DataFrame, games: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def process_all(frames: DataFrame, events: DataFrame, games: DataFrame, discover: Callable[[DataFrame, list[str]], DataFrame] = teamstate.discover_concepts) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Feature vectors, concepts and key moments. One plan for all matches; no loop over matches."""
     vectors = teamstate.feature_vectors(teamstate.game_states(frames, events), games)
-    concepts = teamstate.discover_concepts(vectors, list(teamstate.LEARNED))
+    concepts = discover(vectors, list(teamstate.LEARNED))
     return vectors, concepts, teamstate.key_moments(vectors, concepts)
 
 

@@ -170,6 +170,21 @@ def c5_concepts(x: Tables) -> DataFrame:
     return _rounded(teamstate.concepts_by_impurity(vectors, list(_PLAIN)), "importance")
 
 
+_LEAST = " ".join(f"WHEN '{f}' THEN {t}" for f, t in teamstate.THRESHOLDS.items())
+
+
+@query(f"""WITH {_ALL}, {_STATES}, {_VECTORS}, c AS (SELECT concept_id, lower(name) AS name, explanation, feature_key AS key, importance, CASE feature_key {_LEAST} ELSE {teamstate.DEFAULT_THRESHOLD} END AS least FROM ({SQL["c5_concepts"]})),
+d AS (SELECT v.match_id, v.timestamp_ms, v.team_id, c.*, CASE key {" ".join(f"WHEN '{f}' THEN {f}" for f in _PLAIN)} END AS now FROM v, c),
+l AS ({SQL["c6_key_moments"].split(chr(10) + "l AS (")[1]}""")
+def c7_process_all(x: Tables) -> DataFrame:
+    """Key moments of all matches by the concepts that all matches give, in one job."""
+
+    def discover(vectors: DataFrame, features: list[str]) -> DataFrame:
+        return _rounded(teamstate.concepts_by_impurity(vectors, [f for f in features if f in _PLAIN]), "importance")
+
+    return _rounded(engine.process_all(frames(x), events(x), games(x), discover)[2], "impact_score")
+
+
 _ROLL = """roll AS (SELECT puuid, match_id, min(team_id) AS team_id, min(role) AS role, count(*) FILTER (timestamp_ms BETWEEN 540000 AND 660000) AS window_10_rows,
  sum(CASE WHEN timestamp_ms BETWEEN 540000 AND 660000 THEN (kills + assists) / greatest(deaths, 1) ELSE 0 END) AS kda_10_sum, sum(CASE WHEN timestamp_ms BETWEEN 540000 AND 660000 THEN cs ELSE 0 END) AS cs_10_sum,
  sum(CASE WHEN timestamp_ms BETWEEN 540000 AND 660000 THEN total_gold ELSE 0 END) AS total_gold_10_sum, sum(CASE WHEN timestamp_ms BETWEEN 540000 AND 660000 THEN ward_count ELSE 0 END) AS ward_count_10_sum FROM fr GROUP BY puuid, match_id)"""

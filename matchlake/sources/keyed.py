@@ -4,6 +4,9 @@ A merge finds the partitions of the batch's keys, reads these alone (the scan is
 partition overwrite: new files are staged, and take the old ones' places when the job commits). All others keep their files. A key
 is always in the same partition, so a merge is a join of few partitions, however large the table.
 
+Tasks and executors may be lost at any time: their files are staged. The commit itself removes a partition's old files and then moves the new
+ones in; a driver that dies between the two leaves that partition in the staging folder (.spark-staging-*) of the table, from which it must be moved.
+
 The number of partitions is part of the folder's layout (_of=64/_part=7), so a table knows its own.
 """
 

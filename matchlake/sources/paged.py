@@ -38,7 +38,7 @@ def _shared_wait(folder: str, host: str) -> float:
 
 def _share(folder: str, host: str, until: float) -> None:
     system, at = _shared(folder, host)
-    system.create_dir(folder if "://" not in folder else at.rpartition("/")[0], recursive=True)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
     with system.open_output_stream(at) as f:
         f.write(b"%.3f" % until)
 
