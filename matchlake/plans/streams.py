@@ -48,6 +48,17 @@ def r8_stream_cooldown(x: Tables) -> DataFrame:
     return out.select("user_id", F.unix_micros("ts").alias("us"))
 
 
+@query("""WITH g AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 12 HOURS AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT event_id, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS window_id FROM s""")
+def r6_stream_anchor_windows(x: Tables) -> DataFrame:
+    """Anchor windows of a stream, begun anew after twelve silent hours."""
+    from matchlake.streaming.expiring import anchor_windows
+
+    rows = lambda e: e.select("user_id", "event_id", "ts", (F.col("event_type") == "signup").alias("is_anchor"))
+    return _drained(x, lambda e: anchor_windows(rows(e), "user_id", "ts", ["ts", "event_id"], "is_anchor", 12), "append").select("event_id", "window_id")
+
+
 @query("SELECT event_id, event_id % 5 AS score, 4 - event_id % 5 AS batch FROM events")
 def s10_r1_queue_stream(x: Tables) -> DataFrame:
     """Events in a queue by score, drained a file at a time: the batch in which each came."""

@@ -1,4 +1,4 @@
-"""Folds with state that expires: a key that is silent for long enough in event time leaves no state behind.
+"""Folds with state that expires: a key that is silent for long enough in event time leaves no state behind.
 
 Each key's state has a timer at the time when it stops to matter; the watermark sets it off, and the state goes. State needs Spark's RocksDB store
 (with_timers() sets it) and the engine's clock is the rows' own, so that a replay gives the same rows.
@@ -94,6 +94,28 @@ class _Cooldown(_Expiring):
         yield frame.iloc[passed]
 
 
+class _Anchors(_Expiring):
+    FIELDS = "n long, last_ms long"
+
+    def __init__(self, key: str, ts: str, order: list[str], flag: str, keep_ms: int):
+        super().__init__(key, ts, keep_ms)
+        self.order, self.flag = order, flag
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
+        at, one = _millis(frame[self.ts]), frame[self.flag].fillna(False).astype("int64")
+        n, last = self.state.get() if self.state.exists() else (0, None)
+        before = at.shift(1)
+        if last is not None:
+            before.iloc[0] = last
+        count = n + one.cumsum()
+        # what was counted up to the last long silence is taken off
+        off = (count - one).where(at - before > self.keep_ms).ffill().fillna(0).astype("int64")
+        last = max(int(at.iloc[-1]), last if last is not None else int(at.iloc[-1]))
+        self.keep((int(count.iloc[-1] - off.iloc[-1]), last), last)
+        yield frame.assign(window_id=count - off)
+
+
 def _run(stream: DataFrame, key: str, ts: str, late: str, processor: _Expiring, schema: str, mode: str) -> DataFrame:
     return stream.withWatermark(ts, late).groupBy(key).transformWithStateInPandas(processor, schema, mode, "EventTime")
 
@@ -108,3 +130,12 @@ def cooled_down(stream: DataFrame, key: str, ts: str, hours: float = 24, late: s
     """Rows that come some hours or more after the key's last row let through."""
     schema = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes)
     return _run(stream, key, ts, late, _Cooldown(key, ts, int(hours * 3_600_000)), schema, "Append")
+
+
+def anchor_windows(stream: DataFrame, key: str, ts: str, order: list[str], flag: str, hours: float = 24, late: str = "1 hour") -> DataFrame:
+    """Rows with window_id, the number of the key's flagged rows up to the row since the key was last silent for more than some hours.
+
+    Rows count in the order in which batches bring them, and by order within a batch.
+    """
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in stream.dtypes), "window_id long"])
+    return _run(stream, key, ts, late, _Anchors(key, ts, order, flag, int(hours * 3_600_000)), schema, "Append")

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from matchlake.operators import upsert as u
-from matchlake.plans import merges
-from matchlake.plans.registry import QUERIES, SQL
 from matchlake.sources.keyed import KeyedTable, merge_sink
-from tests.conftest import duck, rows_of
+from tests.conftest import rows_of
 
 RULE = {"v": "keep", "n": "greatest"}
 
@@ -65,9 +62,3 @@ def test_null_keys_and_new_partitions(spark, tmp_path):
     table = KeyedTable.create(old, str(tmp_path / "t"), ["k"], 4)
     table.merge(spark.createDataFrame([(k, "c") for k in range(2, 9)], "k long, v string"), lambda a, b: u.append(a, b))
     assert table.read().count() == 9 and table.read().filter("k IS NULL").first().v == "a"
-
-
-@pytest.mark.parametrize("name", ["k2_k7_partition_merge", "k1_partition_merge", "k8_r3_stream_merge"])
-def test_merge_sql(spark, name):
-    sf = "/root/testdata/sf0.001"
-    assert merges and rows_of(QUERIES[name](spark, sf).toPandas()) == rows_of(duck(sf).sql(SQL[name]).df())

@@ -4,15 +4,10 @@ from __future__ import annotations
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from matchlake.operators import bitmaps, joins, trigrams
-from matchlake.plans import lookups
-from matchlake.plans.registry import QUERIES, SQL
-from tests.conftest import duck, rows_of
-
-SF = "/root/testdata/sf0.001"
+from tests.conftest import rows_of
 
 
 def names(n: int, seed: int):
@@ -86,9 +81,3 @@ def test_new_keys_do_not_shuffle(spark):
         assert shuffled_rows(quick) < 0.2 * plain, plain
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
-
-
-@pytest.mark.parametrize("name", ["p4_c34_search_index", "s20_o3_bitmap_anti", "j4_bitmap_semi", "k1_bitmap_insert"])
-def test_lookup_sql(spark, name):
-    want = duck(SF).sql(SQL[name]).df()
-    assert lookups and rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(want) and len(want)

@@ -6,9 +6,7 @@ import numpy as np
 import pytest
 
 from matchlake.operators import knn, pruned
-from matchlake.plans import analytics
-from matchlake.plans.registry import QUERIES, SQL
-from tests.conftest import duck, rows_of
+from tests.conftest import rows_of
 
 
 def corpus(spark, n, spread, seed):
@@ -35,8 +33,3 @@ def test_odd_sides(spark):
     asks = df.filter("row_id < 3").withColumnRenamed("row_id", "query_id")
     assert pruned.nearest(asks, df.limit(0), 3).count() == 0 and pruned.nearest(asks.limit(0), df, 3).count() == 0
     assert rows_of(pruned.nearest(asks, df, 100).toPandas()) == rows_of(knn.nearest(asks, df, 100).toPandas())
-
-
-def test_pruned_sql(spark):
-    sf = "/root/testdata/sf0.001"
-    assert analytics and rows_of(QUERIES["t4_s16_pruned_nearest"](spark, sf).toPandas()) == rows_of(duck(sf).sql(SQL["t4_s16_pruned_nearest"]).df())

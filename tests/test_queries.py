@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from matchlake.plans import analytics, more, ordered, relational, telemetry  # noqa: F401
+from matchlake.plans import analytics, lookups, merges, more, ordered, relational, skewed, streams, telemetry  # noqa: F401
 from matchlake.plans.registry import QUERIES, SQL
 from tests.conftest import duck, rows_of
 

@@ -118,11 +118,15 @@ def test_cooldown_forgets(spark, tmp_path, timers):
     assert state_rows(spark, state) == {k for k, at in last.items() if at + timedelta(hours=6) > end}
 
 
-@pytest.mark.parametrize("name", ["r7_stream_expiring_totals", "r8_stream_cooldown", "s10_r1_queue_stream"])
-def test_stream_sql(spark, name):
-    from matchlake.plans import streams
-    from matchlake.plans.registry import QUERIES, SQL
-    from tests.conftest import duck, rows_of
-
-    sf = "/root/testdata/sf0.001"
-    assert streams and rows_of(QUERIES[name](spark, sf).toPandas()) == rows_of(duck(sf).sql(SQL[name]).df())
+def test_anchor_windows_go_on_over_batches(spark, tmp_path, timers):
+    rows, out, state = events(300, 5), {}, str(tmp_path / "state")
+    source = feed(spark, str(tmp_path / "in"), rows, 4).withColumn("flag", F.col("v") == 2)
+    drain(expiring.anchor_windows(source, "k", "ts", ["ts", "i"], "flag", 10), lambda df, n: out.update({r.i: r.window_id for r in df.collect()}), state)
+    held, want = {}, {}
+    for k, at, i, v in rows:
+        n, last = held.get(k, (0, at))
+        n = (0 if at - last > timedelta(hours=10) else n) + (v == 2)
+        held[k], want[i] = (n, at), n
+    assert out == want
+    end = max(r[1] for r in rows) - timedelta(hours=1)
+    assert state_rows(spark, state) == {k for k, (_, at) in held.items() if at + timedelta(hours=10) > end}
