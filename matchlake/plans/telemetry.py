@@ -15,6 +15,8 @@ from matchlake.plans.registry import SQL, Tables, query
 from matchlake.sources import files, matches
 
 FRAMES, SLOTS, EVENTS = 12, 10, 24
+#: Matches that one task derives, about.
+MATCHES = 500
 
 MATCH = "CASE m % 3 WHEN 0 THEN 'NA1_' WHEN 1 THEN 'KR_' ELSE 'EUW1_' END || m"
 GAME = {
@@ -80,14 +82,21 @@ _ALL = f"{_G}, {_FR}, {_EV}"
 
 
 def _suppliers(x: Tables) -> DataFrame:
-    return x.supplier.select(F.col("s_suppkey").alias("m"))
+    """m and match_id, dealt by match in proportion to their number: one small file would else make all frames in one task."""
+    rows = x.supplier.select(F.col("s_suppkey").alias("m")).select("m", F.expr(MATCH).alias("match_id"))
+    return rows.repartition(max(1, -(-x.supplier.count() // MATCHES)), "match_id")
+
+
+def _each(df: DataFrame, name: str, start: int, end: int) -> DataFrame:
+    """df with each number of a range. By a join, whose size Spark takes as the product of its sides; exploded rows count as one, and Spark would broadcast all frames for a small table."""
+    return df.crossJoin(df.sparkSession.range(start, end, 1, 1).select(F.col("id").cast("int").alias(name)))
 
 
 def _typed(df: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
     """The named table's columns, in its types; those without an expression are empty."""
     cells = []
     for field in schemas.table(name).fields:
-        cell = F.expr(columns[field.name]) if field.name in columns else F.array().cast("array<int>") if field.name == "item_ids" else F.lit(None)
+        cell = F.col(field.name) if field.name in df.columns else F.expr(columns[field.name]) if field.name in columns else F.array().cast("array<int>") if field.name == "item_ids" else F.lit(None)
         cells.append(cell.cast(field.dataType).alias(field.name))
     return df.select(*cells)
 
@@ -97,12 +106,11 @@ def games(x: Tables) -> DataFrame:
 
 
 def frames(x: Tables) -> DataFrame:
-    rows = _suppliers(x).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1)))).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(SLOTS))))
-    return _typed(rows, "frames", FRAME)
+    return _typed(_each(_each(_suppliers(x), "f", 0, FRAMES), "s", 1, SLOTS + 1), "frames", FRAME)
 
 
 def _numbered(x: Tables) -> DataFrame:
-    return _suppliers(x).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(EVENTS - 1))))
+    return _each(_suppliers(x), "k", 0, EVENTS)
 
 
 def events(x: Tables) -> DataFrame:

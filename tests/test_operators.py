@@ -365,3 +365,17 @@ def test_hedges_and_labels(spark):
 
     row = spark.range(1).select(s.hedged(F.lit(" The fight goes your way "), F.lit("strong")).alias("a"), s.size_label(F.lit(16)).alias("b"), s.tier_band(F.lit(6)).alias("c"), s.band_distance(F.lit(-1), F.lit(2)).alias("d"), s.route_of(F.lit("KR_123")).alias("e"), s.route_of(F.lit("zz_1")).alias("f"), s.shifted_label(F.lit(8)).alias("g"), s.unshifted_label(F.lit(1)).alias("h"), s.remove_first(F.array(F.lit(1), F.lit(2), F.lit(1)), F.lit(1)).alias("i"), s.clamp(F.lit(None).cast("int"), 0, 1).alias("j"), s.symmetric_gaussian_kl(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(1.0)).alias("k")).first()
     assert tuple(row) == ("In most cohort games, the fight goes your way.", "16 near-neighbors", 2, 4, "asia", "americas", 1, 8, [2, 1], None, 0.0)
+
+
+def test_derived_match_tables_are_dealt_and_not_taken_for_small(spark, tmp_path):
+    """Frames of many matches are made in many tasks, and their size isn't that of the suppliers' file, for which Spark would broadcast them."""
+    from matchlake.plans import telemetry
+    from matchlake.plans.registry import QUERIES, Tables
+
+    spark.range(2_000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    frames = telemetry.frames(Tables(spark, str(tmp_path)))
+    each = frames.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in each) == 240_000 and len(each) > 2 and max(r["count"] for r in each) < 120_000
+    for name in ("c10_token_stream", "c13_engages"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
