@@ -51,3 +51,33 @@ def test_random_cohorts_reach_every_row(spark):
     few = topk.random_per_query(asks.limit(5), df.limit(6), "query_id", "row_id", 20, 3).groupBy("query_id").count().collect()
     assert all(r["count"] == 5 for r in few)
     assert topk.random_per_query(asks, df.limit(0), "query_id", "row_id", 20, 3).count() == 0
+
+
+def test_a_full_pair_of_blocks_takes_little_memory(spark, monkeypatch):
+    """What a task does with the largest blocks, run here: a matrix of all their distances alone would be 134 MB."""
+    import tracemalloc
+
+    import pandas as pd
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    held = []
+    apply = PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda self, f, schema: held.append(f) or apply(self, f, schema))
+    df, _ = corpus(spark)
+    asks = df.withColumnRenamed("row_id", "query_id")
+    knn.nearest(asks, df, 4)
+    knn.nearest_in_bands(asks, df, 4)
+    rng = np.random.default_rng(5)
+
+    def block(n):
+        return pd.DataFrame({"_id": np.arange(n), "_vec": list(rng.normal(size=(n, 4)).astype(np.float32)), "_x": np.arange(n), "_band": np.arange(n) % 5 - 1, "_grp": np.arange(n) % 7})
+
+    a, b = block(knn.QUERY_BLOCK), block(knn.CORPUS_BLOCK)
+    for meet in held:
+        tracemalloc.start()
+        out = meet(a, b)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) >= 4 * len(a) and peak < 100e6
+        few = meet(a.tail(3), b)  # a strip of its own gives the rows that it gives among others
+        assert few.sort_values(list(few.columns)).reset_index(drop=True).equals(out[out["q"].isin(few["q"])].sort_values(list(few.columns)).reset_index(drop=True))
