@@ -1,17 +1,23 @@
-"""Packing rows into batches under budgets, without a loop over rows and without a key in one task.
+"""Packing rows into batches under budgets, without a large key in one task.
 
-Where a batch that begins at a row ends depends on that row alone: at the last row up to which count times largest size fits every
+A key of up to `rows` rows moves once: its rows are numbered by a window, which leaves them in order, and one pass over them deals out batches.
+
+Of larger keys no task sees all rows. Where a batch that begins at a row ends depends on that row alone: at the last row up to which count times largest size fits every
 budget. Both grow with the batch, so the end is found by halving, over the largest sizes of stretches of 1, 2, 4, ... rows. Which rows
 begin a batch is then a matter of pointers: the first row does, and where a batch ends the next begins. Following these
 1, 2, 4, ... at a time marks all beginnings in as many rounds as the number of batches has binary digits.
 
-Every step is an equi-join by key and position, so rows of one key spread like any others.
+Every step is an equi-join by key and position, so rows of one key spread like any others. Each of them moves all rows again, for which it serves large keys only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchlake.operators.segments import SLICE_ROWS, running, sliced
 from matchlake.sources.scratch import drop_table, materialise, scratch
@@ -72,17 +78,48 @@ def batch_starts(ends: DataFrame, keys: list[str]) -> DataFrame:
     return starts
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[str], tops: list[Column], budgets: list[int]) -> DataFrame:
+    """df with batch, by one pass over the rows of each key, of which a task holds an Arrow batch at a time."""
+    names = [f"_top_{n}" for n in range(len(tops))]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    rows = df.select("*", *(t.alias(n) for t, n in zip(tops, names, strict=True))).withColumn("_pos", place)
+    columns = df.columns
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, held, most = 0, 0, ()
+        for part in parts:
+            out = []
+            for pos, *own in zip(part["_pos"].to_pylist(), *(part[n].to_pylist() for n in names), strict=True):
+                if pos == 1:
+                    batch, held, most = 0, 0, own
+                else:
+                    most = [max(a, b) for a, b in zip(most, own, strict=True)]
+                    if any(m * (held + 1) > b for m, b in zip(most, budgets, strict=True)):
+                        batch, held, most = batch + 1, 0, own
+                held += 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(out, pa.int64())], names=[*columns, "batch"])
+
+    return rows.mapInArrow(deal, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
+
+
 def budget_batches(df: DataFrame, keys: list[str], order: list[str], sizes: list[str], budgets: list[int], rows: int = SLICE_ROWS) -> DataFrame:
     """df with batch: rows packed in order while the padded size (rows times the largest) fits every budget.
 
     A row that fits none is a batch of its own. Null sizes are 0, null keys are a key. order[0] is a number or a time.
     """
+    tops = [F.coalesce(F.col(s).cast("long"), F.lit(0).cast("long")) for s in sizes]
     with scratch() as keep:
-        one = running(sliced(df, keys, order[0], rows), keys, order, _pos=("sum", F.lit(1).cast("long")))
-        top = F.array(*(F.coalesce(F.col(s).cast("long"), F.lit(0).cast("long")) for s in sizes))
+        cut = sliced(materialise(df, "rows"), keys, order[0], rows)
+        small = in_order(cut.filter("_slice IS NULL").drop("_slice"), keys, order, tops, budgets)
+        large = cut.filter("_slice IS NOT NULL")
+        if large.isEmpty():
+            return keep(materialise(small, "batches"))
+        one = running(large, keys, order, _pos=("sum", F.lit(1).cast("long")))
+        top = F.array(*tops)
         # nulls within a struct are equal, so that rows with a null key find each other
         numbered = materialise(one.withColumn("_pos", F.col("_pos") - 1).withColumn("_top", top).withColumn("_key", F.struct(*keys)), "numbered")
         ends = materialise(batch_ends(numbered, ["_key"], budgets), "ends")
         marked = numbered.join(batch_starts(ends, ["_key"]), ["_key", "_pos"], "left")
         out = running(marked, keys, ["_pos"], batch=("max", F.col("_batch")))
-        return keep(materialise(out.select(*df.columns, "batch"), "batches"))
+        return keep(materialise(small.unionByName(out.select(*df.columns, "batch")), "batches"))

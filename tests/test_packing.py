@@ -57,3 +57,20 @@ def test_one_key_of_many_rows_is_spread(spark):
 def test_query_runs_no_python(spark):
     plan = QUERIES["w14_budget_batches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan
+
+
+def test_small_keys_move_once(spark, monkeypatch):
+    """Pointers, which move all rows several times, serve large keys only; the others are packed in one ordered pass, over Arrow batches of any size."""
+    rows = [(f"k{t % 7}", t, t * 7 % 11, t * 5 % 60) for t in range(700)]
+    df = spark.createDataFrame(rows, ROWS)
+    seen = []
+    ends = packing.batch_ends
+    monkeypatch.setattr(packing, "batch_ends", lambda *a: seen.append(1) or ends(*a))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = packing.budget_batches(df, ["k"], ["t"], ["a", "b"], [40, 300])
+        assert sorted(((r.k, r.t, r.batch) for r in got.collect()), key=str) == loop(rows, [40, 300])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert not seen
